@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import mixing
+from tilewright.llm import mixing, packing
 from tilewright.session import stage
 
 STAGES = [
     ("mixing", mixing.stage_function),
+    ("best-fit packing", packing.stage_function),
 ]
 
 ORACLE_SQL = None

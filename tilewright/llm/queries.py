@@ -1,10 +1,12 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from tilewright.llm import mixing, url_filter
+from tilewright.llm import licenses, mixing, packing, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
     "op2_mixing": mixing.query,
+    "op3_license_scan": licenses.query,
+    "op6_best_fit_packing": packing.query,
 }
 
 ORACLE = {
