@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import mixing, packing
+from tilewright.llm import jaccard, mixing, packing
 from tilewright.session import stage
 
 STAGES = [
+    ("n-gram Jaccard join", jaccard.stage_function),
     ("mixing", mixing.stage_function),
     ("best-fit packing", packing.stage_function),
 ]

@@ -1,15 +1,17 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from tilewright.llm import licenses, mixing, packing, url_filter
+from tilewright.llm import jaccard, licenses, mixing, packing, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
     "op2_mixing": mixing.query,
     "op3_license_scan": licenses.query,
+    "op4_jaccard_join": jaccard.query,
     "op6_best_fit_packing": packing.query,
 }
 
 ORACLE = {
     "op1_url_filters": url_filter.SQL,
     "op2_mixing": mixing.sql(),
+    "op4_jaccard_join": jaccard.SQL,
 }
