@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import jaccard, mixing, packing
+from tilewright.llm import jaccard, mixing, packing, quality, toxicity
 from tilewright.session import stage
 
 STAGES = [
+    ("toxicity", toxicity.stage_function),
+    ("quality classifier", quality.stage_function),
     ("n-gram Jaccard join", jaccard.stage_function),
-    ("mixing", mixing.stage_function),
+    ("mixing sources to target weights", mixing.stage_function),
     ("best-fit packing", packing.stage_function),
 ]
 
+#: SQL can't express the classifiers.
 ORACLE_SQL = None
 
 

@@ -1,17 +1,23 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from tilewright.llm import jaccard, licenses, mixing, packing, url_filter
+from tilewright.llm import ann, jaccard, licenses, mixing, packing, quality, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
     "op2_mixing": mixing.query,
     "op3_license_scan": licenses.query,
     "op4_jaccard_join": jaccard.query,
+    "op5_exact_top_k": topk.query,
     "op6_best_fit_packing": packing.query,
+    "op7_nearest_neighbours": ann.query,
+    "op8_token_counts": token_counts.query,
+    "op9_quality": quality.query,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLE = {
     "op1_url_filters": url_filter.SQL,
     "op2_mixing": mixing.sql(),
     "op4_jaccard_join": jaccard.SQL,
+    "op5_exact_top_k": topk.SQL,
 }
