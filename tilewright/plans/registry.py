@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tilewright.plans import catalog_queries  # noqa: E402, F401
+from tilewright.plans import catalog_queries, geometry_queries, placement_queries, pyramid_queries, stain_queries, stream_queries, text_queries  # noqa: E402, F401
