@@ -7,14 +7,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes that are worked on at once; one longer text makes a longer run.
 RUN_BYTES = 1 << 20
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to send texts to Python ``BATCH_ROWS`` rows at a time, unless it asks for fewer.
+
+    A batch stands in the JVM's direct memory and in the worker's at once.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_SETTING)) > BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -53,7 +67,7 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x, np.uint64))]) for x in (_MULTIPLIER, _INVERSE))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.components import components
-from tilewright.llm.flat import NOT_SPACE, flat, mix, runs, span_hashes, spans
+from tilewright.llm.flat import NOT_SPACE, flat, in_small_batches, mix, runs, span_hashes, spans
 from tilewright.session import stage
 
 #: Words of a shingle; a link needs PERCENT * union <= 100 * intersection.
@@ -281,7 +281,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     repeated rows stay repeated and share a class. Other columns are not read.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
+    keyed = in_small_batches(docs).select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
     least = 2 * spark.sparkContext.defaultParallelism
     size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     sent = keyed.mapInArrow(_send_chunks(words, _bits(size // 6, least)), _SENT)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm.flat import WORD_ANY_CASE, flat, runs, spans
+from tilewright.llm.flat import WORD_ANY_CASE, flat, in_small_batches, runs, spans
 
 #: Phrases whose places are counted, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -177,7 +177,7 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE, rules: Sequence[R
             columns = [batch.column(0).cast(pa.int64()), pa.array(counts), pa.array([len(p) for p, _ in out], pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(names, pa.string()), pa.array(labels, pa.string()), pa.array(score, pa.float64()), pa.array(hits, _ARROW_HITS)]
             yield pa.RecordBatch.from_arrays(columns, NAMES)
 
-    return docs.select("doc_id", "text").mapInArrow(scan_batches, OUT)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(scan_batches, OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

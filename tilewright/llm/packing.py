@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm.flat import flat, runs, span_hashes
+from tilewright.llm.flat import flat, in_small_batches, runs, span_hashes
 from tilewright.session import stage
 
 SHARD_ROWS = 20_000
 #: Bytes tokenized at once, and distinct stretches a worker remembers.
-RUN, REMEMBERED = 1 << 22, 1 << 21
+RUN, REMEMBERED = 1 << 21, 1 << 19
 
 #: Bytes that, after a space, are surely no white space: visible ASCII, and leads of characters none of which is.
 _VISIBLE = np.isin(np.arange(256), [*range(0x21, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)])
@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end: int = 0
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES + (", ids array<long>" if with_ids else ""))
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(cut, PIECES + (", ids array<long>" if with_ids else ""))
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.flat import NOT_SPACE, WORD_ANY_CASE, flat, mix, runs, span_hashes
+from tilewright.llm.flat import NOT_SPACE, WORD_ANY_CASE, flat, in_small_batches, mix, runs, span_hashes
 from tilewright.session import stage
 
 BITS, SCALE = 20, 20.0
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: in
     if share < 1:
         mine = mine.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # At most the sample's ids: small enough to broadcast.
-    text = docs.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(mine), F.col("d") == F.col("id")).select("id", "label", "text")
+    text = in_small_batches(docs).select(F.col("doc_id").alias("d"), "text").join(F.broadcast(mine), F.col("d") == F.col("id")).select("id", "label", "text")
     rows = text.mapInArrow(_feature_rows, "id long, label int, features binary, values binary").distinct()
     got = rows.coalesce(1).mapInArrow(_fit, "features binary, weights binary").first()
     weights = np.zeros((1 << BITS) + 1, np.float32)
@@ -146,7 +146,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), shared.value))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
 
 
 def kept(docs: DataFrame, score_texts, keep) -> DataFrame:
@@ -157,7 +157,7 @@ def kept(docs: DataFrame, score_texts, keep) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(keep(shared.value(batch.column(at))), pa.bool_()))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return in_small_batches(docs).mapInArrow(choose, docs.schema)
 
 
 class Scorer:

@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm.flat import NOT_SPACE, flat, runs, span_hashes, spans
+from tilewright.llm.flat import NOT_SPACE, flat, in_small_batches, runs, span_hashes, spans
 
 #: Bytes read at once.
-RUN = 1 << 22
+RUN = 1 << 21
 
 
 class Automaton:
@@ -115,7 +115,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                 n_tokens[i:j] = np.bincount(doc, each, j - i)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n_words), pa.array(n_tokens)], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_words long, n_tokens long")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(count, "doc_id long, n_words long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

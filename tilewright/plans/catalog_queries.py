@@ -155,7 +155,7 @@ def bounded_queue(spark, sf_dir):
 
 
 @query("""
-with e as (select user_id, event_id, epoch_ms(ts) as t, (select max(epoch_ms(ts)) from events) - 864000000 as cut from events),
+with e as (select user_id, event_id, (epoch_us(ts) // 1000) as t, (select max((epoch_us(ts) // 1000)) from events) - 864000000 as cut from events),
 n as (select *, count(*) over (partition by user_id) as n from e),
 y as (select *, count(*) over (partition by user_id) as m, row_number() over (partition by user_id order by t desc, event_id desc) as k from n where n <= 40 or t >= cut)
 select user_id, event_id from y where n <= 40 or m <= 40 or k <= 15

@@ -172,7 +172,7 @@ def _entries(spark, sf_dir):
 
 
 @query("""
-with e as (select 0 as view_id, event_id, epoch_ms(ts) // 1000 as t from events), n as (select *, count(*) over () as n, row_number() over (order by t) as k from e)
+with e as (select 0 as view_id, event_id, (epoch_us(ts) // 1000) // 1000 as t from events), n as (select *, count(*) over () as n, row_number() over (order by t) as k from e)
 select view_id, event_id from n where n <= 1000 or t >= (select max(t) from n where k = least(n - 500, n - 1) + 1)
 """)
 def evict_kth(spark, sf_dir):
@@ -181,7 +181,7 @@ def evict_kth(spark, sf_dir):
 
 
 @query("""
-with e as (select user_id, event_id, epoch_ms(ts) as t, 1 + event_id % 97 as bytes from events),
+with e as (select user_id, event_id, (epoch_us(ts) // 1000) as t, 1 + event_id % 97 as bytes from events),
 c as (select *, count(*) over (partition by user_id) as n, sum(bytes) over (partition by user_id) as b from e),
 p as (select *, row_number() over w - 1 as gone, coalesce(sum(bytes) over (w rows between unbounded preceding and 1 preceding), 0) as freed
       from c where event_id % 11 <> 0 window w as (partition by user_id order by t, event_id))

@@ -13,7 +13,7 @@ def events(spark, sf_dir):
 
 
 @query("""
-with e as (select user_id, event_id, epoch_ms(ts) as t from events), n as (select *, row_number() over (partition by user_id order by t, event_id) as k from e),
+with e as (select user_id, event_id, (epoch_us(ts) // 1000) as t from events), n as (select *, row_number() over (partition by user_id order by t, event_id) as k from e),
 c as (select a.user_id, a.event_id, count(*) filter (where b.t >= a.t - 3600000) as burst_count, count(*) filter (where b.t >= a.t - 86400000) as long_count
       from n a join n b on a.user_id = b.user_id and b.k <= a.k and b.k > a.k - 8 group by 1, 2)
 select *, burst_count > 1 or long_count > 4 as denied from c
@@ -36,7 +36,7 @@ def dedup_message_id(spark, sf_dir):
     return once.join(e, "message_id").groupBy("message_id").agg(F.count("*").alias("seen"))
 
 
-@query("select event_id, n::int as attempt, epoch_ms(ts) + 1100 + case when n = 0 then 0 else (2 ** n - 1) * 3000 end::bigint as retry_at from events, (select unnest(range(10)) as n)")
+@query("select event_id, n::int as attempt, (epoch_us(ts) // 1000) + 1100 + case when n = 0 then 0 else (2 ** n - 1) * 3000 end::bigint as retry_at from events, (select unnest(range(10)) as n)")
 def retry_schedule(spark, sf_dir):
     return limits.retry_schedule(events(spark, sf_dir).select("event_id", "t"), "t").select("event_id", "attempt", "retry_at")
 
@@ -47,7 +47,7 @@ def reconnect_delays(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", limits.reconnect_delay(n % 15).cast("long").alias("wait"), limits.retry_delay(n % 10).alias("delay"))
 
 
-@query("select user_id, max_by(event_type, epoch_ms(ts)) as event_type, max(epoch_ms(ts)) as t from events group by 1")
+@query("select user_id, max_by(event_type, (epoch_us(ts) // 1000)) as event_type, max((epoch_us(ts) // 1000)) as t from events group by 1")
 def progress_latest(spark, sf_dir):
     return views.latest_progress(events(spark, sf_dir).select("user_id", "event_type", "t"), "user_id", "t")
 
@@ -61,10 +61,10 @@ def progress_throttle(spark, sf_dir):
     return limits.throttled_progress(e, "user_id", "done", "t", 5, 3_600_000)
 
 
-@query("select user_id, event_id, round(avg(value) over w, 4) as mean_ms, round(1000 / avg(value) over w, 3) as fps from events window w as (partition by user_id order by epoch_ms(ts) rows between 29 preceding and current row)")
+@query("select user_id, event_id, round(avg(value) over w, 8) as mean_ms, round(1000 / avg(value) over w, 6) as fps from events window w as (partition by user_id order by (epoch_us(ts) // 1000) rows between 29 preceding and current row)")
 def rolling_fps(spark, sf_dir):
     r = limits.rolling_rate(events(spark, sf_dir), "user_id", "t", "value")
-    return r.select("user_id", "event_id", F.round("mean_ms", 4).alias("mean_ms"), F.round("fps", 3).alias("fps"))
+    return r.select("user_id", "event_id", F.round("mean_ms", 8).alias("mean_ms"), F.round("fps", 6).alias("fps"))
 
 
 @query("select event_type, le, count(*) filter (where value <= le) as n from events, (select unnest([1.0::double, 10, 50, 100, 500]) as le) group by all")
@@ -73,7 +73,7 @@ def latency_histogram(spark, sf_dir):
 
 
 @query("""
-with e as (select user_id, epoch_ms(ts) as t, value from events), r as (select *, t - lag(t) over (partition by user_id order by t) as dt from e where t >= (select max(t) from e) - 864000000)
+with e as (select user_id, (epoch_us(ts) // 1000) as t, value from events), r as (select *, t - lag(t) over (partition by user_id order by t) as dt from e where t >= (select max(t) from e) - 864000000)
 select user_id, round(sum(value) filter (where dt > 0) / sum(dt) filter (where dt > 0) * 1000, 9) as vx, round(sum(-value) filter (where dt > 0) / sum(dt) filter (where dt > 0) * 1000, 9) as vy from r group by 1
 """)
 def velocity(spark, sf_dir):
