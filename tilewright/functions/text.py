@@ -81,30 +81,44 @@ def to_base64url(json: Column) -> Column:
     return F.regexp_replace(F.translate(F.base64(F.encode(json, "utf-8")), "+/", "-_"), "[=\\r\\n]", "")
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number of 0 or more, below 2**40, as text with so many decimals; the double's exact value counts, halves go up.
+
+    The value is split into a head of 26 bits and a rest, whose products with the power of ten are exact.
+    """
+    scale = 10**digits
+    spread = value.cast("double") * F.lit(134217729.0)
+    head = spread - (spread - value)
+    a, b = head * F.lit(float(scale)), (value - head) * F.lit(float(scale))
+    n = (F.floor(a) + F.floor((a - F.floor(a) - F.lit(0.5)) + b) + 1).cast("long")
+    whole = F.floor(n / F.lit(scale)).cast("string") if digits else n.cast("string")
+    return F.concat(whole, F.lit("."), F.lpad((n % scale).cast("string"), digits, "0")) if digits else whole
+
+
 def size_text(size: Column) -> Column:
     """B, KB, MB or GB, one decimal."""
-    unit = lambda n, u: F.format_string(f"%.1f {u}", size / F.lit(float(n)))
+    unit = lambda n, u: F.concat(fixed(size / F.lit(float(n)), 1), F.lit(f" {u}"))
     return F.when(size >= 1 << 30, unit(1 << 30, "GB")).when(size >= 1 << 20, unit(1 << 20, "MB")).when(size >= 1 << 10, unit(1 << 10, "KB")).otherwise(F.concat(size.cast("string"), F.lit(" B")))
 
 
 def dimension_text(width: Column, height: Column) -> Column:
     """Width and height in thousands or millions."""
-    both = lambda n, u: F.format_string(f"%.1f{u} × %.1f{u}", width / F.lit(float(n)), height / F.lit(float(n)))
+    both = lambda n, u: F.concat(fixed(width / F.lit(float(n)), 1), F.lit(f"{u} × "), fixed(height / F.lit(float(n)), 1), F.lit(u))
     most = F.greatest(width, height)
     return F.when(most >= 1_000_000, both(1e6, "M")).when(most >= 1000, both(1e3, "K")).otherwise(F.concat(width.cast("string"), F.lit(" × "), height.cast("string")))
 
 
 def progress_text(steps: Column, total: Column) -> Column:
     """Percent in three significant digits; null when not begun or complete."""
-    p = steps / total * 100
+    p = steps / F.when(total != 0, total) * 100
     # A value that rounds up to the next power of ten has one decimal less.
-    text = F.when(p <= 0, "0.00").when(p >= 99.95, F.format_string("%.0f", p)).when(p >= 9.995, F.format_string("%.1f", p)).when(p >= 0.9995, F.format_string("%.2f", p)).when(p >= 0.09995, F.format_string("%.3f", p)).otherwise(F.format_string("%.4f", p))
+    text = F.when(p <= 0, "0.00").when(p >= 99.95, fixed(p, 0)).when(p >= 9.995, fixed(p, 1)).when(p >= 0.9995, fixed(p, 2)).when(p >= 0.09995, fixed(p, 3)).otherwise(fixed(p, 4))
     return F.when((total != 0) & (steps < total), F.concat(text, F.lit("%")))
 
 
 def distance_text(microns: Column, unit: str = "um") -> Column:
     """A length in µm, mm, in or mil."""
-    f = lambda d, v, u: F.format_string(f"%.{d}f {u}", v)
+    f = lambda d, v, u: F.concat(fixed(v, d), F.lit(f" {u}"))
     if unit == "mm":
         return F.when(microns >= 1000, f(1, microns / 1000, "mm")).otherwise(f(3, microns / 1000, "mm"))
     if unit == "in":

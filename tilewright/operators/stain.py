@@ -217,29 +217,32 @@ def is_stable(a: str, b: str) -> Column:
 # --- colour spaces and enhancement -------------------------------------------------------------------------------------
 
 
-def to_hsl(r: Column, g: Column, b: Column) -> dict[str, Column]:
-    """Hue 0 to 360, saturation and lightness 0 to 1."""
-    r, g, b = (c / F.lit(255.0) for c in (r, g, b))
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
+def to_hsl(df: DataFrame, rgb: Sequence[str], names: Sequence[str] = ("h", "s", "l")) -> DataFrame:
+    """Adds hue 0 to 360, saturation and lightness 0 to 1 (X13). In two projections, so that nothing is worked out twice."""
+    scaled = [F.col(c) / F.lit(255.0) for c in rgb]
+    df = df.withColumns({"_high": F.greatest(*scaled), "_low": F.least(*scaled)})
+    r, g, b = scaled
+    high, low = F.col("_high"), F.col("_low")
     light, d = (high + low) / 2, high - low
     safe = F.when(d == 0, 1.0).otherwise(d)
-    share = F.when(light > 0.5, d / F.when(2 - high - low == 0, 1.0).otherwise(2 - high - low)).otherwise(d / F.when(high + low == 0, 1.0).otherwise(high + low))
+    share = d / F.when(d == 0, 1.0).when(light > 0.5, 2 - high - low).otherwise(high + low)
     turn = F.when(high == r, (g - b) / safe + F.when(g < b, 6).otherwise(0)).when(high == g, (b - r) / safe + 2).otherwise((r - g) / safe + 4)
-    return {"h": F.when(d == 0, 0.0).otherwise(turn * 60), "s": F.when(d == 0, 0.0).otherwise(share), "l": light}
+    return df.withColumns(dict(zip(names, (turn * F.when(d == 0, 0.0).otherwise(60.0), share, light), strict=True))).drop("_high", "_low")
 
 
-def from_hsl(h: Column, s: Column, l: Column) -> list[Column]:  # noqa: E741
-    """Channels 0 to 255, rounded half up."""
-    q = F.when(l < 0.5, l * (1 + s)).otherwise(l + s - l * s)
-    p = 2 * l - q
+def from_hsl(df: DataFrame, hsl: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Adds channels 0 to 255, rounded half up."""
+    h, s, l = map(F.col, hsl)  # noqa: E741
+    df = df.withColumn("_q", F.when(l < 0.5, l * (1 + s)).otherwise(l + s - l * s))
+    turns = {f"_t{k}": h / 360 + shift for k, shift in enumerate((1 / 3, 0.0, -1 / 3))}
+    df = df.withColumns({k: t - F.floor(t) for k, t in turns.items()} | {"_p": 2 * l - F.col("_q")})
+    p, q = F.col("_p"), F.col("_q")
 
-    def channel(shift: float) -> Column:
-        t = h / 360 + shift
-        t = F.when(t < 0, t + 1).when(t > 1, t - 1).otherwise(t)
+    def channel(t: Column) -> Column:
         value = F.when(t < 1 / 6, p + (q - p) * 6 * t).when(t < 1 / 2, q).when(t < 2 / 3, p + (q - p) * (2 / 3 - t) * 6).otherwise(p)
-        return F.floor(F.when(s == 0, l).otherwise(value) * 255 + 0.5).cast("int")
+        return F.floor(value * 255 + 0.5).cast("int")
 
-    return [channel(1 / 3), channel(0.0), channel(-1 / 3)]
+    return df.withColumns({c: channel(F.col(t)) for c, t in zip(names, turns, strict=True)}).drop("_p", "_q", *turns)
 
 
 # sRGB to XYZ and back, white point D65, and the constants of Lab.
@@ -248,42 +251,46 @@ XYZ_RGB = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.041556
 WHITE, EPSILON, KAPPA = (0.95047, 1.0, 1.08883), 0.008856, 903.3
 
 
-def to_lab(r: Column, g: Column, b: Column) -> dict[str, Column]:
-    """CIE Lab (X13)."""
-    linear = [F.when(c / 255 > 0.04045, F.pow((c / 255 + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 255 / 12.92) for c in (r, g, b)]
-    f = []
-    for row, white in zip(RGB_XYZ, WHITE, strict=True):
-        v = sum((c * m for c, m in zip(linear, row, strict=True)), F.lit(0.0)) / white
-        f.append(F.when(v > EPSILON, F.pow(v, F.lit(1 / 3))).otherwise((v * KAPPA + 16) / 116))
-    return {"L": f[1] * 116 - 16, "a": (f[0] - f[1]) * 500, "b": (f[1] - f[2]) * 200}
-
-
-def from_lab(light: Column, a: Column, b: Column) -> list[Column]:
-    """Channels 0 to 255, rounded half up."""
-    fy = (light + 16) / 116
-    fx, fz = a / 500 + fy, fy - b / 200
-    cube = lambda v: v * v * v
-    x, z = (F.when(cube(v) > EPSILON, cube(v)).otherwise((v * 116 - 16) / KAPPA) for v in (fx, fz))
-    y = F.when(light > KAPPA * EPSILON, cube(fy)).otherwise(light / KAPPA)
-    xyz = [v * w for v, w in zip((x, y, z), WHITE, strict=True)]
-    out = []
-    for row in XYZ_RGB:
-        c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum((v * m for v, m in zip(xyz, row, strict=True)), F.lit(0.0))))
-        out.append(F.floor(F.when(c > 0.0031308, F.pow(c, F.lit(1 / 2.4)) * 1.055 - 0.055).otherwise(c * 12.92) * 255 + 0.5).cast("int"))
-    return out
-
-
-def enhanced(rgb: Sequence[Column], stain: str, live_hues: bool = True) -> list[Column]:
-    """Channels with a special stain brought out: gram, afb or gms (X14). ``live_hues`` picks the wider purple range (Q6)."""
+def to_lab(df: DataFrame, rgb: Sequence[str], names: Sequence[str] = ("light", "a", "b")) -> DataFrame:
+    """Adds CIE Lab (X13), in three projections."""
+    linear = [F.when(F.col(c) / 255 > 0.04045, F.pow((F.col(c) / 255 + 0.055) / 1.055, F.lit(2.4))).otherwise(F.col(c) / 255 / 12.92) for c in rgb]
+    df = df.withColumns({f"_n{k}": v for k, v in enumerate(linear)})
+    mixed = lambda row, white: sum((F.col(f"_n{k}") * m for k, m in enumerate(row)), F.lit(0.0)) / white
+    df = df.withColumns({f"_v{k}": mixed(row, white) for k, (row, white) in enumerate(zip(RGB_XYZ, WHITE, strict=True))})
+    bent = lambda v: F.when(v > EPSILON, F.pow(v, F.lit(1 / 3))).otherwise((v * KAPPA + 16) / 116)
+    df = df.withColumns({f"_f{k}": bent(F.col(f"_v{k}")) for k in range(3)})
+    f = [F.col(f"_f{k}") for k in range(3)]
+    out = (f[1] * 116 - 16, (f[0] - f[1]) * 500, (f[1] - f[2]) * 200)
+    return df.withColumns(dict(zip(names, out, strict=True))).drop(*[f"_{c}{k}" for c in "nvf" for k in range(3)])
+
+
+def from_lab(df: DataFrame, lab: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Adds channels 0 to 255, rounded half up."""
+    light, a, b = map(F.col, lab)
+    df = df.withColumn("_fy", (light + 16) / 116)
+    df = df.withColumns({"_fx": a / 500 + F.col("_fy"), "_fz": F.col("_fy") - b / 200})
+    cube = lambda c: F.col(c) * F.col(c) * F.col(c)
+    x, z = (F.when(cube(c) > EPSILON, cube(c)).otherwise((F.col(c) * 116 - 16) / KAPPA) for c in ("_fx", "_fz"))
+    y = F.when(light > KAPPA * EPSILON, cube("_fy")).otherwise(light / KAPPA)
+    df = df.withColumns({f"_v{k}": v * w for k, (v, w) in enumerate(zip((x, y, z), WHITE, strict=True))})
+    mixed = lambda row: F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum((F.col(f"_v{k}") * m for k, m in enumerate(row)), F.lit(0.0))))
+    df = df.withColumns({f"_c{k}": mixed(row) for k, row in enumerate(XYZ_RGB)})
+    shown = lambda c: F.floor(F.when(c > 0.0031308, F.pow(c, F.lit(1 / 2.4)) * 1.055 - 0.055).otherwise(c * 12.92) * 255 + 0.5).cast("int")
+    return df.withColumns({n: shown(F.col(f"_c{k}")) for k, n in enumerate(names)}).drop("_fx", "_fy", "_fz", *[f"_{c}{k}" for c in "vc" for k in range(3)])
+
+
+def enhanced(df: DataFrame, rgb: Sequence[str], stain: str, names: Sequence[str], live_hues: bool = True) -> DataFrame:
+    """Adds channels with a special stain brought out: gram, afb or gms (X14). ``live_hues`` picks the wider purple range (Q6)."""
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     if stain == "gms":
-        lab = to_lab(*rgb)
-        dark = lab["L"] < 50
-        light = F.when(dark, F.pow(F.greatest(lab["L"], F.lit(0.0)) / 50, F.lit(1.3)) * 50).otherwise(F.least(F.lit(100.0), lab["L"] * 1.08 + 3))
+        df = to_lab(df, rgb, ("_light", "_a", "_b"))
+        dark = F.col("_light") < 50
+        light = F.when(dark, F.pow(F.greatest("_light", F.lit(0.0)) / 50, F.lit(1.3)) * 50).otherwise(F.least(F.lit(100.0), F.col("_light") * 1.08 + 3))
         k = F.when(dark, 1.1).otherwise(0.6)
-        return from_lab(light, lab["a"] * k, lab["b"] * k)
-    hsl = to_hsl(*rgb)
-    h, s, l = hsl["h"], hsl["s"], hsl["l"]  # noqa: E741
+        df = df.withColumns({"_light": light, "_a": F.col("_a") * k, "_b": F.col("_b") * k})
+        return from_lab(df, ("_light", "_a", "_b"), names).drop("_light", "_a", "_b")
+    df = to_hsl(df, rgb, ("_h", "_s", "_l"))
+    h, s, l = F.col("_h"), F.col("_s"), F.col("_l")  # noqa: E741
     if stain == "gram":
         purple, red = (240, 320) if live_hues else (260, 330)
         # Rules in order: condition, factor of saturation, factor of lightness, addend of lightness.
@@ -299,7 +306,8 @@ def enhanced(rgb: Sequence[Column], stain: str, live_hues: bool = True) -> list[
     new_s, new_l = s, l
     for test, ks, kl, add in reversed(rules):
         new_s, new_l = F.when(test, unit(s * ks)).otherwise(new_s), F.when(test, unit(l * kl + add)).otherwise(new_l)
-    return from_hsl(h, new_s, new_l)
+    df = df.withColumns({"_s2": new_s, "_l2": new_l})
+    return from_hsl(df, ("_h", "_s2", "_l2"), names).drop("_h", "_s", "_l", "_s2", "_l2")
 
 
 def tone_table(contrast: float, gamma: float, brightness: float) -> list[int]:

@@ -50,16 +50,14 @@ def lut_apply(spark, sf_dir):
 
 @query(f"with {RGB} select l_orderkey, l_linenumber, r::int as r, g::int as g, b::int as b from p")
 def hsl_roundtrip(spark, sf_dir):
-    hsl = stain.to_hsl(*[F.col(c) for c in "rgb"])
-    back = stain.from_hsl(hsl["h"], hsl["s"], hsl["l"])
-    return pixels(spark, sf_dir).select("l_orderkey", "l_linenumber", *[v.alias(c) for c, v in zip("rgb", back, strict=True)])
+    hsl = stain.to_hsl(pixels(spark, sf_dir), "rgb", ("hue", "s", "l"))
+    return stain.from_hsl(hsl.drop("r", "g", "b"), ("hue", "s", "l"), "rgb").select("l_orderkey", "l_linenumber", "r", "g", "b")
 
 
 @query(f"with {RGB} select l_orderkey, l_linenumber, r::int as r, g::int as g, b::int as b from p")
 def lab_roundtrip(spark, sf_dir):
-    lab = stain.to_lab(*[F.col(c) for c in "rgb"])
-    back = stain.from_lab(lab["L"], lab["a"], lab["b"])
-    return pixels(spark, sf_dir).select("l_orderkey", "l_linenumber", *[v.alias(c) for c, v in zip("rgb", back, strict=True)])
+    lab = stain.to_lab(pixels(spark, sf_dir), "rgb", ("light", "x", "y"))
+    return stain.from_lab(lab.drop("r", "g", "b"), ("light", "x", "y"), "rgb").select("l_orderkey", "l_linenumber", "r", "g", "b")
 
 
 @query(f"""
@@ -80,9 +78,10 @@ def normalize_apply(spark, sf_dir):
 
 @query()
 def enhance_special_stains(spark, sf_dir):
-    rgb = [F.col(c) for c in "rgb"]
-    kinds = {k: stain.enhanced(rgb, k) for k in ("gram", "afb", "gms")}
-    return pixels(spark, sf_dir).select("l_orderkey", "l_linenumber", *[v.alias(f"{k}_{c}") for k, out in kinds.items() for c, v in zip("rgb", out, strict=True)])
+    df = pixels(spark, sf_dir)
+    for kind in ("gram", "afb", "gms"):
+        df = stain.enhanced(df, "rgb", kind, [f"{kind}_{c}" for c in "rgb"])
+    return df.drop("l_suppkey", "r", "g", "b")
 
 
 def _samples(spark, sf_dir):

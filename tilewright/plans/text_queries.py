@@ -1,4 +1,7 @@
-"""Identity, naming, formatting and curation queries over orders, pages, documents and events."""
+"""Identity, naming, formatting and curation queries over orders, pages, documents and events.
+
+The SQL's printf rounds exact halves to even; 1e-9 is added to them, for they go up here.
+"""
 
 from pyspark.sql import functions as F
 
@@ -24,8 +27,8 @@ def safe_name(spark, sf_dir):
 
 
 @query("""
-select doc_id, case when n >= 1 << 30 then printf('%.1f GB', n / 1073741824.0) when n >= 1 << 20 then printf('%.1f MB', n / 1048576.0) when n >= 1024 then printf('%.1f KB', n / 1024.0) else n || ' B' end as size,
-       case when n >= 1000000 or d >= 1000000 then printf('%.1fM × %.1fM', n / 1000000.0, d / 1000000.0) when n >= 1000 or d >= 1000 then printf('%.1fK × %.1fK', n / 1000.0, d / 1000.0) else n || ' × ' || d end as dims
+select doc_id, case when n >= 1 << 30 then printf('%.1f GB', n / 1073741824.0::double + case when n / 1073741824.0::double * 8 = floor(n / 1073741824.0::double * 8) then 1e-9 else 0 end) when n >= 1 << 20 then printf('%.1f MB', n / 1048576.0::double + case when n / 1048576.0::double * 8 = floor(n / 1048576.0::double * 8) then 1e-9 else 0 end) when n >= 1024 then printf('%.1f KB', n / 1024.0::double + case when n / 1024.0::double * 8 = floor(n / 1024.0::double * 8) then 1e-9 else 0 end) else n || ' B' end as size,
+       case when n >= 1000000 or d >= 1000000 then printf('%.1fM × %.1fM', n / 1000000.0::double + case when n / 1000000.0::double * 8 = floor(n / 1000000.0::double * 8) then 1e-9 else 0 end, d / 1000000.0::double + case when d / 1000000.0::double * 8 = floor(d / 1000000.0::double * 8) then 1e-9 else 0 end) when n >= 1000 or d >= 1000 then printf('%.1fK × %.1fK', n / 1000.0::double + case when n / 1000.0::double * 8 = floor(n / 1000.0::double * 8) then 1e-9 else 0 end, d / 1000.0::double + case when d / 1000.0::double * 8 = floor(d / 1000.0::double * 8) then 1e-9 else 0 end) else n || ' × ' || d end as dims
 from (select doc_id, n_chars * 37 as n, doc_id * 3 as d from documents)
 """)
 def size_format(spark, sf_dir):
@@ -33,8 +36,8 @@ def size_format(spark, sf_dir):
     return d.select("doc_id", text.size_text(F.col("n")).alias("size"), text.dimension_text(F.col("n"), F.col("d")).alias("dims"))
 
 
-@query("""select l_orderkey, l_linenumber, case when m >= 10000 then printf('%.0f mm', m / 1000) when m >= 1000 then printf('%.1f mm', m / 1000) else printf('%.1f µm', m) end as um,
- case when m / 25400 >= 0.1 then printf('%.2f in', m / 25400) else printf('%.1f mil', m / 25400 * 1000) end as inch from (select l_orderkey, l_linenumber, l_extendedprice / 3 as m from lineitem)""")
+@query("""select l_orderkey, l_linenumber, case when m >= 10000 then printf('%.0f mm', m / 1000 + case when m / 1000 * 8 = floor(m / 1000 * 8) then 1e-9 else 0 end) when m >= 1000 then printf('%.1f mm', m / 1000 + case when m / 1000 * 8 = floor(m / 1000 * 8) then 1e-9 else 0 end) else printf('%.1f µm', m + case when m * 8 = floor(m * 8) then 1e-9 else 0 end) end as um,
+ case when m / 25400 >= 0.1 then printf('%.2f in', m / 25400 + case when m / 25400 * 8 = floor(m / 25400 * 8) then 1e-9 else 0 end) else printf('%.1f mil', m / 25400 * 1000 + case when m / 25400 * 1000 * 8 = floor(m / 25400 * 1000 * 8) then 1e-9 else 0 end) end as inch from (select l_orderkey, l_linenumber, l_extendedprice / 3 as m from lineitem)""")
 def distance_format(spark, sf_dir):
     m = F.col("l_extendedprice") / 3
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.distance_text(m).alias("um"), text.distance_text(m, "in").alias("inch"))
@@ -63,7 +66,7 @@ def json_pick(spark, sf_dir):
     return e.select("event_id", F.coalesce(F.try_element_at("m", F.lit("imageId")), F.col("event_id").cast("string")).alias("image"))
 
 
-@query("""select o_orderkey, case when t <> 0 and s < t then (case when s = 0 then '0.00' when s * 100.0 / t >= 99.95 then printf('%.0f', s * 100.0 / t) when s * 100.0 / t >= 9.995 then printf('%.1f', s * 100.0 / t) else printf('%.2f', s * 100.0 / t) end) || '%' end as progress
+@query("""select o_orderkey, case when t <> 0 and s < t then (case when s = 0 then '0.00' when s / t::double * 100 >= 99.95 then printf('%.0f', s / t::double * 100 + case when s / t::double * 100 * 8 = floor(s / t::double * 100 * 8) then 1e-9 else 0 end) when s / t::double * 100 >= 9.995 then printf('%.1f', s / t::double * 100 + case when s / t::double * 100 * 8 = floor(s / t::double * 100 * 8) then 1e-9 else 0 end) else printf('%.2f', s / t::double * 100 + case when s / t::double * 100 * 8 = floor(s / t::double * 100 * 8) then 1e-9 else 0 end) end) || '%' end as progress
  from (select o_orderkey, o_orderkey % 97 as s, o_custkey % 90 as t from orders)""")
 def progress_format(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 97).alias("s"), (F.col("o_custkey") % 90).alias("t"))
