@@ -10,18 +10,20 @@ from tilewright.operators.catalog import latest
 SLOTS, BATCH, BACKLOG = 16_384, 128, 4096
 
 
-def crc16(data: Column) -> Column:
-    """CRC-16, polynomial 0x1021 from 0, highest bit first (R1): folded over the bytes, four shifts for each."""
-    n = F.octet_length(data)
-    byte = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int")
+def _crc_step(nibble: int) -> int:
+    """What four highest bits of a CRC-16 become when they are shifted out; polynomial 0x1021."""
+    crc = nibble << 12
+    for _ in range(4):
+        crc = (crc << 1 ^ (0x1021 if crc & 0x8000 else 0)) & 0xFFFF
+    return crc
 
-    def step(crc: Column, i: Column) -> Column:
-        x = F.shiftright(crc, 8).bitwiseXOR(byte(i))
-        x = x.bitwiseXOR(F.shiftright(x, 4))
-        out = F.shiftleft(crc, 8).bitwiseXOR(F.shiftleft(x, 12)).bitwiseXOR(F.shiftleft(x, 5)).bitwiseXOR(x)
-        return out.bitwiseAND(F.lit(0xFFFF))
 
-    return F.when(n == 0, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step))
+def crc16(data: Column) -> Column:
+    """CRC-16, polynomial 0x1021 from 0, highest bit first (R1): folded over the hex digits, one lookup for each."""
+    digits = F.transform(F.split(F.hex(data), ""), lambda c: F.position(c, F.lit("0123456789ABCDEF")) - 1)
+    steps = F.array(*[F.lit(_crc_step(n)) for n in range(16)])
+    step = lambda crc, d: F.get(steps, F.shiftright(crc, 12).bitwiseXOR(d)).bitwiseXOR(F.shiftleft(crc, 4).bitwiseAND(F.lit(0xFFFF)))
+    return F.when(F.octet_length(data) == 0, F.lit(0)).otherwise(F.aggregate(digits, F.lit(0), step))
 
 
 def little_endian(value: Column) -> Column:
