@@ -76,12 +76,51 @@ def normalize_apply(spark, sf_dir):
     return pixels(spark, sf_dir).select("l_orderkey", "l_linenumber", *[v.alias(c) for c, v in zip("rgb", out, strict=True)])
 
 
-@query()
+def _mixed(row, columns: str) -> str:
+    return " + ".join(f"{c} * {m}::double" for c, m in zip(columns.split(), row, strict=True))
+
+
+#: Rules of the stains as (condition, factor of saturation, factor of lightness, addend), in order.
+_RULES = {
+    "gram": [("h between 240 and 320 and s > 0.15", 1.35, 0.9, 0), ("(h >= 320 or h <= 30) and s > 0.2", 1.3, 0.95, 0), ("(h between 40 and 180 and s < 0.4) or s < 0.1", 0.6, 1.05, 0.02)],
+    "afb": [("(h >= 330 or h <= 30) and s > 0.25", 1.5, 0.85, 0), ("h between 180 and 260", 0.65, 1.05, 0)],
+}
+
+
+def _hsl_sql(kind: str) -> str:
+    pick = lambda v, f: "case " + " ".join(f"when {r[0]} then greatest(0, least(1, {f(r)}))" for r in _RULES[kind]) + f" else {v} end"
+    channel = lambda t: f"floor((case when {t} < 1 / 6 then lo + (q - lo) * 6 * {t} when {t} < 1 / 2 then q when {t} < 2 / 3 then lo + (q - lo) * (2 / 3 - {t}) * 6 else lo end) * 255 + 0.5)::int"
+    turn = lambda k: f"h / 360 + {k} / 3 - floor(h / 360 + {k} / 3)"
+    return f"""
+select l_orderkey, l_linenumber, '{kind}' as stain, {channel("t0")} as r, {channel("t1")} as g, {channel("t2")} as b from (
+  select *, 2 * l2 - q as lo, {turn(1)} as t0, {turn(0)} as t1, {turn(-1)} as t2 from (
+    select *, case when l2 < 0.5 then l2 * (1 + s2) else l2 + s2 - l2 * s2 end as q from (
+      select *, {pick("s", lambda r: f"s * {r[1]}::double")} as s2, {pick("l", lambda r: f"l * {r[2]}::double + {r[3]}::double")} as l2 from hsl)))"""
+
+
+_LAB_SQL = f"""
+select l_orderkey, l_linenumber, 'gms' as stain, {", ".join(f"floor((case when c{k} > 0.0031308 then c{k} ** (1 / 2.4::double) * 1.055 - 0.055 else c{k} * 12.92 end) * 255 + 0.5)::int as {c}" for k, c in enumerate("rgb"))} from (
+  select *, {", ".join(f"greatest(0, least(1, {_mixed(row, 'x y z')})) as c{k}" for k, row in enumerate(stain.XYZ_RGB))} from (
+    select l_orderkey, l_linenumber, case when fx ** 3 > 0.008856 then fx ** 3 else (fx * 116 - 16) / 903.3 end * 0.95047 as x, case when light > 903.3 * 0.008856 then fy ** 3 else light / 903.3 end as y,
+           case when fz ** 3 > 0.008856 then fz ** 3 else (fz * 116 - 16) / 903.3 end * 1.08883 as z from (
+      select *, (light + 16) / 116 as fy, la / 500 + (light + 16) / 116 as fx, (light + 16) / 116 - lb / 200 as fz from (
+        select l_orderkey, l_linenumber, case when dark < 50 then (greatest(dark, 0) / 50) ** 1.3 * 50 else least(100, dark * 1.08 + 3) end as light, (f0 - f1) * 500 * case when dark < 50 then 1.1 else 0.6 end as la, (f1 - f2) * 200 * case when dark < 50 then 1.1 else 0.6 end as lb from (
+          select *, f1 * 116 - 16 as dark from (
+            select *, {", ".join(f"case when v{k} > 0.008856 then v{k} ** (1 / 3) else (v{k} * 903.3 + 16) / 116 end as f{k}" for k in range(3))} from (
+              select *, {", ".join(f"({_mixed(row, 'n0 n1 n2')}) / {white}::double as v{k}" for k, (row, white) in enumerate(zip(stain.RGB_XYZ, stain.WHITE, strict=True)))} from (
+                select l_orderkey, l_linenumber, {", ".join(f"case when {c} / 255.0::double > 0.04045 then (({c} / 255.0::double + 0.055) / 1.055) ** 2.4 else {c} / 255.0::double / 12.92 end as n{k}" for k, c in enumerate("rgb"))} from p))))))))"""
+
+
+@query(f"""
+with {RGB}, u as (select l_orderkey, l_linenumber, r / 255.0::double as r, g / 255.0::double as g, b / 255.0::double as b from p), m as (select *, greatest(r, g, b) as hi, least(r, g, b) as lo from u),
+hsl as (select l_orderkey, l_linenumber, (hi + lo) / 2 as l, case when hi = lo then 0 when (hi + lo) / 2 > 0.5 then (hi - lo) / (2 - hi - lo) else (hi - lo) / (hi + lo) end as s,
+  case when hi = lo then 0 when hi = r then (g - b) / (hi - lo) + case when g < b then 6 else 0 end when hi = g then (b - r) / (hi - lo) + 2 else (r - g) / (hi - lo) + 4 end * 60 as h from m)
+{_hsl_sql("gram")} union all {_hsl_sql("afb")} union all {_LAB_SQL}
+""")
 def enhance_special_stains(spark, sf_dir):
-    df = pixels(spark, sf_dir)
-    for kind in ("gram", "afb", "gms"):
-        df = stain.enhanced(df, "rgb", kind, [f"{kind}_{c}" for c in "rgb"])
-    return df.drop("l_suppkey", "r", "g", "b")
+    # One branch for each stain: their expressions in one stage are more than the compiler of the JVM takes.
+    branches = [stain.enhanced(pixels(spark, sf_dir), "rgb", k, ["r2", "g2", "b2"]).select("l_orderkey", "l_linenumber", F.lit(k).alias("stain"), *[F.col(f"{c}2").alias(c) for c in "rgb"]) for k in ("gram", "afb", "gms")]
+    return branches[0].union(branches[1]).union(branches[2])
 
 
 def _samples(spark, sf_dir):
