@@ -23,7 +23,13 @@ def rate_limit_dual(spark, sf_dir):
     return e.select("user_id", "event_id", "burst_count", "long_count", "denied")
 
 
-@query()
+@query("""
+with recursive e as (select user_id, event_id, epoch_us(ts) // 1000 as t, row_number() over (partition by user_id order by ts, event_id) as k from events), g as (
+  select user_id, event_id, t, k, t as last, true as passed from e where k = 1 union all
+  select e.user_id, e.event_id, e.t, e.k, case when e.t - g.last >= 36000000 then e.t else g.last end, e.t - g.last >= 36000000 from g join e on e.user_id = g.user_id and e.k = g.k + 1
+)
+select user_id, event_id, t, passed from g
+""")
 def rerequest_gate(spark, sf_dir):
     e = events(spark, sf_dir).select("user_id", "event_id", "t")
     return limits.gated(e, ["user_id"], "t", "event_id", 36_000_000)
@@ -52,7 +58,14 @@ def progress_latest(spark, sf_dir):
     return views.latest_progress(events(spark, sf_dir).select("user_id", "event_type", "t"), "user_id", "t")
 
 
-@query()
+@query("""
+with recursive n as (select user_id, epoch_us(ts) // 1000 as t, row_number() over (partition by user_id order by ts) as done from events),
+e as (select user_id, t, done, row_number() over (partition by user_id order by t, done) as k from n where done % 5 = 0), g as (
+  select user_id, done, t, k, t as last, true as passed from e where k = 1 union all
+  select e.user_id, e.done, e.t, e.k, case when e.t - g.last >= 3600000 then e.t else g.last end, e.t - g.last >= 3600000 from g join e on e.user_id = g.user_id and e.k = g.k + 1
+)
+select user_id, t, done from g where passed
+""")
 def progress_throttle(spark, sf_dir):
     from pyspark.sql import Window
 
