@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 #: Burst of 20 in 5 s, 200 in 60 s, 512 arrivals remembered (ST2).
 BURST, BURST_MS, LONG, LONG_MS, REMEMBERED = 20, 5_000, 200, 60_000, 512
@@ -52,23 +54,26 @@ def rate_limit_stream(events: DataFrame, key: str, at: str, order: str, burst: i
 def gated(events: DataFrame, keys: list[str], at: str, order: str, interval: int) -> DataFrame:
     """Adds ``passed``: at least ``interval`` since the last event that passed (ST3, ST5, ST15).
 
-    A pause of ``interval`` starts a burst in which nothing before matters, so bursts, not keys, are the groups.
+    A pause of ``interval`` starts a burst in which nothing before matters, so bursts, not keys, are dealt to tasks.
+    Each task reads its bursts in order, batch by batch. Events without a time do not pass.
     """
     w = Window.partitionBy(*keys).orderBy(at, order)
     pause = F.coalesce(F.col(at) - F.lag(at).over(w) >= interval, F.lit(True))
-    bursts = events.withColumn("_burst", F.sum(pause.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([at, order])
-        last, out = None, []
-        for t in rows[at].tolist():
-            ok = last is None or t - last >= interval
-            last = t if ok else last
-            out.append(ok)
-        return rows.drop(columns="_burst").assign(passed=out)
-
-    schema = events.schema.add("passed", "boolean")
-    return bursts.groupBy(*keys, "_burst").applyInPandas(run, schema)
+    bursts = events.withColumn("_first", pause).withColumn("_burst", F.sum(F.col("_first").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    columns = events.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0
+        for batch in batches:
+            out = []
+            for t, first in zip(batch.column(at).to_pylist(), batch.column("_first").to_pylist(), strict=True):
+                ok = t is not None and (first or t - last >= interval)
+                last = t if ok else last
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(out, pa.bool_())], [*columns, "passed"])
+
+    dealt = bursts.repartition(*keys, "_burst").sortWithinPartitions(*keys, "_burst", at, order)
+    return dealt.mapInArrow(run, StructType([*events.schema.fields, StructField("passed", BooleanType())]))
 
 
 def gate_stream(events: DataFrame, key: str, at: str, order: str, interval: int) -> DataFrame:
