@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import messy
@@ -31,3 +33,16 @@ def test_every_counted_word_has_its_own_ratio(spark, monkeypatch, broadcast):
     low = {i for i, s in whole if s < 0.6}
     assert 0 < len(low) < len(whole)
     assert {-1 if r.doc_id is None else r.doc_id for r in toxicity.without(docs, trained, 0.6).collect()} == low
+
+
+def test_more_neighbours_than_16_bits():
+    texts = [" ".join(f"n{i} the" for i in range(k, k + 1000)) for k in range(0, 70_000, 1000)]
+    batch = lambda kind: pa.RecordBatch.from_arrays([pa.array([kind] * len(texts), pa.int32()), pa.array(texts)], ["kind", "text"])
+    sent = pa.Table.from_batches(list(toxicity._send(2)(iter([batch(1), batch(8)]))))
+    of = toxicity.words(np.frombuffer(b"the", np.uint8), np.array([0, 3]))[0].view(np.int64)[0]
+    got = []
+    for part in set(sent.column("part").to_pylist()):
+        counted = toxicity._count(sent.filter(pa.array([p == part for p in sent.column("part").to_pylist()])))
+        got += [r for r in counted.to_pylist() if r["word"] == of]
+    assert len(got) == 4  # a frequent word is spread
+    assert [sum(r[c] for r in got) for c in ("ordinary", "toxic", "half_ordinary", "half_toxic")] == [70_000, 70_000, 70_000, 0]
