@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm import messy
-from tilewright.llm import toxicity
+from tilewright.llm import packing, toxicity
 
 
 # --- toxicity
@@ -46,3 +46,15 @@ def test_more_neighbours_than_16_bits():
         got += [r for r in counted.to_pylist() if r["word"] == of]
     assert len(got) == 4  # a frequent word is spread
     assert [sum(r[c] for r in got) for c in ("ordinary", "toxic", "half_ordinary", "half_toxic")] == [70_000, 70_000, 70_000, 0]
+
+
+# --- packing
+
+
+def test_a_multiple_of_the_capacity_is_cut_evenly_anywhere(spark):
+    import public_tokenizers as public
+
+    words = "a" + " a" * 62  # 63 ids and the end id
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a", words, "a a", words])], "doc_id long, text string").coalesce(1)
+    cut = packing.pieces(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, 32).collect()
+    assert [(r.doc_id, r.piece, r.start, r.length) for r in cut] == [(0, 0, 0, 2), (1, 0, 0, 32), (1, 1, 32, 32), (2, 0, 0, 3), (3, 0, 0, 32), (3, 1, 32, 32)]

@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end: int = 0
                 ids = ids.astype("<u4", copy=False)
                 rows = []
                 for d, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                    edges = [a, *range(a + (b - a) % capacity or a + capacity, b, capacity), b] if b - a > capacity else [a, b]
+                    edges = [a, *range(a + ((b - a) % capacity or capacity), b, capacity), b] if b - a > capacity else [a, b]
                     rows += [(d, k, x - a, y - x, zlib.crc32(ids[x:y]), x, y) for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False))]
                 where, k, start, length, crc, x, y = map(list, zip(*rows, strict=True)) if rows else [[]] * 7
                 columns = [doc_ids.slice(i, j - i).take(pa.array(where, pa.int64())), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
