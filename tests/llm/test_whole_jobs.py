@@ -58,3 +58,47 @@ def test_a_multiple_of_the_capacity_is_cut_evenly_anywhere(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a", words, "a a", words])], "doc_id long, text string").coalesce(1)
     cut = packing.pieces(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, 32).collect()
     assert [(r.doc_id, r.piece, r.start, r.length) for r in cut] == [(0, 0, 0, 2), (1, 0, 0, 32), (1, 1, 32, 32), (2, 0, 0, 3), (3, 0, 0, 32), (3, 1, 32, 32)]
+
+
+def plain_values(rows, labels, counted):
+    """Each text's value by plain counts over the texts of ``counted``: a brute-force version of model and expressions."""
+    import math
+    import re
+    from collections import defaultdict
+
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", messy.lower(t))
+    before = [defaultdict(set), defaultdict(set)]
+    for i, t in rows:
+        if i in counted and labels.get(i) is not None:
+            w = split(t)
+            for a, b in zip([None, *w], w, strict=False):
+                before[labels[i]][b].add(a)
+    n = [{w: len(x) for w, x in c.items()} for c in before]
+    k, v = [sum(c.values()) for c in n], [len(c) for c in n]
+    one, two = ([sum(x == m for x in c.values()) for c in n] for m in (1, 2))
+    d = [a / (a + 2 * b) if a else 0.5 for a, b in zip(one, two, strict=True)]
+    size = sum(v) + 0.5 * (max(v) + 1)
+    free = max(x * y / z for x, y, z in zip(d, v, k, strict=True))
+
+    def log(c, w):
+        shared = (sum(w in x for x in n) + 0.5) / size
+        return math.log((1 - free) * max(n[c].get(w, 0) - d[c], 0) / (k[c] - d[c] * v[c]) + free * shared)
+
+    def value(t):
+        r = [log(1, w) - log(0, w) for w in split(t)]
+        return max([x / (1 + toxicity.PRIOR) for x in r] + [(a + b) / (2 + toxicity.PRIOR) for a, b in zip(r, r[1:], strict=False)], default=-math.inf)
+
+    return [value(t) for _, t in rows]
+
+
+@pytest.mark.parametrize("broadcast", [0, 60, 1 << 18])
+def test_values_equal_plain_counts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(toxicity, "WORDS", broadcast)
+    rows = toxic_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(1000, 1), (None, 0)], "doc_id long, toxic int")
+    trained = toxicity.train(docs, labels)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, round(r.value, 9)) for r in toxicity.valued(docs, trained).collect())
+    counted = {i for i in range(400) if messy.fold(i, 3) != 1}
+    assert got == sorted((-1 if i is None else i, round(x, 9)) for (i, _), x in zip(rows, plain_values(rows, {i: i % 2 for i in range(400)}, counted), strict=True))
+    assert broadcast or not len(trained.model.word)  # all words by the table
