@@ -158,7 +158,6 @@ def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     capacity = 256
     cut = packing.pieces(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, capacity, with_ids=True).collect()
     expected = Counter()

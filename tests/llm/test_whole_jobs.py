@@ -102,3 +102,38 @@ def test_values_equal_plain_counts(spark, monkeypatch, broadcast):
     counted = {i for i in range(400) if messy.fold(i, 3) != 1}
     assert got == sorted((-1 if i is None else i, round(x, 9)) for (i, _), x in zip(rows, plain_values(rows, {i: i % 2 for i in range(400)}, counted), strict=True))
     assert broadcast or not len(trained.model.word)  # all words by the table
+
+
+def pieces_by_tokenizers(rows, capacity):
+    """(doc_id, piece, start, length, crc32) as the contract says, by ``tokenizers`` alone."""
+    import zlib
+
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    for (i, _), e in zip(rows, t.encode_batch([x or "" for _, x in rows], add_special_tokens=False), strict=True):
+        ids = np.array([*e.ids, 0], "<u4")
+        head = len(ids) % capacity or capacity
+        edges = [0, len(ids)] if len(ids) <= capacity else [0, *range(head, len(ids) + 1, capacity)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            yield i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())
+
+
+def test_added_tokens_have_their_id(spark):
+    end = "<|endoftext|>"
+    parts = ["a", " ", "  ", "\n", " b", "'s", end, end + end, "<|endof", "text|>", "é", "<|ENDOFTEXT|>", "\u3000", "7"]
+    rng = random.Random(2)
+    texts = [end, end + "a", "a" + end, f"a {end} b", f"a  {end}  b", f"a{end}{end}b", "<|endof", "text|>", end[:-1], f" {end}", f"{end} ", None, ""]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.pack_documents(docs, 16).collect()]
+    assert sorted(got) == sorted(pieces_by_tokenizers(rows, 16))
+
+
+def test_every_piece_of_the_table_equals_tokenizers(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.query(spark, sf_dir).collect()]
+    assert sorted(got) == sorted(pieces_by_tokenizers(rows, packing.CAPACITY))

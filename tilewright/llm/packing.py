@@ -1,7 +1,8 @@
 """Best-two-fit packing of token documents into sequences of fixed length.
 
 Tokenizing works on stretches that start at a space before a visible character: byte-level pre-tokenizers always split
-there, so a stretch has the same ids wherever it stands. Each distinct stretch of a batch is encoded once.
+there, so a stretch has the same ids wherever it stands. Added tokens of the vocabulary are stretches of their own with
+their one id, and end the text before them. Each distinct stretch of a batch is encoded once.
 
 Packing works on lengths alone. Pieces are dealt evenly to shards of about ``SHARD_ROWS``, and each shard is packed by
 itself; a shard wastes about one sequence, so as few sequences are used as in one large packing, nearly.
@@ -10,6 +11,8 @@ itself; a shard wastes about one sequence, so as few sequences are used as in on
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -31,11 +34,15 @@ _VISIBLE = np.isin(np.arange(256), [*range(0x21, 0x7F), *range(0xC3, 0xE0), *ran
 
 
 class StretchTokenizer:
-    """Token ids of texts by a byte-level BPE given as a file of ranks; special strings in a text are ordinary text."""
+    """Token ids of texts by a byte-level BPE given as a file of ranks, and by added tokens, which have an id as a whole."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
+        self.added = {k.encode(): v for k, v in (added or {}).items()}
+        # At one place the longest added token wins.
+        self.find_added = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))).finditer if self.added else None
+
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.clear()
@@ -46,7 +53,7 @@ class StretchTokenizer:
         self.used = 0
 
     def _learn(self, key: int, text: bytes) -> int:
-        got = self.encode(text.decode())
+        got = [self.added[text]] if text in self.added else self.encode(text.decode())
         if self.used + len(got) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(got)), np.uint32)])
         self.ids[self.used : self.used + len(got)] = got
@@ -54,6 +61,14 @@ class StretchTokenizer:
         self.used += len(got)
         return out
 
+    def added_spans(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Starts and ends of added tokens, two columns; none goes over the end of a text."""
+        spans = np.array([m.span() for m in self.find_added(raw)], np.int64).reshape(-1, 2)
+        if (np.searchsorted(offsets, spans[:, 0], "right") != np.searchsorted(offsets, spans[:, 1] - 1, "right")).any():
+            at = offsets.tolist()
+            spans = np.array([(m.start() + a, m.end() + a) for a, b in zip(at, at[1:], strict=False) for m in self.find_added(raw[a:b])], np.int64).reshape(-1, 2)
+        return spans
+
     def encode_run(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of all texts of a run, each followed by the id ``end``."""
         if len(self.at) > REMEMBERED:
@@ -62,11 +77,17 @@ class StretchTokenizer:
         cut = np.zeros(len(data) + 1, bool)
         if len(data):
             cut[: len(data) - 1] = (data[:-1] == 0x20) & _VISIBLE[data[1:]]
+        raw = data.tobytes()
+        if self.find_added:
+            spans = self.added_spans(raw, offsets)
+            # White space before an added token ends a text: it is not parted.
+            cut[spans[spans[:, 0] > 0, 0] - 1] = False
+            cut[spans.ravel()] = True
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(cut[: len(data)])
         ends = np.append(starts[1:], len(data))[: len(starts)]
         keys, first, which = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        raw, keys = data.tobytes(), keys.tolist()
+        keys = keys.tolist()
         known = list(map(self.at.get, keys))
         for k in [k for k, x in enumerate(known) if x is None]:
             known[k] = self._learn(keys[k], raw[starts[first[k]] : ends[first[k]]])
@@ -85,15 +106,15 @@ class StretchTokenizer:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end: int = 0, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """Documents (doc_id, text) as pieces of at most ``capacity`` ids, the id ``end`` after each text.
 
     Only longer documents are cut, into pieces of ``capacity``; the first takes what is left over. A null or empty
-    text is the end id alone. Returns doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
+    text is the end id alone. Strings of ``added`` have their id wherever they stand in a text. Returns doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = StretchTokenizer(path, pattern)
+        tokenizer = StretchTokenizer(path, pattern, added)
         for batch in batches:
             data, offsets = flat(batch.column(1))
             doc_ids = batch.column(0).cast(pa.int64())
@@ -197,11 +218,21 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
 CAPACITY = 2048
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a vocabulary file of ``tokenizers``, as texts with their ids; only ones without conditions."""
+    with open(path) as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("an added token asks for what stands around it")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``docs`` (doc_id, text) cut into pieces and packed, with the public byte-level vocabulary of 50k."""
     import public_tokenizers as public
 
-    return pack(pieces(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, capacity), capacity)
+    added = added_tokens(public.path("byte_bpe_50k.json"))
+    return pack(pieces(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, capacity, added=added), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
