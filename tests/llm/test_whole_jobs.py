@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm import messy
-from tilewright.llm import packing, toxicity
+from tilewright.llm import jaccard, packing, toxicity
 
 
 # --- toxicity
@@ -137,3 +137,56 @@ def test_every_piece_of_the_table_equals_tokenizers(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.query(spark, sf_dir).collect()]
     assert sorted(got) == sorted(pieces_by_tokenizers(rows, packing.CAPACITY))
+
+
+# --- Jaccard join
+
+
+def components_of(df, **options):
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(df, **options).collect())
+
+
+def test_a_class_of_a_third_of_all_rows(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(jaccard, "HOT", 10)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base)] * 150 + [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(2, 52)] + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(20)) for _ in range(400)]
+    order = rng.sample(range(len(texts)), len(texts))
+    docs = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")
+    least = min(i for i, k in enumerate(order) if k < 200)
+    expected = sorted((i, len(messy.shingles(texts[k])), least if k < 200 else i) for i, k in enumerate(order))
+    assert components_of(docs) == expected
+    assert sorted(r.doc_id for r in jaccard.stage_function(spark, docs, "").collect()) == sorted(i for i, k in enumerate(order) if k >= 200 or i == least)
+
+
+def test_a_shingle_of_thousands_of_unlike_documents(spark):
+    # Four fifths of each text are common, which is not enough; one pair differs by a word only.
+    common = " ".join(f"c{k}" for k in range(84))
+    texts = [" ".join([common, *(f"d{i}x{k}" for k in range(20))]) for i in range(3000)] + [" ".join([common, *(f"d7x{k}" for k in range(19)), "other"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert components_of(docs) == [(i, 100, 7 if i == 3000 else i) for i in range(3001)]
+
+
+@pytest.mark.parametrize("words,percent", [(1, 50), (2, 60), (5, 90)])
+def test_classes_of_other_sizes_and_percents(spark, words, percent):
+    rows = [(i, t) for i, (_, t, _) in enumerate(messy.rows())]
+
+    def grams(t):
+        w = messy.words(t)
+        return frozenset() if not w else frozenset([tuple(w)]) if len(w) < words else frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1))
+
+    sets = [grams(t) for _, t in rows]
+    at = list(range(len(sets)))
+    for _ in range(len(sets)):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and 100 * len(a & b) >= percent * len(a | b):
+                    at[i] = at[j] = min(at[i], at[j])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert components_of(docs, words=words, percent=percent) == [(i, len(a), c) for (i, _), a, c in zip(rows, sets, at, strict=True)]
+
+
+def test_jaccard_stage_takes_map_columns(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, {"a": 1}), (1, text, {"b": 2}), (2, text, None), (3, "x", {})], "doc_id long, text string, m map<string,int>")
+    assert sorted(r.doc_id for r in jaccard.stage_function(spark, docs, "").collect()) == [1, 3]

@@ -9,15 +9,22 @@ A document's set holds 64-bit hashes of its distinct word shingles. Steps, each
    that some partner must meet is kept as postings (shingle, set, size, what remains from there on).
 3. Groups: on each shingle every set is compared with one hub, the one that shares most of itself. Components of the
    links found are groups of similar documents.
-4. Token-group matrix: for each shingle and group, the union of its members' postings with the range of sizes and the
-   most that remains. A query set and a group of another component meet on a shingle; what remains bounds their
-   overlap. Only groups whose bound reaches the need are opened, and their members compared.
+4. Token-group matrix: for each shingle, group and size step, the union of its members' postings with the range of
+   sizes and the most that remains. What remains of a query set from a shingle on also limits how large a partner can
+   be, so a set meets only groups of the size steps that it can reach: of thousands of unlike documents on one shingle
+   few meet. What remains bounds their overlap. Only groups whose bound reaches the need are opened, and their members
+   compared.
 
-Hash ranges count 32 bits beyond the range's own: a clash makes a shingle look shared, which costs work, not links.
+Hash ranges count the 32 bits after the range's own, within the upper 48 bits of a shingle's hash: a clash makes a
+shingle look shared, which costs work, not links. Shingles are compared by 64-bit hashes, sets named by 63-bit ones and
+rows by 64-bit ones, so results are exact up to clashes of those: at 1e10 different sets, some five of them.
+
+Keys that hold a ``HOT``-th of all rows, as a class of copies may, are joined by a broadcast of at most ``HOT`` rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +42,10 @@ WORDS, PERCENT = 5, 75
 CHUNK_SHINGLES, CHUNK_DOCS, RANGE_SHINGLES = 1 << 21, 60_000, 1 << 21
 #: Row keys up to this many (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Keys with at least this share (one of so many) of a table's rows are joined by broadcast.
+HOT = 1000
+#: Logarithm of the ratio of two size steps.
+STEP = math.log(1.15)
 #: Owner of a shingle that several documents of its chunk hold.
 MANY = 0xFFFF
 
@@ -272,6 +283,17 @@ def _bits(shingles: int, least: int) -> int:
     return max(1, max(least, -(-shingles // RANGE_SHINGLES)) - 1).bit_length()
 
 
+def _joined(left: DataFrame, key: str, right: DataFrame) -> DataFrame:
+    """``left`` joined on ``key``, as a left join, to ``right``, which has one row for a key. ``left`` is a staged table.
+
+    Rows of a hot key are not shuffled; as each such key holds a HOT-th of the rows, there are HOT of them at most.
+    """
+    n = left.count()
+    hot = stage(left.groupBy(key).count().where(F.col("count") * HOT >= n).select(key).join(right, key, "left"), "hot-keys")
+    few = F.broadcast(hot)
+    return left.join(few, key).union(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key, "left"))
+
+
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Documents of ``docs`` (doc_id, text) with their class: (doc_id, row_key, n_shingles, sig, class), staged.
 
@@ -315,17 +337,22 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     first = stage(links(stars.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))), "jaccard-stars")
     group = components(first)
 
+    step = lambda n: F.floor(F.log(n) / F.lit(STEP)).cast("int")
     member = stage(postings.join(group, postings["sig"] == group["node"], "left").select(*postings.columns, F.coalesce("label", "sig").alias("group")), "jaccard-members")
-    matrix = member.groupBy("token", "group").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("remains").alias("most_remains"))
-    many = matrix.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("token")
-    matrix = matrix.join(many, "token", "left_semi").withColumnRenamed("group", "other")
+    many = member.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("token")
+    shared = stage(member.join(many, "token", "left_semi").withColumn("step", step(F.col("n"))), "jaccard-shared")
+    matrix = shared.groupBy("token", F.col("group").alias("other"), "step").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("remains").alias("most_remains"))
+    # A partner of m shingles fits and needs no more than remains: (n + m) * percent / (100 + percent) <= remains.
+    low = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / F.lit(100) - F.lit(1e-6)))
+    high = F.least(F.floor(F.col("n") * 100 / F.lit(percent) + F.lit(1e-6)), F.floor(F.col("remains") * (100 + percent) / F.lit(percent) + F.lit(1e-6)) - F.col("n"))
     reach = (100 * F.col("n") >= percent * F.col("least_n")) & (100 * F.col("most_n") >= percent * F.col("n")) & (F.least("remains", "most_remains") >= need(F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / F.lit(100)))))
-    opened = member.join(matrix, "token").where((F.col("group") != F.col("other")) & reach).select("token", "sig", "n", "remains", "other")
-    inside = member.select("token", F.col("sig").alias("m"), F.col("n").alias("m_n"), F.col("remains").alias("m_remains"), F.col("group").alias("other"))
-    pairs = opened.join(inside, ["token", "other"]).where((F.col("sig") < F.col("m")) & fits(F.col("n"), F.col("m_n")) & (F.least("remains", "m_remains") >= need(F.col("n"), F.col("m_n"))))
+    asks = shared.where(high >= low).drop("step").withColumn("step", F.explode(F.sequence(step(low), step(high))))
+    opened = asks.join(matrix, ["token", "step"]).where((F.col("group") != F.col("other")) & reach).select("token", "step", "sig", "n", "remains", "other")
+    inside = shared.select("token", "step", F.col("sig").alias("m"), F.col("n").alias("m_n"), F.col("remains").alias("m_remains"), F.col("group").alias("other"))
+    pairs = opened.join(inside, ["token", "step", "other"]).where((F.col("sig") < F.col("m")) & fits(F.col("n"), F.col("m_n")) & (F.least("remains", "m_remains") >= need(F.col("n"), F.col("m_n"))))
     second = links(pairs.select(F.col("sig").alias("a"), F.col("m").alias("b")))
     label = components(first.union(second))
-    named = known.where("n_shingles > 0").join(label, known["sig"] == label["node"], "left").select("doc_id", "row_key", "n_shingles", "sig", F.coalesce("label", "sig").alias("class"))
+    named = _joined(known.where("n_shingles > 0"), "sig", label.withColumnRenamed("node", "sig")).select("doc_id", "row_key", "n_shingles", "sig", F.coalesce("label", "sig").alias("class"))
     return stage(named.union(known.where("n_shingles = 0").select("doc_id", "row_key", "n_shingles", "sig", F.lit(None).cast("long").alias("class"))), "jaccard-classes")
 
 
@@ -336,8 +363,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     alone, or an unlinked null id, has a null component_id. See ``jaccard_classes`` for the rest.
     """
     classes = jaccard_classes(docs, words, percent)
-    least = classes.where("class is not null").groupBy(F.col("class").alias("c")).agg(F.min("doc_id").alias("component_id"))
-    joined = classes.where("class is not null").join(least, F.col("class") == F.col("c")).select("doc_id", "n_shingles", "component_id")
+    linked = classes.where("class is not null")
+    joined = _joined(linked, "class", linked.groupBy("class").agg(F.min("doc_id").alias("component_id"))).select("doc_id", "n_shingles", "component_id")
     return joined.union(classes.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -349,15 +376,15 @@ def stage_function(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pipeline stage: one document of each class stays, that with the smallest doc_id (nulls last, then by a hash of
     the text); documents without words all stay. Of rows equal in doc_id and text one stays."""
     classes = jaccard_classes(docs).where("class is not null")
-    best = classes.groupBy(F.col("class").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("best")).select("c", F.col("best.row_key").alias("stays"))
-    judged = classes.join(best, F.col("class") == F.col("c")).groupBy("row_key").agg(F.max(F.col("row_key") == F.col("stays")).alias("stays"), F.count("*").alias("rows"))
+    best = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("best")).select("class", F.col("best.row_key").alias("stays"))
+    judged = _joined(classes, "class", best).groupBy("row_key").agg(F.max(F.col("row_key") == F.col("stays")).alias("stays"), F.count("*").alias("rows"))
     gone = stage(judged.where("not stays").select("row_key"), "jaccard-gone")
     twice = stage(judged.where("stays and rows > 1").select("row_key"), "jaccard-repeated")
     hint = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), row).join(hint(gone), "row_key", "left_anti")
     once = rows.join(hint(twice), "row_key", "left_anti")
-    again = rows.join(hint(twice), "row_key", "left_semi").groupBy("row_key").agg(F.min("row").alias("row"))
+    again = rows.join(hint(twice), "row_key", "left_semi").groupBy("row_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return once.select("row.*").union(again.select("row.*"))
 
 
