@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import packets, text
-from tilewright.operators import catalog, geometry, masks, placement, pyramid, viewport
+from tilewright.operators import catalog, geometry, masks, placement, pyramid, stain, viewport
 from tilewright.sources import objects, raw_slide
 from tilewright.streaming import limits, views
 
@@ -234,3 +234,93 @@ def test_soft_delete_happens_once(spark):
     base = spark.createDataFrame([(1, None), (2, 5), (3, None)], "id long, deleted_at long")
     gone = spark.createDataFrame([(1,), (2,)], "id long")
     assert {tuple(r) for r in catalog.soft_delete(base, gone, "id", 9).select("id", "deleted_at").collect()} == {(1, 9), (2, 5), (3, None)}
+
+
+# --- what follows formulas, by known values
+
+
+def test_painted_patches(spark):
+    import numpy as np
+
+    pixels = masks.brush(spark.createDataFrame([(1, 511, 3, 2), (2, 0, 0, 1)], "id long, cx int, cy int, radius int"))
+    got = {(r.id, r.patch_x, r.patch_y): np.unpackbits(np.frombuffer(r.data, np.uint8).reshape(512, 64), axis=1, bitorder="little") for r in masks.painted(pixels).collect()}
+    expected = {}
+    for i, cx, cy, radius in ((1, 511, 3, 2), (2, 0, 0, 1)):
+        for dx in range(-radius, radius + 1):
+            for dy in range(-radius, radius + 1):
+                x, y = cx + dx, cy + dy
+                if dx * dx + dy * dy <= radius * radius and x >= 0 and y >= 0:
+                    expected.setdefault((i, x // 512, y // 512), np.zeros((512, 512), np.uint8))[y % 512, x % 512] = 1
+    assert got.keys() == expected.keys() and all((got[k] == expected[k]).all() for k in got)
+
+
+def test_factorisation_keeps_its_own_concentrations():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 2)) * 2 @ np.array(stain.REFERENCE).T + rng.random((400, 3)) * 0.02
+    w, h = stain.nmf(x)
+    assert np.allclose(np.linalg.norm(w, axis=0), 1) and np.abs(h @ w.T - x).max() < 0.2
+    m, most = stain.parameters(x, "vahadane")
+    assert np.array_equal(m, w) and np.allclose(most, np.sort(h, axis=0)[int(400 * 0.99)])
+    assert np.array_equal(stain.amounts(np.ones((1, 3)), np.ones((3, 2))), [[1.0, 1.0]])  # singular
+
+
+def test_sharpening_modes():
+    import numpy as np
+
+    p = np.full((3, 3, 4), 200, np.uint8)
+    p[1, 1, :3] = (250, 240, 230)
+    first, second = stain.sharpen(p, 0.8), stain.sharpen(p, 0.3, "clamp", 2.0)
+    y, e = 0.299 * 250 + 0.587 * 240 + 0.114 * 230, 200.0
+    blur = (4 * y + 12 * e) / 16
+    assert [*first[1, 1, :3]] == [min(255, round(v * min(255, y + 0.8 * (y - blur)) / y)) for v in (250, 240, 230)]
+    assert [*second[1, 1, :3]] == [min(255, int(v * (y + 0.3 * (y - blur)) / y)) for v in (250, 240, 230)]
+    black = np.zeros((3, 3, 4), np.uint8)
+    black[0, 0] = 255
+    assert (stain.sharpen(black, 0.3, "clamp", 2.0)[1, 1] == 0).all()
+
+
+def test_part_of_an_ancestor_at_the_edge(spark):
+    # An image of 1500 by 700: tile (2, 1) of level 0 ends at the edge, and so does its ancestor (0, 0) of level 2.
+    part = viewport.source_part(F.lit(0), F.lit(2), F.lit(1), F.lit(2), F.lit(1500), F.lit(700), F.lit(375), F.lit(175))
+    got = spark.range(1).select(*[v.alias(k) for k, v in part.items()]).first()
+    assert (got.sx, got.sy, got.s_width, got.s_height) == pytest.approx((256.0, 128.0, (1500 - 1024) / 4, (700 - 512) / 4))
+
+
+def test_settled_parameters_stay(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    samples = lambda: (rng.random((700, 2)) @ np.array(stain.REFERENCE).T + 0.05).tolist()
+    df = spark.createDataFrame([("a", samples()) for _ in range(22)], "slide string, samples array<array<double>>")
+    rows = streamed(spark, df, tmp_path, views.settling_parameters).collect()
+    # 5000 samples and 8 tiles make an estimate; after three checks samples are let go.
+    assert [(r.tiles, r.stable) for r in rows] == [(8, False), (12, False), (16, False), (20, True)]
+    assert len({str(r.stain) for r in rows}) == 1 and len({str(r.most) for r in rows}) == 1
+
+
+def test_percentile_of_one_large_group(spark):
+    df = spark.range(50_001).select(F.lit(1).alias("k"), F.when(F.col("id") % 7 == 0, None).otherwise(F.pmod(F.hash("id"), F.lit(5000))).cast("double").alias("v"))
+    values = sorted(r.v for r in df.collect() if r.v is not None)
+    for share in (0.0, 0.01, 0.5, 0.99, 1.0):
+        assert stain.floor_percentile(df, "k", "v", share, "p").first().p == values[min(int(len(values) * share), len(values) - 1)]
+
+
+def test_files_of_tiles_and_results(spark, tmp_path):
+    for name in ("s1/0/3_4.webp", "s1/2/0_1.webp", "s1/2/bad.webp", "s1/x/0_1.webp"):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(b"x")
+    assert {(r.id, r.level, r.x, r.y) for r in objects.tile_files(spark, str(tmp_path / "t")).collect()} == {("s1", 0, 3, 4), ("s1", 2, 0, 1)}
+    objects.write_results(spark.createDataFrame([(1, True), (2, False)], "id long, accepted boolean"), str(tmp_path / "out"))
+    read = lambda k: sorted(r.id for r in spark.read.json(str(tmp_path / "out" / k)).collect())
+    assert (read("candidates"), read("accepted"), read("rejected")) == ([1, 2], [1], [2])
+
+
+def test_a_consumer_takes_each_event_once(spark, tmp_path):
+    seen = []
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        objects.consume(stream, lambda batch, _: seen.extend(r.id for r in batch.collect()), str(tmp_path / "cp"), available_now=True).awaitTermination(60)
+    assert sorted(seen) == [0, 1, 2, 3, 4]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 #: Fixed value: the namespace of slide ids.
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
@@ -197,9 +199,6 @@ def permalink_rectangle(text: Column) -> Column:
 
 def merged_json(target: Column, source: Column) -> Column:
     """Two JSON objects merged into each other; the source wins and arrays are replaced (F28). A UDF: shapes are free."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
     def merge(a: pd.Series, b: pd.Series) -> pd.Series:
         import json

@@ -66,6 +66,17 @@ def search(text: str, *columns: str) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(wanted)) for c in columns])
 
 
+def lookup(df: DataFrame, key: str, value: object, deleted_at: str | None = None) -> DataFrame:
+    """The row of one key, if there is one (S1, S3); with ``deleted_at``, only while it is live."""
+    found = df.where(F.col(key) == F.lit(value))
+    return found.where(live(deleted_at)) if deleted_at else found
+
+
+def pruned(df: DataFrame, heavy: Sequence[str], wanted: bool = False) -> DataFrame:
+    """A listing without its heavy columns, unless they are wanted (P7): the scan then doesn't read them."""
+    return df if wanted else df.drop(*heavy)
+
+
 def first_known(candidates: Sequence[Column], known: Sequence[object]) -> Column:
     """The first candidate that is one of the known values."""
     return F.coalesce(*[F.when(c.isin(*known), c) for c in candidates], F.lit(known[0]))
@@ -183,6 +194,12 @@ def merge_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return fresh.withColumn("front", F.lit(True)).unionByName(existing.withColumn("front", F.lit(False)))
 
 
+def append_page(shown: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
+    """Rows shown, and after them those of the next page that are not shown yet (U4); ``appended`` tells which."""
+    fresh = fetched.join(shown.select(key), key, "left_anti").select(*shown.columns)
+    return shown.withColumn("appended", F.lit(False)).unionByName(fresh.withColumn("appended", F.lit(True)))
+
+
 def difference(desired: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """(key, action) to create what is desired only and delete what exists only."""
     create = desired.select(key).distinct().join(existing, key, "left_anti").withColumn("action", F.lit("create"))

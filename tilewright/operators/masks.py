@@ -129,12 +129,20 @@ def brush(strokes: DataFrame, patch: int = PATCH) -> DataFrame:
 
 
 def painted(pixels: DataFrame, patch: int = PATCH) -> DataFrame:
-    """Pixels of ``brush`` as packed patches (id, patch_x, patch_y, data): rows are packed in Spark, then joined."""
-    bit = F.shiftleft(F.lit(1), F.pmod("x", F.lit(8)).cast("int"))
+    """Pixels of ``brush`` as packed patches (id, patch_x, patch_y, data): bytes are put together in Spark, then a patch
+    at a time, which has patch * patch / 8 of them at most."""
+    bit = F.expr("shiftleft(1, cast(pmod(x, 8) as int))")
     bytes_ = pixels.groupBy("id", "patch_x", "patch_y", (F.col("y") * (patch // 8) + F.floor(F.col("x") / 8)).cast("int").alias("at")).agg(F.bit_or(bit).alias("byte"))
-    hexes = F.transform(F.sequence(F.lit(0), F.lit(patch * patch // 8 - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0))), 2, "0"))
-    per = bytes_.groupBy("id", "patch_x", "patch_y").agg(F.map_from_entries(F.collect_list(F.struct("at", "byte"))).alias("m"))
-    return per.select("id", "patch_x", "patch_y", F.unhex(F.array_join(hexes, "")).alias("data"))
+    kind = dict(pixels.dtypes)["id"]
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        out = np.zeros(patch * patch // 8, np.uint8)
+        out[rows["at"].to_numpy()] = rows["byte"].to_numpy()
+        return rows[["id", "patch_x", "patch_y"]].head(1).assign(data=[out.tobytes()])
+
+    return bytes_.groupBy("id", "patch_x", "patch_y").applyInPandas(fill, f"id {kind}, patch_x long, patch_y long, data binary")
 
 
 def stroke_points(x0: Column, y0: Column, x1: Column, y1: Column, radius: Column) -> Column:

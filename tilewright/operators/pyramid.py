@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 #: Pixels of a tile's edge; bits of x and y in a key.
 TILE, BITS = 512, 20
@@ -111,9 +113,6 @@ def progress(done: DataFrame, totals: DataFrame, key: str) -> DataFrame:
 
 def is_black(pixels: Column) -> Column:
     """A binary RGBA column holds no red, green or blue above 0; alpha is ignored."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("boolean")
     def black(raw: pd.Series) -> pd.Series:
         import numpy as np

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-# The reference stains (rows: red, green, blue; columns: haematoxylin, eosin) and their concentrations.
+# The reference stains (rows: red, green, blue; columns: nuclear stain, counterstain) and their concentrations.
 REFERENCE = ((0.650, 0.072), (0.704, 0.990), (0.286, 0.105))
 REFERENCE_MOST = (1.9705, 1.0308)
 # Limits of optical density, background, samples, scales and stability.
@@ -53,14 +53,27 @@ def column_stats(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(key).agg(*[a for c in columns for a in (F.avg(c).alias(f"mean_{c}"), F.greatest(F.lit(1e-6), F.stddev_pop(c)).alias(f"std_{c}"))])
 
 
-def floor_percentile(value: str, share: float) -> Column:
-    """Element floor(n * share) of the sorted values, the last one at most (A7). An aggregate.
+#: Accuracy of the approximate percentiles that bound the exact one.
+ACCURACY = 10_000
 
-    Exact, from counts of distinct values by groups; use where a group's values fit in memory.
+
+def floor_percentile(df: DataFrame, key: str, value: str, share: float, name: str) -> DataFrame:
+    """Element floor(n * share) of each key's sorted values, the last one at most (A7). Nulls are left out.
+
+    Exact, and no group is gathered: approximate percentiles a little below and above bound the element; values below
+    the band are counted, those in it are counted by value, and the element is found among these counts.
     """
-    values = F.sort_array(F.collect_list(value))
-    at = F.least(F.floor(F.size(values) * F.lit(share)), F.size(values) - 1)
-    return F.element_at(values, (at + 1).cast("int"))
+    from pyspark.sql import Window
+
+    at = lambda d: min(1.0, max(0.0, share + d / ACCURACY))
+    v = df.select(key, F.col(value).alias("_v")).where("_v is not null")
+    ends = v.groupBy(key).agg(F.percentile_approx("_v", [at(-3), at(3)], ACCURACY).alias("_e"), F.count("*").alias("_n"))
+    ends = ends.select(F.col(key).alias("_k"), F.col("_e")[0].alias("_low"), F.col("_e")[1].alias("_high"), F.least(F.floor(F.col("_n") * F.lit(share)), F.col("_n") - 1).alias("_at"))
+    near = v.join(ends, v[key].eqNullSafe(ends["_k"])).where("_v <= _high or isnan(_v)")
+    counts = near.groupBy(key, F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"), F.first("_at").alias("_at"))
+    upto = F.sum("_c").over(Window.partitionBy(key).orderBy(F.col("_v").asc_nulls_first()))
+    found = counts.withColumn("_upto", upto).where("_v is not null and _upto > _at")
+    return found.groupBy(key).agg(F.min("_v").alias(name))
 
 
 def covariance(df: DataFrame, key: str, columns: Sequence[str] = ("od_r", "od_g", "od_b")) -> DataFrame:
@@ -146,7 +159,8 @@ def macenko(x):
 
 
 def nmf(x, rounds: int = 50, seed: int = 0):
-    """Stain matrix by two-part non-negative factorisation with multiplicative updates and a fixed seed."""
+    """(stain matrix of unit columns, concentrations) by two-part non-negative factorisation with multiplicative updates
+    and a fixed seed (X7)."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
@@ -154,7 +168,17 @@ def nmf(x, rounds: int = 50, seed: int = 0):
     for _ in range(rounds):
         h *= (w.T @ x.T) / (w.T @ w @ h + 1e-10)
         w *= (x.T @ h.T) / (w @ h @ h.T + 1e-10)
-    return w / np.maximum(np.linalg.norm(w, axis=0), 1e-10)
+    size = np.maximum(np.linalg.norm(w, axis=0), 1e-10)
+    return w / size, (h * size[:, None]).T
+
+
+def amounts(x, matrix):
+    """Concentrations, 0 at least, of densities (X6); by a fixed matrix where the stain matrix is singular."""
+    import numpy as np
+
+    gram = matrix.T @ matrix
+    inverse = np.eye(2, 3) if abs(np.linalg.det(gram)) < 1e-10 else np.linalg.inv(gram) @ matrix.T
+    return np.maximum(0, x @ inverse.T)
 
 
 def checked(matrix):
@@ -173,11 +197,16 @@ def checked(matrix):
 
 
 def parameters(x, mode: str):
-    """(3 by 2 matrix, 2 concentrations) of densities."""
+    """(3 by 2 matrix, 2 concentrations) of densities.
+
+    The factorisation's own concentrations count, unless its matrix was swapped or replaced.
+    """
     import numpy as np
 
-    m = checked(macenko(x) if mode == "macenko" else nmf(x))
-    c = np.maximum(0, x @ np.linalg.pinv(m).T)
+    found, c = (macenko(x), None) if mode == "macenko" else nmf(x)
+    m = checked(found)
+    if c is None or not np.array_equal(m, found):
+        c = amounts(x, m)
     most = np.sort(c, axis=0)[min(int(len(c) * 0.99), len(c) - 1)]
     return m, (most if (most >= 0.1).all() and np.isfinite(most).all() else np.array(REFERENCE_MOST))
 
@@ -328,7 +357,11 @@ def toned(channel: Column, contrast: float, gamma: float, brightness: float) ->
 
 
 def sharpen(pixels, amount: float, edges: str = "skip", most_scale: float | None = None):
-    """RGBA (height, width, 4) sharpened by its luminance (X15, X16): ``edges`` skips or repeats what lies outside."""
+    """RGBA (height, width, 4) sharpened by its luminance: ``edges`` skips or repeats what lies outside.
+
+    Without ``most_scale`` the sharpened luminance is kept within 0 to 255, and channels are rounded (X15). With it the
+    factor alone is kept within 0 and ``most_scale``, black pixels stay, and channels are cut down (X16).
+    """
     import numpy as np
 
     p = pixels.astype(float)
@@ -337,12 +370,13 @@ def sharpen(pixels, amount: float, edges: str = "skip", most_scale: float | None
     mode = "edge" if edges == "clamp" else "constant"
     padded, ones = np.pad(y, 1, mode=mode), np.pad(np.ones_like(y), 1, mode=mode)
     blur = lambda a: sum(kernel[i] * kernel[j] * a[i : i + y.shape[0], j : j + y.shape[1]] for i in range(3) for j in range(3))
-    sharp = np.clip(y + amount * (y - blur(padded) / blur(ones)), 0, 255)
-    scale = sharp / np.maximum(y, 0.001)
+    sharp = y + amount * (y - blur(padded) / blur(ones))
     if most_scale:
-        scale = np.minimum(scale, most_scale)
+        scale, whole = np.where(y > 0.255, np.clip(sharp / np.maximum(y, 0.255), 0, most_scale), 1.0), lambda v: np.floor(v + 1e-9)
+    else:
+        scale, whole = np.clip(sharp, 0, 255) / np.maximum(y, 0.001), np.rint
     out = pixels.copy()
-    out[..., :3] = np.rint(np.clip(p[..., :3] * scale[..., None], 0, 255)).astype(np.uint8)
+    out[..., :3] = whole(np.clip(p[..., :3] * scale[..., None], 0, 255)).astype(np.uint8)
     return out
 
 
@@ -403,7 +437,7 @@ def normalised_tiles(tiles: DataFrame, parameters_: DataFrame, key: str) -> Data
                     continue
                 p = np.frombuffer(raw, np.uint8).reshape(-1, 4).copy()
                 density = np.minimum(-np.log10(np.maximum(OD_LEAST, p[:, :3] / 255.0)), OD_MOST)
-                c = np.maximum(0, density @ np.linalg.pinv(np.array([list(r) for r in stain])).T)
+                c = amounts(density, np.array([list(r) for r in stain]))
                 c = c * np.clip(np.where(np.array(most) > 1e-6, np.array(REFERENCE_MOST) / np.maximum(most, 1e-6), 1), LEAST_SCALE, MOST_SCALE)
                 new = np.clip(np.floor(10 ** -(c @ ref.T) * 255 + 0.5), 0, 255).astype(np.uint8)
                 tissue = ~(p[:, :3] > BACKGROUND).all(1)

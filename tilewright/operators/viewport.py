@@ -70,11 +70,15 @@ def visible_tiles(views: DataFrame, first: Column | None = None, margin: int = 0
     return v.withColumn("y", span("ty0", "ty1")).withColumn("x", span("tx0", "tx1")).drop("tx0", "tx1", "ty0", "ty1")
 
 
-def prefetch_ring(views: DataFrame, level: Column, ring: int = 3, most: int = 8) -> DataFrame:
-    """Tiles around the visible ones at one level, nearest first, ``most`` of each view."""
+def prefetch_ring(views: DataFrame, level: Column, decoded: DataFrame, ring: int = 3, most: int = 8) -> DataFrame:
+    """Decoded tiles around the visible ones at one level, row by row, ``most`` of each view.
+
+    ``decoded``: view_id, level, x, y of the tiles that a view's cache holds decoded.
+    """
     inner, outer = (visible_tiles(views, level, margin).where(F.col("level") == level) for margin in (0, ring))
     around = outer.join(inner.select("view_id", "level", "x", "y"), ["view_id", "level", "x", "y"], "left_anti")
-    w = Window.partitionBy("view_id").orderBy(centre_distance(), "level", "y", "x")
+    around = around.join(decoded.select("view_id", "level", "x", "y").distinct(), ["view_id", "level", "x", "y"], "left_semi")
+    w = Window.partitionBy("view_id").orderBy("y", "x")
     return around.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
 
 
@@ -119,11 +123,20 @@ def best_available(tiles: DataFrame, held: DataFrame, keys: Sequence[str], top:
     return tiles.join(found, own, "left").select(*[tiles[c] for c in tiles.columns], "s.*")
 
 
-def source_part(level: Column, x: Column, y: Column, up: Column) -> dict[str, Column]:
-    """The part of an ancestor's tile that shows a tile: sx, sy, size in its pixels."""
-    n = F.pow(F.lit(2.0), up - level)
-    size = F.lit(float(pyramid.TILE)) / n
-    return {"sx": F.pmod(x, n.cast("long")) * size, "sy": F.pmod(y, n.cast("long")) * size, "size": size}
+def source_part(level: Column, x: Column, y: Column, up: Column, width: Column, height: Column, bitmap_width: Column, bitmap_height: Column) -> dict[str, Column]:
+    """The part of an ancestor's bitmap that shows a tile: sx, sy, s_width, s_height in its pixels.
+
+    Both tiles end at the image's edge, and the bitmap stands for what is left of its tile.
+    """
+    step, by = F.pow(F.lit(2.0), level) * pyramid.TILE, F.pow(F.lit(2.0), up - level)
+
+    def along(t: Column, size: Column, bitmap: Column) -> tuple[Column, Column]:
+        start, over = t * step, F.floor(t / by) * by * step
+        span = F.greatest(F.lit(1.0), F.least(over + by * step, size) - over)
+        return (start - over) / span * bitmap, (F.least(start + step, size) - start) / span * bitmap
+
+    (sx, s_width), (sy, s_height) = along(x, width, bitmap_width), along(y, height, bitmap_height)
+    return {"sx": sx, "sy": sy, "s_width": s_width, "s_height": s_height}
 
 
 def prune(entries: DataFrame, view: str, at: str, hard: bool) -> DataFrame:

@@ -44,9 +44,9 @@ def equality_filters(spark, sf_dir):
     return table(spark, sf_dir, "orders").where(catalog.matching({"o_orderstatus": "F", "o_orderpriority": "1-URGENT", "o_custkey": None})).select("o_orderkey", "o_orderpriority")
 
 
-@query("select p_partkey from part where contains(lower(coalesce(p_name, '')), 'a1') or contains(lower(coalesce(p_brand, '')), 'a1') or contains(lower(coalesce(p_type, '')), 'a1')")
+@query("select p_partkey from part where contains(lower(coalesce(p_name, '')), 'brand#1') or contains(lower(coalesce(p_brand, '')), 'brand#1') or contains(lower(coalesce(p_type, '')), 'brand#1')")
 def search_contains(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(catalog.search("  A1 ", "p_name", "p_brand", "p_type")).select("p_partkey")
+    return table(spark, sf_dir, "part").where(catalog.search("  BRAND#1 ", "p_name", "p_brand", "p_type")).select("p_partkey")
 
 
 @query("select s_nationkey, s_suppkey, s_name from (select *, row_number() over (partition by s_nationkey order by s_acctbal, s_suppkey) as k from supplier) where k = 1")

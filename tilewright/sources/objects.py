@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tilewright.functions.text import has_suffix
 
@@ -20,14 +22,23 @@ def with_sidecars(files: DataFrame, path: str) -> DataFrame:
     """Files with the text of <path>.json where that is valid JSON, else null."""
     spark = files.sparkSession
     side = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
-    side = side.select(F.regexp_replace("path", r"\.json$", "").alias("_path"), F.decode("content", "utf-8").alias("_text"))
+    return with_metadata(files, side.select("path", F.decode("content", "utf-8").alias("text")))
+
+
+def with_metadata(files: DataFrame, side: DataFrame) -> DataFrame:
+    """Files (path, ..) with the text of the sidecar (path, text) named <path>.json, null if there is none or it is not JSON."""
+    s = side.where(F.endswith("path", F.lit(".json"))).select(F.regexp_replace("path", r"\.json$", "").alias("_path"), F.col("text").alias("_text"))
     good = F.when(F.try_parse_json("_text").isNotNull(), F.col("_text"))
-    return files.join(side, files["path"] == side["_path"], "left").select(*[files[c] for c in files.columns], good.alias("metadata"))
+    return files.join(s, files["path"] == s["_path"], "left").select(*[files[c] for c in files.columns], good.alias("metadata"))
 
 
 def tile_files(spark: SparkSession, root: str) -> DataFrame:
     """(id, level, x, y, path) of <root>/<id>/<level>/<x>_<y>.webp; other names are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    return tile_paths(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length"))
+
+
+def tile_paths(files: DataFrame) -> DataFrame:
+    """(id, level, x, y, path, length) of files (path, length) that are named like tiles."""
     part = lambda k: F.regexp_extract("path", r"/([^/]+)/(\d+)/(\d+)_(\d+)\.webp$", k)
     return files.where(part(1) != "").select(part(1).alias("id"), part(2).cast("int").alias("level"), part(3).cast("int").alias("x"), part(4).cast("int").alias("y"), "path", "length")
 
@@ -87,9 +98,6 @@ def probe(content: Column) -> Column:
 
     A prefix is enough if the directory lies in it.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("struct<width:long,height:long,description:string>")
     def read(raw: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([first_directory(b) if b is not None else (None, None, None) for b in raw], columns=["width", "height", "description"]).astype({"width": "Int64", "height": "Int64"})
