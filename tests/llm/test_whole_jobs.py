@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm import messy
-from tilewright.llm import jaccard, packing, toxicity
+from tilewright.llm import ann, jaccard, packing, toxicity
 
 
 # --- toxicity
@@ -190,3 +190,35 @@ def test_jaccard_stage_takes_map_columns(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(1, text, {"a": 1}), (1, text, {"b": 2}), (2, text, None), (3, "x", {})], "doc_id long, text string, m map<string,int>")
     assert sorted(r.doc_id for r in jaccard.stage_function(spark, docs, "").collect()) == [1, 3]
+
+
+# --- approximate neighbours
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3 if i % 100 == 50 or i % 7 == 0 else 6).tolist()) for i in range(1200)] + [(5000, [1.0, 2.0]), (5001, [2.0, 1.0])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = total = 0
+    for q, a in rows:
+        if q % 50 == 0:
+            own = [(i, np.array(b)) for i, b in rows if len(b) == len(a) and i != q]
+            best = sorted(own, key=lambda z: -(z[1] @ a) / np.linalg.norm(z[1]))[:5]
+            hits, total = hits + len({i for i, _ in best} & {i for _, i, _ in got[q]}), total + len(best)
+            assert len(got[q]) == len(best)
+    assert hits / total >= 0.9 and [i for _, i, _ in got[5000]] == [5001]
+
+
+def test_equal_vectors_have_equal_scores_in_any_block():
+    rng = np.random.default_rng(7)
+    q, x = rng.normal(size=(40, 64)), rng.normal(size=(500, 64))
+    x[[3, 400]] = x[77]
+    whole = {(r, c): s for r, c, s in zip(*ann._nearest(np.arange(40) + 10_000, q, np.arange(500), x, 500), strict=True)}
+    for r in range(40):
+        assert whole[r, 3] == whole[r, 77] == whole[r, 400]
+        one = ann._nearest(np.array([r + 10_000]), q[r : r + 1], np.arange(300, 500), x[300:], 5)
+        assert all(whole[r, 300 + c] == s for _, c, s in zip(*one, strict=True))
+    r, c, _ = ann._nearest(np.array([1]), x[77:78], np.arange(500), x, 2)
+    assert c.tolist() == [3, 77]

@@ -9,6 +9,7 @@ the share of neighbours in visited leaves reaches ``TARGET``. Queries and rows o
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from tilewright.llm import vectors as V
 from tilewright.session import stage
 
-#: Rows that the tree is fitted on and queries that the width is calibrated with, about.
-SAMPLE, CALIBRATION = 16_384, 200
+#: Rows that trees are fitted on, about: one of SAMPLE_STEP, but SAMPLE at least and MOST_SAMPLE at most, so leaves grow
+#: with the table up to some four million rows. Queries that the width is calibrated with, about.
+SAMPLE, SAMPLE_STEP, MOST_SAMPLE, CALIBRATION = 16_384, 16, 262_144, 200
 #: Children of a node, sample rows of a node that is not split, rounds of k-means, recall that the width must reach.
-CHILDREN, LEAF, ROUNDS, TARGET = 8, 64, 8, 0.96
+CHILDREN, LEAF, ROUNDS, TARGET = 8, 64, 8, 0.94
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -83,115 +85,152 @@ class Tree:
                 heapq.heappush(queue, (far[c], c))
 
 
-def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosines of rows in double precision."""
-    return np.clip(unit(q) @ unit(x).T, -1.0, 1.0)
-
-
 OUT = "query_id long, vec_id long, score double"
+#: Queries whose candidates are scored at once, and how far below the k-th score of a matrix product a candidate may be.
+AT_ONCE, MARGIN = 32, 1e-9
 
 
 def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, place, score) of the k nearest rows of each query, its own id left out."""
-    score = np.where(q_ids[:, None] == ids, -np.inf, cosines(q, x))
-    top = V.best(score, ids, k)
-    value = np.take_along_axis(score, top, 1)
-    r, c = np.nonzero(value > -np.inf)
-    return r, top[r, c], value[r, c]
+    """(query, place, cosine) of the k nearest rows of each query, its own id left out; ties to smaller ids.
+
+    A matrix product finds the candidates. Their scores are worked out pair by pair in one order, so they don't depend
+    on what else is in a block, and equal vectors have equal scores.
+    """
+    q, x = unit(q), unit(x)
+    out = []
+    for a in range(0, len(q), AT_ONCE):
+        near = np.where(q_ids[a : a + AT_ONCE, None] == ids, -np.inf, q[a : a + AT_ONCE] @ x.T)
+        kth = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.full((len(near), 1), -2.0)
+        r, c = np.nonzero(near >= np.maximum(kth - MARGIN, -2.0))
+        score = np.clip((q[a + r] * x[c]).sum(1), -1.0, 1.0)
+        order = np.lexsort((ids[c], -score, r))
+        r, c, score = r[order], c[order], score[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((a + r[first], c[first], score[first]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows of the batch, their vectors as a matrix) for each length in a batch (id, dim, vector, ..)."""
+    dims = batch.column(1).to_numpy()
+    for d in np.unique(dims):
+        at = np.flatnonzero(dims == d)
+        yield int(d), at, V.rows_of(batch.column(2).take(pa.array(at)))
+
+
+class Forest:
+    """A tree for each length of vectors; a length that the sample lacks has one leaf, number 0. widths: leaves to visit."""
+
+    def __init__(self, trees: dict[int, Tree]):
+        self.trees, self.widths = trees, {}
+
+    def leaf_of(self, dim: int, x: np.ndarray) -> np.ndarray:
+        return self.trees[dim].leaf_of(unit(x)) if dim in self.trees else np.zeros(len(x), np.int64)
+
+    def visits(self, dim: int, v: np.ndarray) -> Iterator[int]:
+        return self.trees[dim].visits(v) if dim in self.trees else iter([0])
 
 
 def nearest(df: DataFrame, k: int = 5, query_step: int = 50, target: float = TARGET, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest rows found for each query, by cosine: query_id, rank, vec_id, score.
 
     Queries are the rows whose id is divisible by ``query_step``; a query's own id is no candidate. Vectors that are
-    null, empty, zero, or hold null or non-finite components take no part, nor do null ids; vectors of the most
-    frequent length only are indexed. If fewer than k candidates stand in the leaves visited, the search is widened to
-    all leaves. Ties go to the smaller id; rows that repeat an id are each a candidate and a query, whose results then
-    repeat in one ranking; an empty table gives an empty result.
+    null, empty, zero, or hold null or non-finite components take no part, nor do null ids. Vectors of every length are
+    indexed, and a query meets those of its own length. If fewer than k candidates stand in the leaves visited, the
+    search is widened to all leaves. Ties go to the smaller id; rows that repeat an id are each a candidate and a query,
+    whose results then repeat in one ranking; an empty table gives an empty result.
     """
     spark = df.sparkSession
-    rows = V.usable(df, id_column, vector).where(F.exists("vector", lambda x: x != 0))
-    common = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if common is None:
-        return V.ranked(spark.createDataFrame([], OUT), k)
-    rows, n = rows.where(F.col("dim") == common[0]), common[1]
+    rows = V.usable(df, id_column, vector).where(F.exists("vector", lambda x: x != 0)).select("id", "dim", "vector")
     is_query = F.col("id") % query_step == 0
-    queries = rows.where(is_query).count()
+    n, queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    if not n:
+        return V.ranked(spark.createDataFrame([], OUT), k)
     by_hash = lambda share, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
-        found = [(i, v) for b in batches for i, v in zip(b.column(0).to_pylist(), V.rows_of(b.column(1)), strict=True)]
-        if found:
-            found.sort(key=lambda r: (r[0], r[1].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Tree(unit(np.array([v for _, v in found]))))], pa.binary())], ["tree"])
+    def fit(rows: pa.Table) -> pa.Table:
+        x = V.rows_of(rows.column("vector"))
+        order = sorted(range(len(x)), key=lambda i: (rows.column("id")[i].as_py(), x[i].tobytes()))
+        return pa.table({"dim": rows.column("dim")[:1], "tree": pa.array([pickle.dumps(Tree(unit(x[order])))], pa.binary())})
 
-    import pickle
-
-    # At most about SAMPLE rows go through this task.
-    sample = rows.where(by_hash(SAMPLE / n, "tree")) if n > SAMPLE else rows
-    fitted = sample.select("id", "vector").coalesce(1).mapInArrow(fit, "tree binary").first()
-    tree = spark.sparkContext.broadcast(pickle.loads(fitted[0]))
+    # The sample is bounded, and with it the trees; all rows of one length in it go through one task.
+    most = min(max(n // SAMPLE_STEP, SAMPLE), MOST_SAMPLE)
+    sample = rows.where(by_hash(most / n, "tree")) if n > most else rows
+    forest = Forest({r.dim: pickle.loads(r.tree) for r in sample.groupBy("dim").applyInArrow(fit, "dim int, tree binary").collect()})
+    shared = spark.sparkContext.broadcast(forest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf = tree.value.leaf_of(unit(V.rows_of(b.column(1)))) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf, pa.int32())], ["id", "vector", "leaf"])
+            leaf = np.zeros(b.num_rows, np.int32)
+            for d, at, x in by_dim(b):
+                leaf[at] = shared.value.leaf_of(d, x)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], ["id", "dim", "vector", "leaf"])
 
-    index = stage(rows.select("id", "vector").mapInArrow(place, "id long, vector array<double>, leaf int"), "ann-index")
+    index = stage(rows.mapInArrow(place, "id long, dim int, vector array<double>, leaf int"), "ann-index")
 
     # Calibration: true neighbours of some queries, and when best-bin-first search would come to their leaves.
-    drawn = rows.where(is_query & by_hash(CALIBRATION / max(queries, 1), "width")).select("id", "vector").limit(4 * CALIBRATION).toPandas().sort_values("id")
-    known = spark.sparkContext.broadcast((drawn["id"].to_numpy(np.int64), np.array(drawn["vector"].tolist(), float).reshape(len(drawn), -1)))
+    drawn = index.where(is_query & by_hash(CALIBRATION / max(queries, 1), "width")).select("id", "dim", "vector").limit(4 * CALIBRATION).toPandas().sort_values("id")
+    asked = {int(d): (g["id"].to_numpy(np.int64), np.array(g["vector"].tolist(), float)) for d, g in drawn.groupby("dim")}
+    known = spark.sparkContext.broadcast(asked)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = known.value
         for b in batches:
-            if b.num_rows:
-                order = np.argsort(b.column(0).to_numpy(), kind="stable")
-                ids, x, leaf = b.column(0).to_numpy()[order], V.rows_of(b.column(1))[order], b.column(2).to_numpy()[order]
-                r, c, s = _nearest(q_ids, q, ids, x, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(ids[c]), pa.array(s), pa.array(leaf[c])], ["query_id", "vec_id", "score", "leaf"])
-
-    width = len(tree.value.leaves)
-    if len(drawn):
-        true = V.ranked(index.mapInArrow(compare, OUT + ", leaf int").withColumn("vec_id", F.struct("vec_id", "leaf")), k).select("query_id", "vec_id.leaf").collect()
-        wanted: dict[int, list[int]] = {}
-        for r in true:
-            wanted.setdefault(r[0], []).append(r[1])
+            for d, at, x in by_dim(b):
+                if d in known.value:
+                    q_ids, q = known.value[d]
+                    ids, leaf = b.column(0).to_numpy()[at], b.column(3).to_numpy()[at]
+                    r, c, s = _nearest(q_ids, q, ids, x, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(ids[c]), pa.array(s), pa.array(leaf[c])], ["query_id", "vec_id", "score", "leaf"])
+
+    true: dict[int, list[int]] = {}
+    if asked:
+        for r in V.ranked(index.mapInArrow(compare, OUT + ", leaf int").withColumn("vec_id", F.struct("vec_id", "leaf")), k).select("query_id", "vec_id.leaf").collect():
+            true.setdefault(r[0], []).append(r[1])
+    for d, (q_ids, q) in asked.items():
         turns = []
-        for i, v in zip(*known.value, strict=True):
-            turn = {leaf: t for t, leaf in enumerate(tree.value.visits(unit(v[None])[0]), 1)}
-            turns += [turn[leaf] for leaf in wanted.get(int(i), [])]
+        for i, v in zip(q_ids, unit(q), strict=True):
+            turn = {leaf: t for t, leaf in enumerate(forest.visits(d, v), 1)}
+            turns += [turn[leaf] for leaf in true.get(int(i), [])]
         turns.sort()
-        # The fewest visits that reach the target, widened by a tenth.
-        width = min(width, int(np.ceil(1.1 * turns[min(len(turns) - 1, int(np.ceil(target * len(turns))))]))) if turns else width
-
-    sizes = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # leaves are bounded by the sample
-    parts = spark.createDataFrame([(leaf, -(-c // V.BLOCK)) for leaf, c in sizes.items()], "leaf int, parts int")
+        if turns:
+            # The fewest visits that reach the target, widened by a tenth. A length without calibration visits all.
+            forest.widths[d] = int(np.ceil(1.1 * turns[min(len(turns) - 1, int(np.ceil(target * len(turns))))]))
+    shared = spark.sparkContext.broadcast(forest)
+
+    # Leaves are bounded by the sample, but for lengths that it lacks, which have one each.
+    sizes = index.groupBy("dim", "leaf").count()
+    held_in = spark.sparkContext.broadcast({(r["dim"], r["leaf"]): r["count"] for r in sizes.join(F.broadcast(index.where(is_query).select("dim").distinct()), "dim", "left_semi").collect()})
     ask_parts = max(1, -(-queries // V.BLOCK))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, leaves = [], []
-            for i, v in enumerate(unit(V.rows_of(b.column(1))) if b.num_rows else ()):
-                seen = held = 0
-                for leaf in tree.value.visits(v):
-                    if seen >= width and held > k:
-                        break
-                    seen, held = seen + 1, held + sizes.get(leaf, 0)
-                    if leaf in sizes:
-                        at.append(i)
-                        leaves.append(leaf)
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(leaves, pa.int32())], ["id", "vector", "leaf"])
+            rows_at, leaves = [], []
+            for d, at, x in by_dim(b):
+                width = shared.value.widths.get(d, 1 << 60)
+                for i, v in zip(at.tolist(), unit(x), strict=True):
+                    seen = held = 0
+                    for leaf in shared.value.visits(d, v):
+                        if seen >= width and held > k:
+                            break
+                        here = held_in.value.get((d, leaf), 0)
+                        seen, held = seen + 1, held + here
+                        if here:
+                            rows_at.append(i)
+                            leaves.append(leaf)
+            where = pa.array(rows_at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[c.take(where) for c in b.columns], pa.array(leaves, pa.int32())], ["id", "dim", "vector", "leaf"])
 
     deal = lambda d: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), d).cast("int")
-    data = V.packed(index.join(F.broadcast(parts), "leaf").withColumn("part", deal(F.col("parts"))), "leaf", "part")
-    asked = V.packed(rows.where(is_query).select("id", "vector").mapInArrow(go, "id long, vector array<double>, leaf int").withColumn("asks", deal(F.lit(ask_parts))), "leaf", "asks")
-    asked = asked.join(F.broadcast(parts), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    data = data.withColumn("asks", F.explode(F.sequence(F.lit(0), F.lit(ask_parts - 1))))
+    parts = sizes.select("dim", "leaf", F.ceil(F.col("count") / F.lit(V.BLOCK)).cast("int").alias("parts"))
+    data = stage(V.packed(index.join(parts, ["dim", "leaf"]).withColumn("part", deal(F.col("parts"))), "dim", "leaf", "part"), "ann-blocks")
+    visits = index.where(is_query).select("id", "dim", "vector").mapInArrow(go, "id long, dim int, vector array<double>, leaf int").withColumn("asks", deal(F.lit(ask_parts)))
+    asked_blocks = stage(V.packed(visits, "dim", "leaf", "asks"), "ann-queries")
+    # Blocks meet where a block of queries visits the leaf, and nowhere else.
+    meeting = stage(data.select("dim", "leaf", "part").join(asked_blocks.select("dim", "leaf", "asks"), ["dim", "leaf"]), "ann-meetings")
+    keys = ["dim", "leaf", "part", "asks"]
+    mine = data.join(meeting, ["dim", "leaf", "part"])
+    theirs = asked_blocks.join(meeting, ["dim", "leaf", "asks"])
+    mine, theirs = (t.select(*[F.col(c).alias(c) for c in (*keys, "ids", "vectors")]) for t in (mine, theirs))
 
     def meet(block: pa.Table, ask: pa.Table) -> pa.Table:
         if not block.num_rows or not ask.num_rows:
@@ -201,8 +240,7 @@ def nearest(df: DataFrame, k: int = 5, query_step: int = 50, target: float = TAR
         r, c, s = _nearest(q_ids, q, ids, x, k)
         return V.batches_of(q_ids[r], ids[c], s, pa.float64())
 
-    keys = ["leaf", "part", "asks"]
-    return V.ranked(data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, OUT), k)
+    return V.ranked(mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(meet, OUT), k)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
