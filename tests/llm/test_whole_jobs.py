@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm import messy
-from tilewright.llm import ann, jaccard, packing, toxicity
+from tilewright.llm import ann, jaccard, licenses, packing, toxicity
 
 
 # --- toxicity
@@ -222,3 +222,63 @@ def test_equal_vectors_have_equal_scores_in_any_block():
         assert all(whole[r, 300 + c] == s for _, c, s in zip(*one, strict=True))
     r, c, _ = ann._nearest(np.array([1]), x[77:78], np.arange(500), x, 2)
     assert c.tolist() == [3, 77]
+
+
+# --- licences
+
+
+FAMILIES = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that", "bsd"),
+    ("Neither the name of the University of Oz nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published", "gpl"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"),
+    ("You may not use this file except in compliance with the License.", "apache"),
+    ("see https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("SPDX-License-Identifier: MIT", "mit"),
+    ("// SPDX-License-Identifier: Apache-2.0", "apache"),
+    ("SPDX-License-Identifier: ISC", "isc"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "gpl"),
+    ("SPDX-License-Identifier: 0BSD", "bsd"),
+    ("SPDX-License-Identifier: CC-BY-4.0", "cc-by"),
+    ("released under GPLv3", "gpl"),
+    ("code under LGPLv2.1", "lgpl"),
+    ("licensed under MIT", "mit"),
+    ("available under Apache 2.0", "apache"),
+    ("distributed under the terms of the Mozilla Public License v2.0", "mpl"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("we placed it in the public domain", "public-domain"),
+    ("This is not licensed under the Apache License 2.0", "apache"),  # the base phrase stays; nothing is detected
+    ("it is no longer distributed under GPLv3", ""),
+    ("mitten apaches isca gnus", ""),
+]
+
+
+def test_licence_families(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FAMILIES)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    assert [(t, got[i].labels) for i, (t, _) in enumerate(FAMILIES)] == FAMILIES
+    denied = next(i for i, (t, _) in enumerate(FAMILIES) if t.startswith("This is not"))
+    assert got[denied].detections == [] and got[denied].score == 0.5
+
+
+def test_every_licence_has_a_rule_that_fires(spark):
+    names = [(label, "SPDX-License-Identifier: " + name) for label, name in [("gpl", "GPL-3.0-or-later"), ("agpl", "AGPL-3.0-only"), ("mpl", "MPL-2.0"), ("epl", "EPL-2.0"), ("cddl", "CDDL-1.0"), ("eupl", "EUPL-1.2"), ("zlib", "Zlib"), ("python", "PSF-2.0"), ("php", "PHP-3.01"), ("artistic", "Artistic-2.0"), ("ncsa", "NCSA"), ("postgresql", "PostgreSQL"), ("ofl", "OFL-1.1"), ("cc0", "CC0-1.0"), ("unlicense", "Unlicense"), ("wtfpl", "WTFPL"), ("ms-pl", "MS-PL"), ("upl", "UPL-1.0"), ("w3c", "W3C"), ("bsl", "BSL-1.0"), ("busl", "BUSL-1.1"), ("sspl", "SSPL-1.0"), ("elastic", "Elastic-2.0"), ("odbl", "ODbL-1.0"), ("pddl", "PDDL-1.0"), ("odc-by", "ODC-By-1.0"), ("cc-by-nc-nd", "CC-BY-NC-ND-4.0"), ("libpng", "libpng-2.0"), ("openssl", "OpenSSL"), ("ruby", "Ruby"), ("isc", "ISC"), ("afl", "AFL-3.0"), ("osl", "OSL-3.0"), ("gfdl", "GFDL-1.3")]]
+    rows = list(enumerate(t for _, t in names))
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(names[i][1], max(got[i].detections, key=lambda h: h.confidence).label if got[i].detections else None, got[i].score) for i, _ in rows] == [(t, x, 1.0) for x, t in names]
+
+
+def test_containment_equals_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        hits = [(a := rng.randrange(12), a + rng.randrange(1, 6), rng.randrange(4), rng.choice("xyz"), 0.5) for _ in range(rng.randrange(1, 12))]
+        inside = lambda h, g: g[0] <= h[0] and h[1] <= g[1]
+        seen, expected = list(dict.fromkeys(hits)), []
+        for h in seen:
+            over = [g for g in seen if g is not h and inside(h, g) and (g[2] < h[2] or (g[2] == h[2] and (g[1] - g[0] > h[1] - h[0] or (g[:2] == h[:2] and seen.index(g) < seen.index(h)))))]
+            if not over:
+                expected.append(h)
+        assert sorted(licenses.kept(hits)) == sorted(expected)
