@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm import messy
-from tilewright.llm import ann, jaccard, licenses, packing, toxicity
+from tilewright.llm import ann, jaccard, licenses, packing, topk, toxicity
 
 
 # --- toxicity
@@ -282,3 +282,25 @@ def test_containment_equals_brute_force():
             if not over:
                 expected.append(h)
         assert sorted(licenses.kept(hits)) == sorted(expected)
+
+
+# --- exact top-k
+
+
+def test_clustered_vectors_skip_cells(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 16)) * 20
+    x = centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 16))
+    monkeypatch.setattr(topk.V, "BLOCK", 100)
+    written, stage = {}, topk.stage
+    monkeypatch.setattr(topk, "stage", lambda df, name: written.setdefault(name, stage(df, name)))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    whole = np.floor(x * 256).astype(int)
+    for q in range(0, 3000, 50):
+        score = whole @ whole[q]
+        best = [i for i in np.lexsort((np.arange(3000), -score)).tolist() if i != q][:5]
+        assert [got[q, k] for k in range(1, 6)] == [(i, int(score[i])) for i in best]
+    cells = written["topk-shards"].select("cell").distinct().count()
+    visited = written["topk-away"].select("id", "cell").distinct().count()
+    print("cells", cells, "visited a query", visited / 60)
+    assert cells > 10 and visited < 60 * cells / 4

@@ -36,12 +36,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 class Tree:
     """Centres of nodes in one matrix; ``children[n]`` is the range of a node's children, empty for a leaf."""
 
-    def __init__(self, x: np.ndarray, seed: int = 5):
+    def __init__(self, x: np.ndarray, seed: int = 5, leaf: int = LEAF):
         rng = np.random.default_rng(seed)
         centres, children, todo = [x.mean(0)], [(0, 0)], [(0, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
-            if len(rows) <= LEAF:
+            if len(rows) <= leaf:
                 continue
             c = x[rng.choice(rows, min(CHILDREN, len(rows)), replace=False)]
             for _ in range(ROUNDS):
@@ -110,6 +110,25 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
     return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def fit_forest(rows: DataFrame, n: int, prepare, leaf: int = LEAF) -> dict[int, Tree]:
+    """A tree for each length of vectors in a bounded sample of ``rows`` (id, dim, vector), ``n`` in all.
+
+    ``prepare`` turns a matrix of vectors into what the tree is fitted on. All rows of one length in the sample go
+    through one task.
+    """
+    most = min(max(n // SAMPLE_STEP, SAMPLE), MOST_SAMPLE)
+    drawn = F.pmod(F.xxhash64("id", F.lit("tree")), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30))
+    sample = rows.where(drawn) if n > most else rows
+
+    def fit(rows: pa.Table) -> pa.Table:
+        x = V.rows_of(rows.column("vector"))
+        ids = rows.column("id").to_pylist()
+        order = sorted(range(len(x)), key=lambda i: (ids[i], x[i].tobytes()))
+        return pa.table({"dim": rows.column("dim")[:1], "tree": pa.array([pickle.dumps(Tree(prepare(x[order]), leaf=leaf))], pa.binary())})
+
+    return {r.dim: pickle.loads(r.tree) for r in sample.groupBy("dim").applyInArrow(fit, "dim int, tree binary").collect()}
+
+
 def by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, rows of the batch, their vectors as a matrix) for each length in a batch (id, dim, vector, ..)."""
     dims = batch.column(1).to_numpy()
@@ -148,15 +167,7 @@ def nearest(df: DataFrame, k: int = 5, query_step: int = 50, target: float = TAR
         return V.ranked(spark.createDataFrame([], OUT), k)
     by_hash = lambda share, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
-    def fit(rows: pa.Table) -> pa.Table:
-        x = V.rows_of(rows.column("vector"))
-        order = sorted(range(len(x)), key=lambda i: (rows.column("id")[i].as_py(), x[i].tobytes()))
-        return pa.table({"dim": rows.column("dim")[:1], "tree": pa.array([pickle.dumps(Tree(unit(x[order])))], pa.binary())})
-
-    # The sample is bounded, and with it the trees; all rows of one length in it go through one task.
-    most = min(max(n // SAMPLE_STEP, SAMPLE), MOST_SAMPLE)
-    sample = rows.where(by_hash(most / n, "tree")) if n > most else rows
-    forest = Forest({r.dim: pickle.loads(r.tree) for r in sample.groupBy("dim").applyInArrow(fit, "dim int, tree binary").collect()})
+    forest = Forest(fit_forest(rows, n, unit))
     shared = spark.sparkContext.broadcast(forest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

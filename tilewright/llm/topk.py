@@ -1,22 +1,27 @@
 """Exact top-k search by inner product: a ball tree per shard, branch and bound, the current kth score shared.
 
-Vectors are quantised to whole numbers, so scores are exact. Shards of about ``vectors.BLOCK`` rows each get a ball
-tree. Queries stand in blocks. A block first searches one group of shards, then the other groups, with the kth scores
-found in the first. Within a group the block goes from shard to shard and keeps its best. In a shard the balls stand in
-order of the upper bound q.c + |q| r; a query leaves at the first ball whose bound is below its kth score.
+Vectors are quantised to whole numbers, so scores are exact. Rows are put into cells of space, by a k-means tree that is
+fitted on a bounded sample, and a cell is cut into shards of about ``vectors.BLOCK`` rows. Each shard's ball tree is
+built once and written. A query first searches shards of its own cell; its kth score then goes with it everywhere. The
+bound q.c + |q| r of a cell's ball decides, before any vectors are sent, which cells it still has to search. In a shard
+the balls stand in order of their bounds; a query leaves at the first one whose bound is below its kth score.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import vectors as V
+from tilewright.llm.ann import by_dim, fit_forest
 from tilewright.session import stage
 
-#: Rows of a ball that is not split; shards that a block of queries visits in one task.
+#: Rows of a ball that is not split; shards of its cell that a query visits first.
 LEAF, GROUP = 64, 16
 #: No score yet.
 NONE = np.iinfo(np.int64).min
@@ -60,6 +65,12 @@ def ball_tree(x: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray,
     return order, np.array(start), np.array(end), np.array(parent), np.array(centres), np.array(radii)
 
 
+def ball_bounds(q: np.ndarray, norm: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Upper bound of each query's inner products within each ball, with room for rounding: none is below a score it covers."""
+    product = q.astype(float) @ centre.T
+    return product + norm[:, None] * radius * (1 + 1e-9) + 1e-9 * (np.abs(product) + norm[:, None] * (np.sqrt((centre**2).sum(1)) + 1) + 1)
+
+
 class Search:
     """The best k so far of a block of queries, over the shards visited."""
 
@@ -74,11 +85,9 @@ class Search:
     def kth(self) -> np.ndarray:
         return np.maximum(self.score[:, -1], self.floor)
 
-    def shard(self, ids: np.ndarray, x: np.ndarray) -> None:
-        order, start, end, parent, centre, radius = ball_tree(x)
-        product = self.x.astype(float) @ centre.T
-        # Room for rounding, so that no bound is below a score that it covers.
-        bound = product + self.norm[:, None] * radius * (1 + 1e-9) + 1e-9 * (np.abs(product) + self.norm[:, None] * (np.sqrt((centre**2).sum(1)) + 1) + 1)
+    def shard(self, ids: np.ndarray, x: np.ndarray, tree: tuple | None = None) -> None:
+        order, start, end, parent, centre, radius = tree or ball_tree(x)
+        bound = ball_bounds(self.x, self.norm, centre, radius)
         for n in range(1, len(parent)):
             bound[:, n] = np.minimum(bound[:, n], bound[:, parent[n]])
         leaves = np.setdiff1d(np.arange(len(parent)), parent)
@@ -121,64 +130,89 @@ def top_k(df: DataFrame, k: int = 5, query_step: int = 50, scale: float = 256.0,
     each a candidate of other queries, and each a query, whose results then repeat in one ranking; an empty table gives
     an empty result.
     """
-    rows = V.usable(df, id_column, vector)
-    n, queries = rows.agg(F.count("*"), F.count_if(F.col("id") % query_step == 0)).first()
-    shards, blocks = max(1, -(-n // V.BLOCK)), max(1, -(-queries // V.BLOCK))
-    groups = -(-shards // GROUP)
-    data = stage(V.packed(V.numbered(rows, shards), "dim", "block"), "topk-shards").withColumn("group", F.col("block") % groups)
-    asked = stage(V.packed(V.numbered(rows.where(F.col("id") % query_step == 0), blocks), "dim", "block"), "topk-queries").withColumnRenamed("block", "asks")
-    asked = asked.withColumn("home", F.col("asks") % groups)
-
-    def visit(shards: pa.Table, block: pa.Table, with_kth: bool) -> pa.Table:
-        if not shards.num_rows or not block.num_rows:
+    spark = df.sparkSession
+    rows = V.usable(df, id_column, vector).select("id", "dim", "vector")
+    is_query = F.col("id") % query_step == 0
+    n, queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    # Cells of about BLOCK rows, as far as the sample goes.
+    trees = spark.sparkContext.broadcast(fit_forest(rows, n, lambda x: np.floor(x * scale), max(LEAF, V.BLOCK * min(n, 16_384) // max(n, 1))))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, far, out = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows), [None] * b.num_rows
+            for d, at, x in by_dim(b):
+                x = quantised(x, scale).astype(float)
+                if d in trees.value:
+                    cell[at] = trees.value[d].leaf_of(x)
+                centre = trees.value[d].centres[cell[at]] if d in trees.value else np.zeros((1, d))
+                far[at] = np.sqrt(((x - centre) ** 2).sum(1))
+                for i, v in zip(at.tolist(), x, strict=True):
+                    out[i] = v
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float64())), pa.array(cell), pa.array(far)], ["id", "dim", "vector", "cell", "far"])
+
+    index = stage(rows.mapInArrow(place, "id long, dim int, vector array<double>, cell int, far double"), "topk-index")
+    cells = index.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    parts = cells.select("dim", "cell", F.ceil(F.col("n") / F.lit(V.BLOCK)).cast("int").alias("parts"))
+    deal = lambda d: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), d).cast("int")
+
+    def shard(rows: pa.Table) -> pa.Table:
+        ids, x = rows.column("id").to_numpy(), V.rows_of(rows.column("vector"))
+        order = np.argsort(ids, kind="stable")
+        values = {"ids": ids[order].tobytes(), "vectors": x[order].tobytes(), "tree": pickle.dumps(ball_tree(x[order].astype(np.int64)))}
+        return pa.table({c: rows.column(c)[:1] for c in ("dim", "cell", "part")} | {c: pa.array([v], pa.binary()) for c, v in values.items()})
+
+    dealt = index.join(parts, ["dim", "cell"]).withColumn("part", deal(F.col("parts"))).select("dim", "cell", "part", "id", "vector")
+    data = stage(dealt.groupBy("dim", "cell", "part").applyInArrow(shard, "dim int, cell int, part int, ids binary, vectors binary, tree binary"), "topk-shards")
+
+    def visit(shards: pa.Table, asked: pa.Table, share_kth: bool) -> pa.Table:
+        if not shards.num_rows or not asked.num_rows:
             return V.batches_of([], [], [], pa.int64())
-        ids, x = V.unpack(block.column("ids")[0].as_py(), block.column("vectors")[0].as_py())
-        kth = np.frombuffer(block.column("kth")[0].as_py(), np.int64) if with_kth else None
-        search = Search(ids, quantised(x, scale), k, kth)
-        for i, v in zip(shards.column("ids").to_pylist(), shards.column("vectors").to_pylist(), strict=True):
+        ids, x = asked.column("id").to_numpy(), V.rows_of(asked.column("vector")).astype(np.int64)
+        search = Search(ids, x, k, asked.column("kth").to_numpy().copy() if share_kth else None)
+        for i, v, tree in zip(*(shards.column(c).to_pylist() for c in ("ids", "vectors", "tree")), strict=True):
             i, v = V.unpack(i, v)
-            search.shard(i, quantised(v, scale))
+            search.shard(i, v.astype(np.int64), pickle.loads(tree))
         return search.found()
 
-    out = "query_id long, vec_id long, score long"
-    meet = ["dim", "asks", "group"]
-    home = asked.withColumn("group", F.col("home"))
-    to_home = data.withColumn("asks", F.explode(F.expr(f"filter(sequence(0, {blocks - 1}), a -> a % {groups} = `group`)")))
-    first = stage(to_home.groupBy(*meet).cogroup(home.groupBy(*meet)).applyInArrow(lambda a, b: visit(a, b, False), out), "topk-home")
-
-    # The kth score of each query of a block, in the block's order.
-    def with_kth(block: pa.Table, found: pa.Table) -> pa.Table:
-        if not block.num_rows:
-            return block.append_column("kth", pa.array([], pa.binary()))
-        ids = np.frombuffer(block.column("ids")[0].as_py(), np.int64)
-        by = {}
-        for q, s in zip(found.column("query_id").to_pylist(), found.column("score").to_pylist(), strict=True):
-            by.setdefault(q, []).append(s)
-        kth = np.array([min(by[q]) if len(by.get(q, ())) == k else NONE for q in ids.tolist()], np.int64)
-        return block.append_column("kth", pa.array([kth.tobytes()], pa.binary()))
-
-    if groups == 1:
-        return V.ranked(first, k)
-    named = first.join(asked_ids(asked), "query_id")
-    asked = stage(asked.groupBy("dim", "asks").cogroup(named.groupBy("dim", "asks")).applyInArrow(with_kth, "dim int, asks int, ids binary, vectors binary, home int, kth binary"), "topk-kth")
-    away = asked.withColumn("group", F.explode(F.expr(f"filter(sequence(0, {groups - 1}), g -> g <> home)")))
-    to_away = data.withColumn("asks", F.explode(F.expr(f"filter(sequence(0, {blocks - 1}), a -> a % {groups} <> `group`)")))
-    rest = to_away.groupBy(*meet).cogroup(away.groupBy(*meet)).applyInArrow(lambda a, b: visit(a, b, True), out)
+    out, own = "query_id long, vec_id long, score long", ["dim", "cell", "group"]
+    asked = index.where(is_query).join(parts, ["dim", "cell"]).withColumn("group", deal(F.ceil(F.col("parts") / F.lit(GROUP))))
+    asked = stage(asked.select(*own, "id", "vector"), "topk-queries")
+    at_home = data.withColumn("group", F.floor(F.col("part") / F.lit(GROUP)).cast("int"))
+    first = stage(at_home.groupBy(*own).cogroup(asked.groupBy(*own)).applyInArrow(lambda a, b: visit(a, b, False), out), "topk-home")
+
+    # Rows that repeat an id share one kth score, the least of theirs.
+    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(NONE)).alias("kth"))
+    # Cells are bounded by the sample, but for lengths that it lacks; of these only ones with queries are told.
+    balls = cells.join(F.broadcast(asked.select("dim").distinct()), "dim", "left_semi").collect()
+    of: dict[int, list] = {}
+    for r in balls:
+        centre = trees.value[r["dim"]].centres[r["cell"]] if r["dim"] in trees.value else np.zeros(r["dim"])
+        of.setdefault(r["dim"], []).append((r["cell"], centre, r["radius"]))
+    known = spark.sparkContext.broadcast({d: (np.array([c for c, _, _ in x], np.int32), np.array([c for _, c, _ in x]), np.array([r for _, _, r in x])) for d, x in of.items()})
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries (id, dim, vector, home, group, kth) once for each cell that their bounds reach."""
+        for b in batches:
+            for d, at, x in by_dim(b):
+                cell, centre, radius = known.value[d]
+                bound = ball_bounds(x, np.sqrt((x * x).sum(1)), centre, radius)
+                r, c = np.nonzero(bound >= b.column(5).to_numpy()[at][:, None])
+                yield pa.RecordBatch.from_arrays([*[v.take(pa.array(at[r])) for v in b.columns], pa.array(cell[c])], ["id", "dim", "vector", "home", "group", "kth", "cell"])
+
+    with_kth = asked.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "dim", "vector", F.col("cell").alias("home"), "group", F.coalesce("kth", F.lit(NONE)).alias("kth"))
+    away = with_kth.mapInArrow(go, "id long, dim int, vector array<double>, home int, group int, kth long, cell int")
+    away = away.join(parts, ["dim", "cell"]).withColumn("to", F.explode(F.expr(f"sequence(0, cast(ceil(parts / {float(GROUP)}) as int) - 1)")))
+    away = away.where((F.col("home") != F.col("cell")) | (F.col("group") != F.col("to")))
+    # Queries of a cell in blocks, each of which meets the shards of a group.
+    blocks = max(1, -(-queries // V.BLOCK))
+    away = stage(away.select("dim", "cell", F.col("to").alias("group"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("asks"), "id", "vector", "kth"), "topk-away")
+    meet = [*own, "asks"]
+    meeting = stage(away.select(*meet).distinct(), "topk-meetings")
+    sent = at_home.join(meeting, own).select(*[F.col(c).alias(c) for c in (*meet, "ids", "vectors", "tree")])
+    rest = sent.groupBy(*meet).cogroup(away.groupBy(*meet)).applyInArrow(lambda a, b: visit(a, b, True), out)
     return V.ranked(first.union(rest), k)
 
 
-def asked_ids(asked: DataFrame) -> DataFrame:
-    """(query_id, dim, asks): in which block a query stands."""
-
-    def ids(batches):
-        for batch in batches:
-            for dim, asks, blob in V.stream([batch.select(["dim", "asks", "ids"])]):
-                i = np.unique(np.frombuffer(blob, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array([dim] * len(i), pa.int32()), pa.array([asks] * len(i), pa.int32())], ["query_id", "dim", "asks"])
-
-    return asked.mapInArrow(ids, "query_id long, dim int, asks int")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
