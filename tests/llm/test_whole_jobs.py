@@ -304,3 +304,12 @@ def test_clustered_vectors_skip_cells(spark, monkeypatch):
     visited = written["topk-away"].select("id", "cell").distinct().count()
     print("cells", cells, "visited a query", visited / 60)
     assert cells > 10 and visited < 60 * cells / 4
+
+
+def test_held_out_toxic_documents_are_caught(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [(labels[r.doc_id], r.predicted) for r in toxicity.query(spark, sf_dir).where("held_out").collect() if r.doc_id in labels]
+    caught = [p for y, p in rows if y == 1]
+    flagged = [p for y, p in rows if y == 0]
+    assert sum(caught) / len(caught) >= 0.9 and sum(flagged) / len(flagged) <= 0.03
