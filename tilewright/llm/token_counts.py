@@ -22,6 +22,8 @@ from tilewright.llm.flat import NOT_SPACE, flat, in_small_batches, runs, span_ha
 
 #: Bytes read at once.
 RUN = 1 << 21
+#: When fewer words than this are still being read, each is read to its end by itself.
+FEW = 200
 
 
 class Automaton:
@@ -64,6 +66,20 @@ class Automaton:
         self.keys, self.ends = keys[order], np.fromiter(edges.values(), np.int64, len(edges))[order]
         self.fail, self.popped = np.array(fail), np.array(popped)
         self.space = edges[0x20]
+        self._plain = edges, fail, popped
+
+    def _read(self, at: int, rest: bytes) -> tuple[int, int]:
+        """State after ``rest`` from state ``at``, and pieces popped on the way."""
+        edges, fail, popped = self._plain
+        count = 0
+        for byte in rest:
+            key = at << 8 | byte
+            while key not in edges:
+                count += popped[at]
+                at = fail[at]
+                key = at << 8 | byte
+            at = edges[key]
+        return at, count
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Number of pieces of a space and each stretch."""
@@ -72,6 +88,11 @@ class Automaton:
         at, count = np.full(len(starts), self.space), np.zeros(len(starts), np.int64)
         for t in range(int(length[0]) if len(length) else 0):
             n = int(np.searchsorted(-length, -t))
+            if n < FEW:
+                for i in range(n):
+                    at[i], more = self._read(int(at[i]), data[starts[i] + t : starts[i] + length[i]].tobytes())
+                    count[i] += more
+                break
             byte, todo = data[starts[:n] + t].astype(np.int64), np.arange(n)
             while len(todo):
                 key = at[todo] << 8 | byte[todo]
