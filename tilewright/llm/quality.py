@@ -12,15 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.flat import NOT_SPACE, WORD_ANY_CASE, flat, in_small_batches, mix, runs, span_hashes
 from tilewright.session import stage
 
 BITS, SCALE = 20, 20.0
-#: Labelled rows fitted on, about: they are drawn by a hash of their doc_id. All of them if there are fewer.
-SAMPLE = 12_000
+#: Labelled ids fitted on, about, drawn by a hash; all of them if there are fewer. Of each at most so many texts for a label.
+SAMPLE, TEXTS = 12_000, 4
 #: Of the updates: learning rate, its offset, penalties on size and square, and passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 0.05, 0.01, 3
 #: Labels up to this many rows are broadcast; more are joined by a shuffle.
@@ -109,10 +109,11 @@ def labelled(labels: DataFrame, column: str, folds: int, held: int) -> DataFrame
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 5, held: int = 0, sample: int = SAMPLE) -> np.ndarray:
-    """Weights by feature, the bias last, from at most about ``sample`` labelled rows of ``docs`` (doc_id, text).
+    """Weights by feature, the bias last, from texts of at most about ``sample`` labelled ids of ``docs`` (doc_id, text).
 
-    Conflicting labels of an id all count; rows of ``docs`` with one id count once for each text. All weights are 0
-    without labelled rows. The sample's features go through one task; it is bounded.
+    Conflicting labels of an id all count; rows of ``docs`` with one id count once for each text, for ``TEXTS`` of them
+    at most, drawn by a hash. Null ids are not learnt from. All weights are 0 without labelled rows. The sample's
+    features go through one task; it is bounded.
     """
     mine = stage(labelled(labels, column, folds, held), "quality-labels")
     share = sample / max(mine.count(), 1)
@@ -121,6 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: in
     # At most the sample's ids: small enough to broadcast.
     text = in_small_batches(docs).select(F.col("doc_id").alias("d"), "text").join(F.broadcast(mine), F.col("d") == F.col("id")).select("id", "label", "text")
     rows = text.mapInArrow(_feature_rows, "id long, label int, features binary, values binary").distinct()
+    nth = F.row_number().over(Window.partitionBy("id", "label").orderBy(F.xxhash64("features", "values"), "features", "values"))
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= TEXTS).drop("nth")
     got = rows.coalesce(1).mapInArrow(_fit, "features binary, weights binary").first()
     weights = np.zeros((1 << BITS) + 1, np.float32)
     if got:
@@ -182,6 +185,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_function(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of low quality go."""
+    """Pipeline stage: documents of low quality go.
+
+    Rows are judged by their text alone: repeated rows share a fate, null and empty texts have the score of the bias.
+    An empty table stays empty; all columns stay as they are.
+    """
     weights = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", FOLDS, HELD)
     return kept(docs, Scorer(weights), lambda s: s >= THRESHOLD)
