@@ -240,5 +240,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_function(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all documents, packed into sequences."""
+    """Pipeline stage: the pieces of all documents, packed into sequences.
+
+    A row gives pieces of its own, also if repeated; null and empty texts are the end id alone. An empty table gives none.
+    """
     return pack_documents(docs)
