@@ -1,0 +1,22 @@
+"""Written intermediate tables live in the shared folder as long as the driver."""
+
+import subprocess
+import sys
+
+from tests.conftest import ROOT
+
+RUN = """
+import os, sys
+from tilewright.session import session, stage
+spark = session("local[1]", 1, **{"spark.checkpoint.dir": sys.argv[1], "spark.ui.enabled": "false"})
+kept = stage(spark.range(5), "kept")
+assert sum(n.startswith("kept-") for n in os.listdir(sys.argv[1])) == 1
+print("rows", kept.count())
+spark.stop()
+"""
+
+
+def test_staged_tables_go_with_the_driver(tmp_path):
+    done = subprocess.run([sys.executable, "-c", RUN, str(tmp_path)], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert "rows 5" in done.stdout, done.stderr[-2000:]
+    assert not list(tmp_path.glob("kept-*"))

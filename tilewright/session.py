@@ -50,10 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
-    Cuts the lineage, so work done so far survives lost executors and is not repeated by later branches.
+    Cuts the lineage, so work done so far survives lost executors and is not repeated by later branches. The table is
+    deleted when the driver's JVM ends.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    sc = df.sparkSession.sparkContext
+    written = sc._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(written)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
