@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from tilewright.llm import ann, dedup, jaccard, licenses, mixing, packing, quality, token_counts, topk, toxicity, url_filter
+from tilewright.llm import ann, dedup, jaccard, licenses, mixing, packing, periods, quality, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_quality": quality.query,
     "op10_toxicity": toxicity.query,
+    "op11_periodic_runs": periods.query,
     "op12_exact_dedup": dedup.query,
 }
 
