@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from tilewright.llm import ann, dedup, jaccard, licenses, mixing, packing, periods, quality, token_counts, topk, toxicity, url_filter
+from tilewright.llm import ann, clusters, dedup, jaccard, licenses, mixing, packing, periods, quality, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
     "op11_periodic_runs": periods.query,
     "op12_exact_dedup": dedup.query,
+    "op13_centroid_clusters": clusters.query,
 }
 
 ORACLE = {
@@ -23,4 +24,5 @@ ORACLE = {
     "op4_jaccard_join": jaccard.SQL,
     "op5_exact_top_k": topk.SQL,
     "op12_exact_dedup": dedup.SQL,
+    "op13_centroid_clusters": clusters.sql(),
 }
