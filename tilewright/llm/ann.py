@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import pickle
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from tilewright.session import stage
 #: Rows that trees are fitted on, about: one of SAMPLE_STEP, but SAMPLE at least and MOST_SAMPLE at most, so leaves grow
 #: with the table up to some four million rows. Queries that the width is calibrated with, about.
 SAMPLE, SAMPLE_STEP, MOST_SAMPLE, CALIBRATION = 16_384, 16, 262_144, 200
+#: Components of a tree's sample at most.
+MOST_NUMBERS = 1 << 25
 #: Children of a node, sample rows of a node that is not split, rounds of k-means, recall that the width must reach.
 CHILDREN, LEAF, ROUNDS, TARGET = 8, 64, 8, 0.94
 
@@ -91,32 +94,37 @@ AT_ONCE, MARGIN = 32, 1e-9
 
 
 def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, place, cosine) of the k nearest rows of each query, its own id left out; ties to smaller ids.
+    """(query, place, cosine) of the k nearest rows of each query, its own id left out; ties to smaller ids, each id once.
 
     A matrix product finds the candidates. Their scores are worked out pair by pair in one order, so they don't depend
-    on what else is in a block, and equal vectors have equal scores.
+    on what else is in a block, and equal vectors have equal scores. ``ids`` ascend; where some repeat, all rows are
+    candidates, as the k-th score of rows says nothing of the k-th id.
     """
     q, x = unit(q), unit(x)
+    repeat = bool((ids[1:] == ids[:-1]).any())
     out = []
     for a in range(0, len(q), AT_ONCE):
         near = np.where(q_ids[a : a + AT_ONCE, None] == ids, -np.inf, q[a : a + AT_ONCE] @ x.T)
-        kth = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.full((len(near), 1), -2.0)
+        kth = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k and not repeat else np.full((len(near), 1), -2.0)
         r, c = np.nonzero(near >= np.maximum(kth - MARGIN, -2.0))
         score = np.clip((q[a + r] * x[c]).sum(1), -1.0, 1.0)
         order = np.lexsort((ids[c], -score, r))
         r, c, score = r[order], c[order], score[order]
+        if repeat:
+            once = np.sort(np.unique(np.stack([r, ids[c]]), axis=1, return_index=True)[1])
+            r, c, score = r[once], c[once], score[once]
         first = np.arange(len(r)) - np.searchsorted(r, r) < k
         out.append((a + r[first], c[first], score[first]))
     return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def fit_forest(rows: DataFrame, n: int, prepare, leaf: int = LEAF) -> dict[int, Tree]:
+def fit_forest(rows: DataFrame, n: int, widest: int, prepare, leaf: int = LEAF) -> dict[int, Tree]:
     """A tree for each length of vectors in a bounded sample of ``rows`` (id, dim, vector), ``n`` in all.
 
     ``prepare`` turns a matrix of vectors into what the tree is fitted on. All rows of one length in the sample go
-    through one task.
+    through one task; ``widest``, the greatest length, bounds its bytes.
     """
-    most = min(max(n // SAMPLE_STEP, SAMPLE), MOST_SAMPLE)
+    most = min(max(n // SAMPLE_STEP, SAMPLE), MOST_SAMPLE, max(MOST_NUMBERS // max(widest, 1), 1))
     drawn = F.pmod(F.xxhash64("id", F.lit("tree")), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30))
     sample = rows.where(drawn) if n > most else rows
 
@@ -155,19 +163,19 @@ def nearest(df: DataFrame, k: int = 5, query_step: int = 50, target: float = TAR
 
     Queries are the rows whose id is divisible by ``query_step``; a query's own id is no candidate. Vectors that are
     null, empty, zero, or hold null or non-finite components take no part, nor do null ids. Vectors of every length are
-    indexed, and a query meets those of its own length. If fewer than k candidates stand in the leaves visited, the
-    search is widened to all leaves. Ties go to the smaller id; rows that repeat an id are each a candidate and a query,
-    whose results then repeat in one ranking; an empty table gives an empty result.
+    indexed, and a query meets those of its own length. A query that finds fewer than k ids in the leaves it visits goes
+    on to all others. Ties go to the smaller id; rows that repeat an id are one query and one candidate, which have the
+    best score of any two of their rows; an empty table gives an empty result.
     """
     spark = df.sparkSession
     rows = V.usable(df, id_column, vector).where(F.exists("vector", lambda x: x != 0)).select("id", "dim", "vector")
     is_query = F.col("id") % query_step == 0
-    n, queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    n, queries, widest = rows.agg(F.count("*"), F.count_if(is_query), F.max("dim")).first()
     if not n:
         return V.ranked(spark.createDataFrame([], OUT), k)
     by_hash = lambda share, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
-    forest = Forest(fit_forest(rows, n, unit))
+    forest = Forest(fit_forest(rows, n, widest, unit))
     shared = spark.sparkContext.broadcast(forest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +183,10 @@ def nearest(df: DataFrame, k: int = 5, query_step: int = 50, target: float = TAR
             leaf = np.zeros(b.num_rows, np.int32)
             for d, at, x in by_dim(b):
                 leaf[at] = shared.value.leaf_of(d, x)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], ["id", "dim", "vector", "leaf"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], ["id", "dim", "vector", "uid", "leaf"])
 
-    index = stage(rows.mapInArrow(place, "id long, dim int, vector array<double>, leaf int"), "ann-index")
+    numbered = rows.withColumn("uid", F.monotonically_increasing_id())
+    index = stage(numbered.mapInArrow(place, "id long, dim int, vector array<double>, uid long, leaf int"), "ann-index")
 
     # Calibration: true neighbours of some queries, and when best-bin-first search would come to their leaves.
     drawn = index.where(is_query & by_hash(CALIBRATION / max(queries, 1), "width")).select("id", "dim", "vector").limit(4 * CALIBRATION).toPandas().sort_values("id")
@@ -189,8 +198,10 @@ def nearest(df: DataFrame, k: int = 5, query_step: int = 50, target: float = TAR
             for d, at, x in by_dim(b):
                 if d in known.value:
                     q_ids, q = known.value[d]
-                    ids, leaf = b.column(0).to_numpy()[at], b.column(3).to_numpy()[at]
-                    r, c, s = _nearest(q_ids, q, ids, x, k)
+                    ids, leaf = b.column(0).to_numpy()[at], b.column(4).to_numpy()[at]
+                    order = np.argsort(ids, kind="stable")
+                    ids, leaf = ids[order], leaf[order]
+                    r, c, s = _nearest(q_ids, q, ids, x[order], k)
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(ids[c]), pa.array(s), pa.array(leaf[c])], ["query_id", "vec_id", "score", "leaf"])
 
     true: dict[int, list[int]] = {}
@@ -208,50 +219,52 @@ def nearest(df: DataFrame, k: int = 5, query_step: int = 50, target: float = TAR
             forest.widths[d] = int(np.ceil(1.1 * turns[min(len(turns) - 1, int(np.ceil(target * len(turns))))]))
     shared = spark.sparkContext.broadcast(forest)
 
-    # Leaves are bounded by the sample, but for lengths that it lacks, which have one each.
-    sizes = index.groupBy("dim", "leaf").count()
-    held_in = spark.sparkContext.broadcast({(r["dim"], r["leaf"]): r["count"] for r in sizes.join(F.broadcast(index.where(is_query).select("dim").distinct()), "dim", "left_semi").collect()})
-    ask_parts = max(1, -(-queries // V.BLOCK))
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows_at, leaves = [], []
-            for d, at, x in by_dim(b):
-                width = shared.value.widths.get(d, 1 << 60)
-                for i, v in zip(at.tolist(), unit(x), strict=True):
-                    seen = held = 0
-                    for leaf in shared.value.visits(d, v):
-                        if seen >= width and held > k:
-                            break
-                        here = held_in.value.get((d, leaf), 0)
-                        seen, held = seen + 1, held + here
-                        if here:
-                            rows_at.append(i)
-                            leaves.append(leaf)
-            where = pa.array(rows_at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[c.take(where) for c in b.columns], pa.array(leaves, pa.int32())], ["id", "dim", "vector", "leaf"])
-
-    deal = lambda d: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), d).cast("int")
-    parts = sizes.select("dim", "leaf", F.ceil(F.col("count") / F.lit(V.BLOCK)).cast("int").alias("parts"))
+    deal = lambda parts: F.pmod(F.xxhash64("uid"), parts).cast("int")
+    parts = V.parts_of(index, "dim", "leaf")
     data = stage(V.packed(index.join(parts, ["dim", "leaf"]).withColumn("part", deal(F.col("parts"))), "dim", "leaf", "part"), "ann-blocks")
-    visits = index.where(is_query).select("id", "dim", "vector").mapInArrow(go, "id long, dim int, vector array<double>, leaf int").withColumn("asks", deal(F.lit(ask_parts)))
-    asked_blocks = stage(V.packed(visits, "dim", "leaf", "asks"), "ann-queries")
-    # Blocks meet where a block of queries visits the leaf, and nowhere else.
-    meeting = stage(data.select("dim", "leaf", "part").join(asked_blocks.select("dim", "leaf", "asks"), ["dim", "leaf"]), "ann-meetings")
-    keys = ["dim", "leaf", "part", "asks"]
-    mine = data.join(meeting, ["dim", "leaf", "part"])
-    theirs = asked_blocks.join(meeting, ["dim", "leaf", "asks"])
-    mine, theirs = (t.select(*[F.col(c).alias(c) for c in (*keys, "ids", "vectors")]) for t in (mine, theirs))
-
-    def meet(block: pa.Table, ask: pa.Table) -> pa.Table:
-        if not block.num_rows or not ask.num_rows:
-            return V.batches_of([], [], [], pa.float64())
-        ids, x = V.unpack(block.column("ids")[0].as_py(), block.column("vectors")[0].as_py())
-        q_ids, q = V.unpack(ask.column("ids")[0].as_py(), ask.column("vectors")[0].as_py())
-        r, c, s = _nearest(q_ids, q, ids, x, k)
-        return V.batches_of(q_ids[r], ids[c], s, pa.float64())
-
-    return V.ranked(mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(meet, OUT), k)
+
+    def search(asking: DataFrame, everywhere: bool) -> DataFrame:
+        """The k best of each row of ``asking`` (a part of the index) in the leaves that it visits."""
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows_at, leaves = [], []
+                for d, at, x in by_dim(b):
+                    width = (1 << 60) if everywhere else shared.value.widths.get(d, 1 << 60)
+                    for i, v in zip(at.tolist(), unit(x), strict=True):
+                        mine = list(islice(shared.value.visits(d, v), width))
+                        rows_at += [i] * len(mine)
+                        leaves += mine
+                where = pa.array(rows_at, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(3).take(where), b.column(1).take(where), pa.array(leaves, pa.int32())], ["uid", "dim", "leaf"])
+
+        visits = asking.select("id", "dim", "vector", "uid").mapInArrow(go, "uid long, dim int, leaf int")
+        visits = stage(visits.join(parts.select("dim", "leaf"), ["dim", "leaf"], "left_semi"), "ann-visits")
+        # Blocks of queries are counted by the visits of a leaf, so a leaf's rows are sent once for each BLOCK of them.
+        dealt = visits.join(V.parts_of(visits, "dim", "leaf", name="asks"), ["dim", "leaf"]).withColumn("asks", deal(F.col("asks")))
+        asked_blocks = stage(V.packed(dealt.join(asking.select("uid", "id", "vector"), "uid"), "dim", "leaf", "asks"), "ann-queries")
+        meeting = data.select("dim", "leaf", "part").join(asked_blocks.select("dim", "leaf", "asks"), ["dim", "leaf"])
+        keys = ["dim", "leaf", "part", "asks"]
+        theirs = asked_blocks.join(data.select("dim", "leaf", "part"), ["dim", "leaf"])
+        mine, theirs = (t.select(*[F.col(c).alias(c) for c in (*keys, "ids", "vectors")]) for t in (data.join(meeting, ["dim", "leaf", "part"]), theirs))
+
+        def meet(block: pa.Table, ask: pa.Table) -> pa.Table:
+            if not block.num_rows or not ask.num_rows:
+                return V.batches_of([], [], [], pa.float64())
+            ids, x = V.unpack(block.column("ids")[0].as_py(), block.column("vectors")[0].as_py())
+            q_ids, q = V.unpack(ask.column("ids")[0].as_py(), ask.column("vectors")[0].as_py())
+            r, c, s = _nearest(q_ids, q, ids, x, k)
+            return V.batches_of(q_ids[r], ids[c], s, pa.float64())
+
+        return stage(V.ranked(mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(meet, OUT), k), "ann-found")
+
+    asking = index.where(is_query)
+    found = search(asking, False)
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = stage(asking.join(full, "id", "left_anti"), "ann-short")
+    if not short.count():
+        return found
+    return found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(*found.columns).union(search(short, True))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

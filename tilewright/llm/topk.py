@@ -72,10 +72,10 @@ def ball_bounds(q: np.ndarray, norm: np.ndarray, centre: np.ndarray, radius: np.
 
 
 class Search:
-    """The best k so far of a block of queries, over the shards visited."""
+    """The best k so far of a block of queries, over the shards visited; ``repeat``: ids may repeat, and each counts once."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, kth: np.ndarray | None = None):
-        self.ids, self.x, self.k = ids, x, k
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, kth: np.ndarray | None = None, repeat: bool = False):
+        self.ids, self.x, self.k, self.repeat = ids, x, k, repeat
         self.norm = np.sqrt((x.astype(float) ** 2).sum(1))
         self.score = np.full((len(ids), k), NONE)
         self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
@@ -113,6 +113,12 @@ class Search:
         every = np.concatenate([self.score[mine], score], 1)
         vec = np.concatenate([self.vec[mine], np.broadcast_to(ids, score.shape)], 1)
         vec = np.where(every == NONE, np.iinfo(np.int64).max, vec)
+        if self.repeat:  # of rows that repeat an id the best counts
+            order = np.lexsort((~every, vec), axis=1)
+            of = np.take_along_axis(vec, order, 1)
+            again = np.zeros(vec.shape, bool)
+            np.put_along_axis(again, order[:, 1:], of[:, 1:] == of[:, :-1], 1)
+            every, vec = np.where(again, NONE, every), np.where(again, np.iinfo(np.int64).max, vec)
         top = np.lexsort((vec, ~every), axis=1)[:, : self.k]  # ~ turns the order round without overflow
         self.score[mine], self.vec[mine] = np.take_along_axis(every, top, 1), np.take_along_axis(vec, top, 1)
 
@@ -126,16 +132,15 @@ def top_k(df: DataFrame, k: int = 5, query_step: int = 50, scale: float = 256.0,
 
     Queries are the rows whose id is divisible by ``query_step``. Components become floor(scale * x). Vectors that are
     null, empty, or hold null or non-finite components take no part, nor do null ids; a query meets vectors of its own
-    length only. A query with fewer than k candidates gets all; ties go to the smaller id. Rows that repeat an id are
-    each a candidate of other queries, and each a query, whose results then repeat in one ranking; an empty table gives
-    an empty result.
+    length only. A query with fewer than k candidates gets all; ties go to the smaller id. Rows that repeat an id are one
+    query and one candidate, which have the best score of any two of their rows; an empty table gives an empty result.
     """
     spark = df.sparkSession
     rows = V.usable(df, id_column, vector).select("id", "dim", "vector")
     is_query = F.col("id") % query_step == 0
-    n, queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    n, widest = rows.agg(F.count("*"), F.max("dim")).first()
     # Cells of about BLOCK rows, as far as the sample goes.
-    trees = spark.sparkContext.broadcast(fit_forest(rows, n, lambda x: np.floor(x * scale), max(LEAF, V.BLOCK * min(n, 16_384) // max(n, 1))))
+    trees = spark.sparkContext.broadcast(fit_forest(rows, n, widest or 1, lambda x: np.floor(x * scale), max(LEAF, V.BLOCK * min(n, 16_384) // max(n, 1))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,12 +153,14 @@ def top_k(df: DataFrame, k: int = 5, query_step: int = 50, scale: float = 256.0,
                 far[at] = np.sqrt(((x - centre) ** 2).sum(1))
                 for i, v in zip(at.tolist(), x, strict=True):
                     out[i] = v
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float64())), pa.array(cell), pa.array(far)], ["id", "dim", "vector", "cell", "far"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float64())), b.column(3), pa.array(cell), pa.array(far)], ["id", "dim", "vector", "uid", "cell", "far"])
 
-    index = stage(rows.mapInArrow(place, "id long, dim int, vector array<double>, cell int, far double"), "topk-index")
+    numbered = rows.withColumn("uid", F.monotonically_increasing_id())
+    index = stage(numbered.mapInArrow(place, "id long, dim int, vector array<double>, uid long, cell int, far double"), "topk-index")
+    repeat = not index.groupBy("id").count().where("count > 1").isEmpty()
     cells = index.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
     parts = cells.select("dim", "cell", F.ceil(F.col("n") / F.lit(V.BLOCK)).cast("int").alias("parts"))
-    deal = lambda d: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), d).cast("int")
+    deal = lambda d: F.pmod(F.xxhash64("uid"), d).cast("int")
 
     def shard(rows: pa.Table) -> pa.Table:
         ids, x = rows.column("id").to_numpy(), V.rows_of(rows.column("vector"))
@@ -168,7 +175,7 @@ def top_k(df: DataFrame, k: int = 5, query_step: int = 50, scale: float = 256.0,
         if not shards.num_rows or not asked.num_rows:
             return V.batches_of([], [], [], pa.int64())
         ids, x = asked.column("id").to_numpy(), V.rows_of(asked.column("vector")).astype(np.int64)
-        search = Search(ids, x, k, asked.column("kth").to_numpy().copy() if share_kth else None)
+        search = Search(ids, x, k, asked.column("kth").to_numpy().copy() if share_kth else None, repeat)
         for i, v, tree in zip(*(shards.column(c).to_pylist() for c in ("ids", "vectors", "tree")), strict=True):
             i, v = V.unpack(i, v)
             search.shard(i, v.astype(np.int64), pickle.loads(tree))
@@ -176,12 +183,21 @@ def top_k(df: DataFrame, k: int = 5, query_step: int = 50, scale: float = 256.0,
 
     out, own = "query_id long, vec_id long, score long", ["dim", "cell", "group"]
     asked = index.where(is_query).join(parts, ["dim", "cell"]).withColumn("group", deal(F.ceil(F.col("parts") / F.lit(GROUP))))
-    asked = stage(asked.select(*own, "id", "vector"), "topk-queries")
+    asked = stage(asked.select(*own, "id", "uid", "vector"), "topk-queries")
     at_home = data.withColumn("group", F.floor(F.col("part") / F.lit(GROUP)).cast("int"))
-    first = stage(at_home.groupBy(*own).cogroup(asked.groupBy(*own)).applyInArrow(lambda a, b: visit(a, b, False), out), "topk-home")
+    # At home too a group's shards are sent once for each BLOCK of queries.
+    blocks = asked.join(V.parts_of(asked, *own, name="asks"), own).withColumn("asks", deal(F.col("asks")))
+    meet = [*own, "asks"]
+
+    def met(queries: DataFrame, share_kth: bool) -> DataFrame:
+        """What queries (dim, cell, group, asks, id, vector, kth) find in the shards of their group."""
+        sent = at_home.join(queries.select(*meet).distinct(), own).select(*[F.col(c).alias(c) for c in (*meet, "ids", "vectors", "tree")])
+        return sent.groupBy(*meet).cogroup(queries.groupBy(*meet)).applyInArrow(lambda a, b: visit(a, b, share_kth), out)
+
+    first = stage(met(stage(blocks.select(*meet, "id", "vector", F.lit(NONE).alias("kth")), "topk-home-queries"), False), "topk-home")
 
-    # Rows that repeat an id share one kth score, the least of theirs.
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(NONE)).alias("kth"))
+    # The kth id found so far for a query: what scores less can't be among its k best.
+    kth = V.ranked(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     # Cells are bounded by the sample, but for lengths that it lacks; of these only ones with queries are told.
     balls = cells.join(F.broadcast(asked.select("dim").distinct()), "dim", "left_semi").collect()
     of: dict[int, list] = {}
@@ -191,26 +207,22 @@ def top_k(df: DataFrame, k: int = 5, query_step: int = 50, scale: float = 256.0,
     known = spark.sparkContext.broadcast({d: (np.array([c for c, _, _ in x], np.int32), np.array([c for _, c, _ in x]), np.array([r for _, _, r in x])) for d, x in of.items()})
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries (id, dim, vector, home, group, kth) once for each cell that their bounds reach."""
+        """Queries (id, dim, vector, uid, home, group, kth) once for each cell that their bounds reach, without the vector."""
         for b in batches:
             for d, at, x in by_dim(b):
                 cell, centre, radius = known.value[d]
                 bound = ball_bounds(x, np.sqrt((x * x).sum(1)), centre, radius)
-                r, c = np.nonzero(bound >= b.column(5).to_numpy()[at][:, None])
-                yield pa.RecordBatch.from_arrays([*[v.take(pa.array(at[r])) for v in b.columns], pa.array(cell[c])], ["id", "dim", "vector", "home", "group", "kth", "cell"])
-
-    with_kth = asked.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "dim", "vector", F.col("cell").alias("home"), "group", F.coalesce("kth", F.lit(NONE)).alias("kth"))
-    away = with_kth.mapInArrow(go, "id long, dim int, vector array<double>, home int, group int, kth long, cell int")
-    away = away.join(parts, ["dim", "cell"]).withColumn("to", F.explode(F.expr(f"sequence(0, cast(ceil(parts / {float(GROUP)}) as int) - 1)")))
-    away = away.where((F.col("home") != F.col("cell")) | (F.col("group") != F.col("to")))
-    # Queries of a cell in blocks, each of which meets the shards of a group.
-    blocks = max(1, -(-queries // V.BLOCK))
-    away = stage(away.select("dim", "cell", F.col("to").alias("group"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("asks"), "id", "vector", "kth"), "topk-away")
-    meet = [*own, "asks"]
-    meeting = stage(away.select(*meet).distinct(), "topk-meetings")
-    sent = at_home.join(meeting, own).select(*[F.col(c).alias(c) for c in (*meet, "ids", "vectors", "tree")])
-    rest = sent.groupBy(*meet).cogroup(away.groupBy(*meet)).applyInArrow(lambda a, b: visit(a, b, True), out)
-    return V.ranked(first.union(rest), k)
+                r, c = np.nonzero(bound >= b.column(6).to_numpy()[at][:, None])
+                yield pa.RecordBatch.from_arrays([*[b.column(v).take(pa.array(at[r])) for v in (3, 1, 4, 5, 6)], pa.array(cell[c])], ["uid", "dim", "home", "from", "kth", "cell"])
+
+    with_kth = asked.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "dim", "vector", "uid", F.col("cell").alias("home"), "group", F.coalesce("kth", F.lit(NONE)).alias("kth"))
+    away = with_kth.mapInArrow(go, "uid long, dim int, home int, from int, kth long, cell int")
+    away = away.join(parts, ["dim", "cell"]).withColumn("group", F.explode(F.expr(f"sequence(0, cast(ceil(parts / {float(GROUP)}) as int) - 1)")))
+    away = stage(away.where((F.col("home") != F.col("cell")) | (F.col("from") != F.col("group"))).select(*own, "uid", "kth"), "topk-visits")
+    # Blocks of queries are counted by the visits of a group of shards, so it is sent once for each BLOCK of them.
+    away = away.join(V.parts_of(away, *own, name="asks"), own).withColumn("asks", deal(F.col("asks")))
+    away = stage(away.join(asked.select("uid", "id", "vector"), "uid").select(*meet, "id", "vector", "kth"), "topk-away")
+    return V.ranked(first.union(met(away, True)), k)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,8 +236,10 @@ with v as (
 ), s as (
   select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
   from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+), b as (
+  select query_id, vec_id, max(score) as score from s group by all
 ), r as (
-  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from b
 )
 select * from r where rank <= 5
 """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,7 +9,6 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block, about.
 BLOCK = 1024
-BLOCKS = "dim int, block int, ids binary, vectors binary"
 
 
 def usable(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -28,11 +25,6 @@ def rows_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def numbered(df: DataFrame, blocks: int, name: str = "block") -> DataFrame:
-    """Rows dealt evenly to ``blocks`` blocks; rows with one id, too."""
-    return df.withColumn(name, F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-
-
 def packed(df: DataFrame, *keys: str) -> DataFrame:
     """Rows (keys: int, id, vector) to one row (keys, ids, vectors) for each group, in the order of ids."""
 
@@ -50,29 +42,20 @@ def unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
     return i, np.frombuffer(vectors, np.float64).reshape(len(i), -1)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Row-wise places of the k highest scores, ties to smaller ids; ``ids`` ascend along each row."""
-    if scores.shape[1] > 4 * k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        out = np.zeros((len(scores), k), np.int64)
-        for r, row in enumerate(scores >= kth):
-            at = np.flatnonzero(row)
-            out[r] = at[np.argsort(-scores[r, at], kind="stable")[:k]]
-        return out
-    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
-
-
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score) to the k best of each query with their rank; ties to smaller ids."""
+    """(query_id, vec_id, score) to the k best of each query with their rank; ties to smaller ids.
+
+    Rows that repeat an id are one query and one candidate, with the best score that any two of them have.
+    """
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def batches_of(query: np.ndarray, vec: np.ndarray, score: np.ndarray, kind: pa.DataType) -> pa.Table:
-    return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, kind)})
+def parts_of(rows: DataFrame, *keys: str, name: str = "parts") -> DataFrame:
+    """For each value of ``keys`` how many blocks of about ``BLOCK`` rows it has."""
+    return rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
 
 
-def stream(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of batches as tuples of Python values."""
-    for batch in rows:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+def batches_of(query: np.ndarray, vec: np.ndarray, score: np.ndarray, kind: pa.DataType) -> pa.Table:
+    return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, kind)})
