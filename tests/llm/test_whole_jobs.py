@@ -253,6 +253,25 @@ FAMILIES = [
     ("This is not licensed under the Apache License 2.0", "apache"),  # the base phrase stays; nothing is detected
     ("it is no longer distributed under GPLv3", ""),
     ("mitten apaches isca gnus", ""),
+    ("BSD-3-Clause", "bsd-3-clause"),
+    ("licensed under BSD-3-Clause", "bsd-3-clause"),
+    ("under the terms of the 2-clause BSD license", "bsd-2-clause"),
+    ("license: MIT", "mit"),
+    ("license = MIT", "mit"),
+    ('"license": "Apache-2.0",', "apache"),
+    ("License: BSD", "bsd"),
+    ("license: BSD-2-Clause", "bsd-2-clause"),
+    ("license: ISC", "isc"),
+    ("Licenses: MIT and ISC", "isc,mit"),
+    ("MIT licensed", "mit"),
+    ("SPDX-License-Identifier: Apache-2.0 OR MIT", "apache,mit"),
+    ("SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause", "bsd-3-clause,gpl"),
+    ("permission is not granted under the gpl", ""),
+    ("This is not the MIT license", "mit"),  # the base phrase alone
+    ("this isn't GPLv2 code", ""),
+    ("use ISC rather than the Mozilla Public License 2.0", ""),
+    ("not only the MPL but also LGPLv3", "lgpl,mpl"),
+    ("the license of the python that bit the ruby boost", ""),
 ]
 
 
@@ -260,8 +279,17 @@ def test_licence_families(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FAMILIES)], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
     assert [(t, got[i].labels) for i, (t, _) in enumerate(FAMILIES)] == FAMILIES
-    denied = next(i for i, (t, _) in enumerate(FAMILIES) if t.startswith("This is not"))
-    assert got[denied].detections == [] and got[denied].score == 0.5
+    for denied in (i for i, (t, _) in enumerate(FAMILIES) if t.startswith("This is not")):
+        assert got[denied].detections == [] and got[denied].score == 0.5
+
+
+def test_every_declared_name_has_one_label(spark):
+    """SPDX names, each once in a declaration and once in an SPDX line."""
+    names = "GPL-2.0-only GPL-3.0-or-later LGPL-2.1 AGPL-3.0 GFDL-1.3 Apache-1.1 Apache-2.0 MIT MIT-0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSD-1-Clause 0BSD ISC MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 CPL-1.0 EUPL-1.2 OSL-3.0 AFL-3.0 Artistic-2.0 BSL-1.0 BUSL-1.1 SSPL-1.0 Elastic-2.0 WTFPL Unlicense Zlib libpng-2.0 OpenSSL Python-2.0 PSF-2.0 PHP-3.01 Ruby OFL-1.1 ODbL-1.0 ODC-By-1.0 PDDL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 MS-PL MS-RL UPL-1.0 NCSA PostgreSQL W3C".split()
+    rows = [(i, f"{way} {n}") for i, (way, n) in enumerate((w, n) for n in names for w in ("license:", "SPDX-License-Identifier:"))]
+    got = {r.doc_id: {h.label for h in r.detections} for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [t for i, t in rows if len(got[i]) != 1] == []
+    assert [t for i, t in rows if i % 2 and got[i] != got[i - 1]] == []
 
 
 def test_every_licence_has_a_rule_that_fires(spark):

@@ -1,10 +1,11 @@
 """License scans: ordered signature rules, gated by keywords, with suppression of contained detections.
 
 A text is read as words (A-Z lower-cased; letters, digits and all that is not ASCII). A rule is a regular expression
-over the words joined by spaces, written for a licence's SPDX name, its text or notice, its full name or its short
-form; it is tried only on texts that hold one of its keywords. Keywords of all rules are found in one pass, by looking
+over the words joined by spaces, written for a licence's SPDX name, its text or notice, a declaration ("license: MIT"),
+its full name or its short form; it is tried only on texts that hold one of its keywords. Of an SPDX expression every
+name counts. Keywords of all rules are found in one pass, by looking
 up the hashes of a run's words. A detection goes if it lies inside one of a rule that stands before its own, or inside a
-longer one of the same rank; a denial ("not licensed under ...") stands first and names no licence. Base phrases are
+longer one of the same rank; a denial ("not licensed under ...", "not the ...") stands first and names no licence. Base phrases are
 counted at all their places, whatever is suppressed.
 """
 
@@ -132,12 +133,22 @@ TEXTS = [
     ("public-domain", r"public domain", "domain"),
 ]
 
-_VERB = r"(?:licen[cs]ed|released|distributed|published|available|redistribut\w+)(?: \w+){0,3} under(?: the| an?)?(?: terms of(?: the)?)? "
-_VERSION = r"(?: international| unported)?(?: licen[cs]e)?(?: version| v)? ?\d+(?: \d+)*"
+_UNDER = r"under(?: the| an?)?(?: terms of(?: the)?)? "
+_VERB = r"(?:licen[cs]ed|released|distributed|published|available|redistribut\w+)(?: \w+){0,3} " + _UNDER
+#: A number is no version where it counts clauses.
+_VERSION = r"(?: international| unported)?(?: licen[cs]e)?(?: version| v)? ?\d+(?: \d+)*(?! clause)"
+_DENIAL = r"(?:not|never|no longer|isn t|aren t|wasn t|neither|nor|rather than|instead of|unlike) (?!only|just|limited|merely)"
+_DECLARED = r"licen[cs]es?(?: types?| names?| ids?| identifiers?| keys?| info| text)? (?:is |are |under )?(?:the )?"
+#: What may follow a name in an SPDX expression.
+_LATER = r"(?: only| or later)?(?: with(?: \w+){1,4}? exception(?: \d+)*)?"
+_LICENCE_WORDS = "license licence licenses licences"
 
 
 class Rule(NamedTuple):
-    """label is None for a denial; one of the keywords (words) must be in a text, and of ``also``, if there are any."""
+    """label is None for a denial; one of the keywords (words) must be in a text, and of ``also``, if there are any.
+
+    A detection is the expression's group "hit", if it has one, else all of its match.
+    """
 
     label: str | None
     rank: int
@@ -148,9 +159,10 @@ class Rule(NamedTuple):
 
 
 def default_rules() -> list[Rule]:
-    """Rules by rank: denials, SPDX lines, texts and notices, grants, names with a version, names; then table order."""
-    rank_of = {"denied": 0, "spdx": 1, "text": 2, "granted with version": 3, "granted": 4, "named with version": 5, "named": 6}
+    """Rules by rank: denials, SPDX lines, texts and notices, grants, declarations, names with a version, names; then table order."""
+    rank_of = {k: i for i, k in enumerate(("denied", "spdx", "text", "granted with version", "granted", "declared", "named with version", "named"))}
     found = []
+    every = "|".join(f"{spdx}|{name}" for _, spdx, name, _, _ in LICENCES)
 
     def add(kind: str, label: str | None, expression: str, keys: str, confidence: float, also: str = "") -> None:
         whole = re.compile(rb"(?<![^ ])(?:" + expression.encode() + rb")(?![^ ])")
@@ -158,10 +170,14 @@ def default_rules() -> list[Rule]:
 
     for label, spdx, name, short, keys in LICENCES:
         any_name = f"(?:{name}|{short})"
-        add("denied", None, r"(?:not|never|no longer) (?:\w+ )?" + _VERB + any_name + f"(?:{_VERSION})?", keys, 0.0, "under")
-        add("spdx", label, rf"spdx licen[cs]e identifier (?:{spdx})(?: only| or later)?", "spdx", 1.0)
+        add("denied", None, _DENIAL + rf"(?:\w+ ){{0,4}}?{_UNDER}{any_name}(?:{_VERSION})?(?: licen[cs]e)?", keys, 0.0, "under")
+        add("denied", None, _DENIAL + rf"(?:a |an |the |by the )?{any_name}(?:{_VERSION})?(?: licen[cs]e)?", keys, 0.0)
+        add("spdx", label, rf"spdx licen[cs]e identifier (?:(?:{every}){_LATER} (?:or|and) )*(?P<hit>(?:{spdx}){_LATER})", "spdx", 1.0)
         add("granted with version", label, _VERB + any_name + _VERSION, keys, 0.98, "under")
         add("granted", label, _VERB + any_name + "(?: licen[cs]e)?", keys, 0.95, "under")
+        declared = f"(?:{spdx}|{short})"  # with the word licence after it, it is a name
+        add("declared", label, _DECLARED + rf"(?:(?:{every}){_LATER} (?:or|and) )*(?P<hit>{declared}(?:{_VERSION})?{_LATER})(?! licen[cs]e)", keys, 0.9, _LICENCE_WORDS)
+        add("declared", label, declared + r"(?: style)? licen[cs]ed", keys, 0.9, "licensed licenced")
         add("named with version", label, f"(?:{name}|{short}){_VERSION}", keys, 0.8)
         add("named", label, name, keys, 0.6)
         # Short forms that are no words of their own count alone.
@@ -228,7 +244,10 @@ class Scanner:
         word_at = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
         index = lambda at: int(np.searchsorted(word_at, at))
         places = [(index(m.start()), label) for e, label in phrases for m in e.finditer(joined)]
-        hits = [(index(m.start() - 1), index(m.end()), r.rank, r.label, r.confidence) for r in todo for m in r.expression.finditer(joined)]
+        hits = []
+        for r in todo:
+            group = "hit" if "hit" in r.expression.groupindex else 0
+            hits += [(index(m.start(group) - 1), index(m.end(group)), r.rank, r.label, r.confidence) for m in r.expression.finditer(joined)]
         return places, [h for h in kept(hits) if h[3] is not None]
 
 
@@ -266,3 +285,21 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE, rules: Sequence[R
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("detections")
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the scan that SQL can express: words, and places of the base phrases."""
+    return query(spark, sf_dir).drop("labels", "score")
+
+
+BASE_SQL = f"""
+with d as (
+  select row_number() over () as u, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+), b as (
+  select string_split(p, ' ') as p, label from (values {", ".join(f"('{p}', '{label}')" for p, label in BASE.items())}) t(p, label)
+), h as (
+  select u, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(p)] = p)) as spot from d, b
+)
+select doc_id, len(any_value(w))::bigint as n_words, count(spot) as n_base, min(spot)::bigint as first_word, max(spot)::bigint as last_word, coalesce(string_agg(distinct label, ',' order by label), '') as base_labels
+from d left join h using (u) group by u, doc_id
+"""

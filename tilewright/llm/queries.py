@@ -16,6 +16,7 @@ QUERIES = {
     "op11_periodic_runs": periods.query,
     "op12_exact_dedup": dedup.query,
     "op13_centroid_clusters": clusters.query,
+    "license_base_places": licenses.base_query,
 }
 
 ORACLE = {
@@ -25,4 +26,5 @@ ORACLE = {
     "op5_exact_top_k": topk.SQL,
     "op12_exact_dedup": dedup.SQL,
     "op13_centroid_clusters": clusters.sql(),
+    "license_base_places": licenses.BASE_SQL,
 }
