@@ -103,6 +103,21 @@ def test_mixing_comes_near_its_targets(spark, sf_dir):
     assert spark_rows(mixing.query(spark, sf_dir)) == spark_rows(mixing.query(spark, sf_dir))
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_null_and_repeated_ids_make_no_large_cell(spark, monkeypatch, broadcast):
+    """Half of all ids null, a sixth one id: a hundred thousand rows, some of them equal in all columns."""
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", broadcast)
+    seen, stage = [], mixing.stage
+    monkeypatch.setattr(mixing, "stage", lambda df, name: seen.append((name, stage(df, name))) or seen[-1][1])
+    k = F.col("id")
+    df = spark.range(100_000).select(F.when(k % 2 == 0, None).when(k % 3 == 0, 7).otherwise(k).alias("doc_id"), F.concat(F.lit("a b "), F.when(k % 4 == 0, (k % 100).cast("string")).otherwise(F.lit("same"))).alias("text"), F.when(k % 5 == 0, "web").alias("source"))
+    mixed = mixing.mix(df, ["doc_id"])
+    total = mixed.agg(F.count("*").alias("n"), F.sum(F.col("copies") * F.col("size")).alias("w")).first()
+    last = [t for name, t in seen if name == "mix-cells"][-1]
+    assert last.agg(F.max("rows")).first()[0] < 20_000 and total.n == 100_000
+    assert abs(total.w - sum(r.target for r in mixed.select("source_size", "target").distinct().collect())) <= 6
+
+
 def test_mixing_stage_repeats_whole_rows(spark, docs):
     out = mixing.stage_function(spark, docs, "")
     assert out.schema == docs.schema

@@ -6,8 +6,10 @@ in which they saturate. Sampling: within a source, each document expects target
 of expected copies, plus one random offset, crosses integers; a document is taken once for each integer it crosses.
 Documents stand in order of size (to a 32nd of a power of two), then of a hash, so that words taken come near the target.
 
-The running sum is exact and needs no large window: a source is dealt into cells (size step, hash prefix), cells are
-counted, and a document's place is its cell's start plus its row number in the cell.
+The running sum is exact and needs no large window: a source is dealt into cells (size step, prefix of the order's key),
+cells are counted, and a document's place is its cell's start plus its row number in the cell. A cell of too many rows is
+dealt out again by more digits of the key, past those that its rows share, until none is left; the key ends in a number of
+its own for each row, so neither a null id nor one that repeats makes a large cell.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tilewright.session import stage
 
-#: Hex digits of the hash prefix: two at least, and so many that a cell holds some ten thousand rows at most.
-LEAST_DIGITS, CELL_ROWS = 2, 10_000
+#: Rows of a cell at most. Cells to deal out again up to this many are broadcast, more are joined by a shuffle.
+CELL_ROWS, BROADCAST_CELLS = 10_000, 200_000
 
 
 def n_words(text: Column) -> Column:
@@ -56,6 +58,25 @@ def targets(per: DataFrame, weights: Sequence[float], share: float, most: float)
     return per.withColumn("w", w).withColumn("rate", rate).withColumn("level", F.max("rate").over(everything)).select("key", "source_size", F.least(cap, F.col("level") * F.col("w")).alias("target"))
 
 
+def dealt(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, source, step, order, size) with their cell, and (source, key, step, cell, rows, words) of every cell.
+
+    ``sized`` is a staged table. Cells start as whole steps of a source. One of more than ``CELL_ROWS`` rows is cut by so
+    many digits of ``order`` as would do if they were even, counted from the first in which its rows differ.
+    """
+    cell = ["key", "step", "cell"]
+    rows = sized.withColumn("cell", F.lit(""))
+    while True:
+        cells = stage(rows.groupBy("source", *cell).agg(F.count("*").alias("rows"), F.sum("size").alias("words"), F.min("order").alias("low"), F.max("order").alias("high")), "mix-cells")
+        shared = F.expr("aggregate(sequence(1, length(low)), 0, (n, i) -> if(left(low, i) = left(high, i), i, n))")
+        more = F.greatest(F.ceil(F.log(F.col("rows") / F.lit(CELL_ROWS)) / F.log(F.lit(16.0))), F.lit(1))
+        full = cells.where(F.col("rows") > CELL_ROWS).select(*cell, (shared + more).cast("int").alias("digits"))
+        n = full.count()
+        if not n:
+            return rows, cells.drop("low", "high")
+        rows = rows.join(F.broadcast(full) if n <= BROADCAST_CELLS else full, cell, "left").withColumn("cell", F.coalesce(F.expr("left(`order`, digits)"), "cell")).drop("digits")
+
+
 def mix(docs: DataFrame, keep: Sequence[str], weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, source) with the copies that the mix takes of it.
 
@@ -64,19 +85,19 @@ def mix(docs: DataFrame, keep: Sequence[str], weights: Sequence[float] = (5, 2,
     source of its own. Rows equal in doc_id and size may stand for each other; others are ordered by their values
     alone, so reruns agree. An empty table gives an empty result.
     """
-    digits = max(LEAST_DIGITS, (docs.count() // CELL_ROWS).bit_length() // 4 + 1)
+    hexed = lambda v: F.lpad(F.hex(v), 16, "0")
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"),
         "source",
         n_words(F.col("text")).alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("hash"),
-        F.col("doc_id").alias("id"),
         F.xxhash64("text").alias("same"),
-    ).withColumns({"step": size_step(F.col("size")), "prefix": F.substring("hash", 1, digits)})
-    cell = ["key", "step", "prefix"]
-    cells = stage(sized.groupBy("source", *cell).agg(F.count("*").alias("rows"), F.sum("size").alias("words")), "mix-cells")
-    in_step = Window.partitionBy("key", "step").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    sized = sized.select("row", "key", "source", "size", size_step(F.col("size")).alias("step"), F.concat("hash", hexed(F.col("size")), hexed(F.col("same")), hexed(F.monotonically_increasing_id())).alias("order"))
+    rows, cells = dealt(stage(sized, "mix-sized"))
+    cell = ["key", "step", "cell"]
+    in_step = Window.partitionBy("key", "step").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     in_source = Window.partitionBy("key").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
     steps = cells.groupBy("key", "step").agg(F.sum("rows").alias("step_rows")).withColumn("step_start", F.coalesce(F.sum("step_rows").over(in_source), F.lit(0)))
     per = targets(cells.groupBy("key", "source").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -86,7 +107,7 @@ def mix(docs: DataFrame, keep: Sequence[str], weights: Sequence[float] = (5, 2,
         .join(per, "key")
         .select(*cell, "source_size", "target", (F.col("step_start") + F.col("in_step")).alias("start"))
     )
-    placed = sized.withColumn("place", F.row_number().over(Window.partitionBy(*cell).orderBy("hash", F.col("id").asc_nulls_last(), "size", "same")))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*cell).orderBy("order")))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     upto = lambda k: F.floor(k * each + F.lit(offset_of(seed)))
     at = F.col("start") + F.col("place")
