@@ -90,3 +90,18 @@ def test_blocks_are_sent_in_proportion(spark, monkeypatch):
             blocks, visits = t.select(*keys).distinct().count(), staged["ann-visits" if module is ann else "topk-visits"].count()
             groups = t.select(*keys[:-1]).distinct().count()
             assert blocks <= groups + visits / 32
+
+
+def test_rows_of_an_id_that_reach_the_curve_are_bounded(spark, monkeypatch):
+    """Each toxic id has a hundred texts of its own; the curve is fitted on a few of each."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from tilewright.llm import toxicity
+
+    docs = spark.range(40_000).select((F.col("id") % 400).alias("doc_id"), F.concat(F.when(F.col("id") % 4 == 0, "vile ").otherwise("kind "), F.lit("words stand here "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
+    fitted = []
+    monkeypatch.setattr(toxicity, "curve", lambda values, labels: fitted.append(pd.DataFrame({"v": values, "y": labels})) or (1.0, 0.0))
+    toxicity.train(docs, labels)
+    assert 0 < len(fitted[0]) <= 400 * toxicity.TEXTS and fitted[0]["y"].nunique() == 2

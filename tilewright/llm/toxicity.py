@@ -22,11 +22,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.flat import WORD_ANY_CASE, flat, in_small_batches, mix, runs, span_hashes, spans
-from tilewright.llm.quality import BROADCAST_ROWS, fold, labelled
+from tilewright.llm.quality import BROADCAST_ROWS, TEXTS, fold, labelled
 from tilewright.session import stage
 
 #: Neutral words that stand beside an expression of one or two words.
@@ -35,7 +35,7 @@ PRIOR = 30
 WORDS = 1 << 18
 #: Ranges of word hashes that bounds of ratios are broadcast for: 2 ** BITS, two bytes each, made in parts of 2 ** PART.
 BITS, PART = 23, 15
-#: Labelled documents that the curve is fitted on, about.
+#: Labelled ids that the curve is fitted on, about.
 SAMPLE = 10_000
 #: Word-neighbour pairs of a chunk, and of a hash range, about.
 CHUNK = RANGE = 1 << 21
@@ -243,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
     """The model from all labelled rows of ``docs`` (doc_id, text) outside fold ``held``.
 
     Word counts cover all of them. Of conflicting labels of an id all count. The curve is fitted with counts of the
-    first half, on about ``SAMPLE`` documents of the second.
+    first half, on the values of about ``SAMPLE`` ids of the second, ``TEXTS`` for each id and label at most.
     """
     spark = docs.sparkSession
     mine = stage(labelled(labels, column, folds, held), "toxicity-labels")
@@ -292,7 +292,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
 
     share = min(1.0, SAMPLE / max(n / 2, 1))
     drawn = mine.where(second & (F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(1 << 30)) < int(share * (1 << 30))))
-    values = valued(docs.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(drawn), F.col("d") == F.col("id")).select("label", "text"), fitted("half_")).toPandas()
+    chosen = docs.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(drawn), F.col("d") == F.col("id")).select("id", "label", "text")
+    # Spark keeps TEXTS rows of an id and label in each task before it sorts them, so an id of many rows is no hot key.
+    nth = F.row_number().over(Window.partitionBy("id", "label").orderBy(F.xxhash64("value"), "value"))
+    values = valued(chosen, fitted("half_")).distinct().withColumn("nth", nth).where(F.col("nth") <= TEXTS).select("label", "value").toPandas()
     trained = fitted("")
     if values["label"].nunique() == 2:
         trained.model.slope, trained.model.centre = curve(values["value"].to_numpy(), values["label"].to_numpy())
