@@ -210,16 +210,6 @@ def test_gate_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
 
 
-def test_sent_tiles(spark, tmp_path):
-    rows = [
-        (1, "update", 0, 10, 2, 1, True), (1, "update", 0, 11, 2, 1, True), (1, "event", 5, 10, 2, 1, True), (1, "event", 6, 12, 2, 1, True), (1, "event", 7, 13, 0, 1, True),
-        (1, "request", 100, 12, 2, 1, True), (1, "request", 2006, 12, 2, 1, True), (1, "open", 3000, None, None, None, None), (1, "update", 3001, 10, 2, 1, True),
-    ]
-    df = spark.createDataFrame(rows, "view long, kind string, at long, key long, level int, min_level int, visible boolean")
-    got = [tuple(r) for r in streamed(spark, df, tmp_path, views.sent_tiles).orderBy("at", "key").collect()]
-    assert got == [(1, 10, 0, 1), (1, 11, 0, 1), (1, 12, 6, 1), (1, 12, 2006, 2), (1, 10, 3001, 1)]
-
-
 # --- catalogue
 
 

@@ -52,6 +52,42 @@ def tile_range(views: DataFrame) -> DataFrame:
     return views.withColumns({"tx0": x0, "tx1": x1, "ty0": y0, "ty1": y1})
 
 
+def level_ranges(view_x: Column, view_y: Column, view_width: Column, view_height: Column, zoom: Column, dpi: Column, width: Column, height: Column, levels: Column) -> Column:
+    """Tiles in view as an array, coarsest level first: level, tx0, tx1, ty0, ty1, ends exclusive.
+
+    One expression of one row, so it serves streams, where rows can't be numbered.
+    """
+    first, span = min_level(zoom, dpi, levels), safe_zoom(zoom)
+
+    def of(level: Column) -> Column:
+        step = F.pow(F.lit(2.0), level) * pyramid.TILE
+        start = lambda p: F.greatest(F.lit(0), F.floor(p / step)).cast("int")
+        end = lambda p, view, size: F.least(F.greatest(F.lit(0), F.ceil((p + view / span) / step)), F.ceil(size / step)).cast("int")
+        return F.struct(level.alias("level"), start(view_x).alias("tx0"), end(view_x, view_width, width).alias("tx1"), start(view_y).alias("ty0"), end(view_y, view_height, height).alias("ty1"))
+
+    none = F.array().cast("array<int>")
+    return F.transform(F.when(levels > 0, F.sequence(levels - 1, first, F.lit(-1))).otherwise(none), of)
+
+
+def keys_in(ranges: Column) -> Column:
+    """Keys of all tiles of an array of level ranges."""
+    none = F.array().cast("array<int>")
+    span = lambda r, a, b: F.when(r[b] > r[a], F.sequence(r[a], r[b] - 1)).otherwise(none)
+    row = lambda r, y: F.transform(span(r, "tx0", "tx1"), lambda x: pyramid.pack_key(x, y, r["level"]))
+    return F.flatten(F.transform(ranges, lambda r: F.flatten(F.transform(span(r, "ty0", "ty1"), lambda y: row(r, y)))))
+
+
+def nearest_keys(r: Column, centre_x: Column, centre_y: Column, most: int) -> Column:
+    """Keys of a level's tiles (level, tx0, tx1, ty0, ty1) by the distance of their corners, ties by y, then x (O3)."""
+    step = F.pow(F.lit(2.0), r["level"]) * pyramid.TILE
+    none = F.array().cast("array<int>")
+    span = lambda a, b: F.when(r[b] > r[a], F.sequence(r[a], r[b] - 1)).otherwise(none)
+    away = lambda t, c: F.pow(t * step - c, F.lit(2))
+    tile = lambda x, y: F.struct((away(x, centre_x) + away(y, centre_y)).alias("d"), y.alias("y"), x.alias("x"))
+    tiles = F.flatten(F.transform(span("ty0", "ty1"), lambda y: F.transform(span("tx0", "tx1"), lambda x: tile(x, y))))
+    return F.transform(F.slice(F.array_sort(tiles), 1, most), lambda t: pyramid.pack_key(t["x"], t["y"], r["level"]))
+
+
 def visible_tiles(views: DataFrame, first: Column | None = None, margin: int = 0) -> DataFrame:
     """One row per visible tile of each view at levels ``first`` to the coarsest.
 
