@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tilewright.plans import catalog_queries, geometry_queries, lookup_queries, placement_queries, pyramid_queries, session_queries, stain_queries, stream_queries, text_queries, view_queries  # noqa: E402, F401
+from tilewright.plans import catalog_queries, durable_queries, geometry_queries, lookup_queries, placement_queries, pyramid_queries, session_queries, stain_queries, stream_queries, text_queries, view_queries  # noqa: E402, F401

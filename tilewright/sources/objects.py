@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tilewright.functions.text import has_suffix
+from tilewright.sources import tile_sink
 
 SUFFIXES = (".tif", ".tiff", ".svs")
 
@@ -51,8 +52,12 @@ def read_tiles(tiles: DataFrame, requests: DataFrame, keys: tuple[str, ...] = ("
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
-    """Append tiles whose write is accepted, by slide (S9); see ``placement.write_status``. For use in foreachBatch too."""
-    tiles.where("status = 'ok'").drop("status").write.mode("append").partitionBy("id").parquet(path)
+    """Write tiles (id, level, x, y, data) whose write is accepted as files (S9); see ``placement.write_status``.
+
+    Tiles that are there already are skipped, so a batch that ``foreachBatch`` repeats writes nothing twice.
+    """
+    tile_sink.register(tiles.sparkSession)
+    tiles.where("status = 'ok'").select("id", "level", "x", "y", "data").write.format("tile_files").mode("append").option("path", path).save()
 
 
 def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
