@@ -173,6 +173,59 @@ def test_raw_slide(spark, tmp_path):
     assert bytes(joined) == pixels
 
 
+def test_a_region_reads_its_own_bytes(spark, tmp_path):
+    import numpy as np
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual, StringContains
+
+    rng = np.random.default_rng(1)
+    pixels = {s: rng.integers(0, 256, (50, 70, 4)).astype(np.uint8) for s in ("a", "b", "c")}
+    for s, p in pixels.items():
+        raw_slide.write_raw(f"{tmp_path}/{s}.raw", 70, 50, p.tobytes())
+    raw_slide.register(spark)
+    df = spark.read.format("raw_slide").option("tile", "16").option("path", f"file://{tmp_path}").load()
+    assert df.count() == 3 * 5 * 4
+    rows = df.where("slide in ('a', 'c') and y > 1 and y <= 2 and x in (1, 2, 4) and width > 10").collect()
+    assert {(r.slide, r.x, r.y, r.width, r.height) for r in rows} == {(s, x, 2, 16, 16) for s in ("a", "c") for x in (1, 2)}
+    assert all(r.pixels == pixels[r.slide][32:48, 16 * r.x : 16 * r.x + r.width].tobytes() for r in rows)
+    assert df.where("x = 9 or y < 0").count() == 0 and df.where("x = 1 and x = 2").count() == 0
+
+    class Counted:
+        def __init__(self, f):
+            self.f, self.bytes = f, 0
+
+        def read_at(self, n, at):
+            self.bytes += n
+            return self.f.read_at(n, at)
+
+    reader = raw_slide._Reader(str(tmp_path), 16)
+    left = list(reader.pushFilters([EqualTo(("slide",), "b"), GreaterThan(("y",), 0), LessThanOrEqual(("y",), 1), In(("x",), (1, 2)), StringContains(("slide",), "b")]))
+    parts = reader.partitions()
+    assert [type(f) for f in left] == [StringContains] and [(p.slide, p.y, p.x0, p.x1) for p in parts] == [("b", 1, 1, 3)]
+    with open(parts[0].path, "rb") as f:
+        assert len(f.read()) == 8 + 4 * 70 * 50
+    counted, store = [], raw_slide.opened(str(tmp_path))[0]
+
+    class Store:
+        def open_input_file(self, path):
+            from contextlib import contextmanager
+
+            @contextmanager
+            def go():
+                with store.open_input_file(path) as f:
+                    counted.append(Counted(f))
+                    yield counted[-1]
+
+            return go()
+
+    before = raw_slide.opened
+    raw_slide.opened = lambda path: (Store(), path)
+    try:
+        assert len(list(reader.read(parts[0]))) == 2
+    finally:
+        raw_slide.opened = before
+    assert counted[0].bytes == 4 * 16 * 32
+
+
 def test_listing_and_sidecars(spark, tmp_path):
     for name, content in (("a.SVS", b"x"), ("b.tiff", b"y"), ("c.txt", b"z"), ("a.SVS.json", b'{"stain": "HE"}'), ("b.tiff.json", b"{bad")):
         (tmp_path / name).write_bytes(content)

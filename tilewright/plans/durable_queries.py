@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tilewright.functions import text
 from tilewright.plans.registry import query
 from tilewright.plans.session_queries import replayed
-from tilewright.session import shared_dir, table
-from tilewright.sources import journal, ledger, objects
+from tilewright.session import shared_dir, stage, table
+from tilewright.sources import journal, ledger, objects, raw_slide
 
 
 @query("select user_id || ':' || event_type as message_id, 'user.' || user_id as subject, 1::bigint as seen from events where user_id % 2 = 0 group by all")
@@ -35,3 +35,29 @@ def written_tiles(spark, sf_dir):
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.webp").load(root)
     read = objects.tile_paths(files.select("path", "length")).drop("length")
     return read.join(files.select("path", F.length("content").alias("length"), F.md5("content").alias("md5")), "path").drop("path")
+
+
+@query("""
+with p as (select s_suppkey, px, py, c, (px * 7 + py * 13 + c * 29 + s_suppkey) % 256 as v
+           from supplier, (select unnest(range(40, 60)) as px), (select unnest(range(32)) as py), (select unnest(range(4)) as c) where s_suppkey % 3 = 0)
+select 's' || s_suppkey as slide, (px // 20)::int as x, (py // 20)::int as y, 20 as width, (case when py < 20 then 20 else 12 end)::int as height, md5(unhex(string_agg(printf('%02x', v), '' order by py, px, c))) as md5
+from p group by s_suppkey, px // 20, py // 20, case when py < 20 then 20 else 12 end
+""")
+def slide_regions(spark, sf_dir):
+    """Raw slides of 60 by 32 pixels, written by tasks; of every third the last column of tiles is read back."""
+    root = f"{shared_dir(spark)}/slides-{uuid.uuid4().hex}"
+
+    def write(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                y, x, c = np.indices((32, 60, 4))
+                raw_slide.write_raw(f"{root}/s{k}.raw", 60, 32, ((x * 7 + y * 13 + c * 29 + k) % 256).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["id"])
+
+    stage(table(spark, sf_dir, "supplier").select("s_suppkey").mapInArrow(write, "id long"), "slides-written")
+    raw_slide.register(spark)
+    tiles = spark.read.format("raw_slide").option("path", root).option("tile", "20").load().where("x >= 2 and int(substring(slide, 2)) % 3 = 0")
+    return tiles.select("slide", "x", "y", "width", "height", F.md5("pixels").alias("md5"))

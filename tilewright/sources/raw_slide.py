@@ -1,61 +1,125 @@
 """A Python data source of tiles of raw RGBA slides: ``spark.read.format("raw_slide").load(path)``.
 
-A file holds width and height as 4-byte numbers, lowest byte first, then rows of RGBA. Each partition reads one row of
-tiles with one seek, so a slide of any size is read in bounded memory.
+A file holds width and height as 4-byte numbers, lowest byte first, then rows of RGBA. ``path`` is one file or a folder of
+``*.raw`` files on any storage that ``store`` opens. Each partition reads one row of tiles. Filters on slide, x and y are
+taken over by the source: other slides are not opened, other rows of tiles have no partition, and of a row only the columns
+asked for are read, by ranges. So a region of a slide of any size costs its own bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyarrow import fs
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+
+from tilewright.sources.store import opened, put
+
+HEAD, PIXEL = 8, 4
+_END = 1 << 31
 
 
 class RawSlide(DataSource):
-    """Options: path, tile (edge in pixels, 512)."""
+    """Options: path, tile (edge in pixels, 512). slide is the file's name without ``.raw``."""
 
     @classmethod
     def name(cls) -> str:
         return "raw_slide"
 
     def schema(self) -> str:
-        return "x int, y int, width int, height int, pixels binary"
+        return "x int, y int, width int, height int, pixels binary, slide string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"], int(self.options.get("tile", 512)))
 
 
+class _Band(InputPartition):
+    """A row of tiles, ``y``, of the file at ``path``, and its columns from ``x0`` to ``x1``."""
+
+    def __init__(self, path: str, slide: str, width: int, height: int, y: int, x0: int, x1: int):
+        self.path, self.slide, self.width, self.height, self.y, self.x0, self.x1 = path, slide, width, height, y, x0, x1
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, tile: int):
-        self.path, self.tile = path.removeprefix("file://"), tile
-
-    def _size(self) -> tuple[int, int]:
-        with open(self.path, "rb") as f:
-            head = f.read(8)
-        return int.from_bytes(head[:4], "little"), int.from_bytes(head[4:], "little")
+        self.path, self.tile = path, tile
+        self.span = {"x": [0, _END], "y": [0, _END]}
+        self.only: dict[str, set] = {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Take what bounds slide, x or y; hand back the rest."""
+        for f in filters:
+            if not self._take(f):
+                yield f
+
+    def _take(self, f: Filter) -> bool:
+        name = ".".join(getattr(f, "attribute", ()))
+        if isinstance(f, IsNotNull) and name in ("x", "y", "slide"):
+            return True
+        if isinstance(f, (EqualTo, EqualNullSafe, In)) and name in ("x", "y", "slide"):
+            values = set(f.value) if isinstance(f, In) else {f.value}
+            self.only[name] = self.only.get(name, values) & values
+            return True
+        if name in self.span and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+            self.span[name][0] = max(self.span[name][0], f.value + isinstance(f, GreaterThan))
+            return True
+        if name in self.span and isinstance(f, (LessThan, LessThanOrEqual)):
+            self.span[name][1] = min(self.span[name][1], f.value + isinstance(f, LessThanOrEqual))
+            return True
+        return False
+
+    def _wanted(self, name: str, n: int) -> Sequence[int]:
+        low, high = max(self.span[name][0], 0), min(self.span[name][1], n)
+        return [v for v in sorted(self.only[name]) if v is not None and low <= v < high] if name in self.only else range(low, high)
+
+    def _files(self) -> list[str]:
+        at, root = opened(self.path)
+        if at.get_file_info(root).type == fs.FileType.File:
+            return [root]
+        return [i.path for i in at.get_file_info(fs.FileSelector(root)) if i.base_name.endswith(".raw")]
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [InputPartition(y) for y in range(-(-self._size()[1] // self.tile))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        width, height = self._size()
-        y = partition.value
-        rows = min(self.tile, height - y * self.tile)
-        with open(self.path, "rb") as f:
-            f.seek(8 + 4 * width * y * self.tile)
-            band = f.read(4 * width * rows)
-        for x in range(-(-width // self.tile)):
-            a, b = 4 * x * self.tile, 4 * min(width, (x + 1) * self.tile)
-            yield x, y, (b - a) // 4, rows, b"".join(band[r * 4 * width + a : r * 4 * width + b] for r in range(rows))
+        at, _ = opened(self.path)
+        out = []
+        for path in sorted(self._files()):
+            slide = path.rpartition("/")[2].removesuffix(".raw")
+            if slide not in self.only.get("slide", {slide}):
+                continue
+            with at.open_input_file(path) as f:
+                head = f.read_at(HEAD, 0)
+            width, height = int.from_bytes(head[:4], "little"), int.from_bytes(head[4:], "little")
+            xs, ys = self._wanted("x", -(-width // self.tile)), self._wanted("y", -(-height // self.tile))
+            out += [_Band(path, slide, width, height, y, min(xs), max(xs) + 1) for y in ys if len(xs)]
+        return out
+
+    def read(self, partition: _Band) -> Iterator[tuple]:
+        p = partition
+        rows = min(self.tile, p.height - p.y * self.tile)
+        a, b = p.x0 * self.tile, min(p.width, p.x1 * self.tile)
+        row = PIXEL * (b - a)
+        at = lambda r: HEAD + PIXEL * ((p.y * self.tile + r) * p.width + a)
+        store, _ = opened(self.path)
+        with store.open_input_file(p.path) as f:
+            if b - a == p.width:  # whole rows lie together
+                band = f.read_at(row * rows, at(0))
+            else:
+                band = b"".join(f.read_at(row, at(r)) for r in range(rows))
+        wanted = self.only.get("x")
+        for x in range(p.x0, p.x1):
+            if wanted is None or x in wanted:
+                c, d = PIXEL * (x * self.tile - a), PIXEL * (min(p.width, (x + 1) * self.tile) - a)
+                yield x, p.y, (d - c) // PIXEL, rows, b"".join(band[r * row + c : r * row + d] for r in range(rows)), p.slide
 
 
 def register(spark) -> None:
+    """Make the source known to the session, and let Python sources take filters over."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawSlide)
 
 
 def write_raw(path: str, width: int, height: int, pixels: bytes) -> None:
     """A raw slide from RGBA bytes."""
-    if len(pixels) != 4 * width * height:
+    if len(pixels) != PIXEL * width * height:
         raise ValueError("pixels do not fit the size")
-    with open(path, "wb") as f:
-        f.write(width.to_bytes(4, "little") + height.to_bytes(4, "little") + pixels)
+    at, where = opened(path)
+    put(at, where, width.to_bytes(4, "little") + height.to_bytes(4, "little") + pixels)
