@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.session import stage
+
 #: The largest page.
 MAX_LIMIT = 1000
 
@@ -159,6 +161,29 @@ def cascade(gone: DataFrame, key: str, children: Sequence[tuple[DataFrame, str,
     return out
 
 
+def without_descendants(df: DataFrame, gone: DataFrame, key: str, parent: str) -> DataFrame:
+    """Rows of a table that refers to itself, without those of ``gone`` (its keys) and all below them (M7 at any depth).
+
+    Every row looks at its ancestor one step up, then two, four and so on, and is lost if that or what that has seen is:
+    rounds are logarithmic in the depth, and end when nothing more is lost. Rows whose parent is null or not there stay
+    unless named; so do rows that only go round in a ring. A null key is no one's parent. ``key`` is unique.
+    """
+    named = gone.select(F.col(key).alias("_gone")).distinct()
+    steps = df.where(F.col(key).isNotNull()).select(F.col(key).alias("node"), F.col(parent).alias("up"))
+    state = stage(steps.join(named, steps["node"] == named["_gone"], "left").select("node", "up", F.col("_gone").isNotNull().alias("lost")), "tree")
+    before = state.where("lost").count()
+    while True:
+        above = state.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("lost").alias("_lost"))
+        # Those that are lost, or have no one above, look no further.
+        looking = state.where("not lost and up is not null").join(above, F.col("up") == F.col("_node"), "left").select("node", F.col("_up").alias("up"), F.coalesce("_lost", F.lit(False)).alias("lost"))
+        state = stage(state.where("lost or up is null").union(looking), "tree")
+        now = state.where("lost").count()
+        if now == before:
+            lost = state.where("lost").select("node")
+            return df.join(lost, df[key] == lost["node"], "left_anti")
+        before = now
+
+
 def latest(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The last row of each key in ``order`` (ST13, R7)."""
     row = F.struct(*[F.col(c) for c in df.columns])

@@ -104,6 +104,19 @@ def cascade_delete(spark, sf_dir):
     return catalog.cascade(gone, "c_custkey", [(orders, "o_custkey", "o_orderkey"), (lines, "l_orderkey", "l_orderkey")])[1]
 
 
+@query("""
+with recursive t as (select c_custkey as id, case when c_custkey <= 5 then null when c_custkey % 5 = 0 then c_custkey - 5 when c_custkey % 11 = 0 then -1 else c_custkey // 3 end as parent, c_nationkey from customer),
+g as (select id from t where (c_nationkey = 3 and id % 7 = 0) or id = 400 union select t.id from t join g on t.parent = g.id)
+select id, parent from t where id not in (select id from g)
+""")
+def cascade_any_depth(spark, sf_dir):
+    """A tree of customers, in part a long chain: some are deleted, and all below them go."""
+    k = F.col("c_custkey")
+    parent = F.when(k <= 5, None).when(k % 5 == 0, k - 5).when(k % 11 == 0, F.lit(-1)).otherwise(F.floor(k / 3))
+    tree = table(spark, sf_dir, "customer").select(k.alias("id"), parent.cast("long").alias("parent"), "c_nationkey")
+    return catalog.without_descendants(tree.drop("c_nationkey"), tree.where("(c_nationkey = 3 and id % 7 = 0) or id = 400"), "id", "parent")
+
+
 def _ledger(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, DAY).alias("dispatched_at"))
 
