@@ -156,6 +156,27 @@ def test_float32_of_a_packet(spark):
     assert tuple(got) == pytest.approx((1.5, -2.25, 800, 600, struct.unpack("<f", struct.pack("<f", 0.1))[0]))
 
 
+def test_variants_merge_like_plain_objects(spark):
+    import json
+    import random
+
+    rng = random.Random(2)
+
+    def thing(depth):
+        kind = rng.randrange(6 if depth else 4)
+        return rng.choice([1, "s", None, True, -5]) if kind < 3 else [rng.randrange(3)] if kind == 3 else {rng.choice("abcd"): thing(depth - 1) for _ in range(3)}
+
+    def deep(x, y):
+        return {**x, **{k: deep(x[k], v) if k in x else v for k, v in y.items()}} if isinstance(x, dict) and isinstance(y, dict) else y
+
+    pairs = [({k: thing(4) for k in "abc"}, {k: thing(4) for k in "bcd"}) for _ in range(60)] + [([1], {"a": 1}), ({"a": 1}, 3), (2, {"a": {}})]
+    df = spark.createDataFrame([(i, json.dumps(a), json.dumps(b)) for i, (a, b) in enumerate(pairs)] + [(100, None, "[1]"), (101, '{"a": 1}', None)], "i int, a string, b string")
+    out = df.select("i", F.to_json(text.deep_merged(F.parse_json("a"), F.parse_json("b"))).alias("m"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: json.loads(r.m) for r in out.collect()}
+    assert got == {i: deep(a, b) for i, (a, b) in enumerate(pairs)} | {100: [1], 101: {"a": 1}}
+
+
 # --- sources
 
 

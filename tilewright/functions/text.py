@@ -59,17 +59,24 @@ ALIASES = {"collectionName": ("collection", "Collection", "COLLECTION"), "subjec
 
 
 def picked(json: Column, preferred: Sequence[str] = PREFERRED, aliases: Mapping[str, Sequence[str]] = ALIASES) -> Column:
-    """The preferred keys of a JSON object that hold something, other names filling in, as a map of strings."""
-    at = lambda k: F.get_json_object(json, f"$['{k}']")
+    """The preferred keys of a JSON object that hold something, other names filling in, as a map of strings.
+
+    The text is parsed once, to a VARIANT; a text that is no JSON has none of them.
+    """
+    whole = F.try_parse_json(json)
+    at = lambda k: F.try_variant_get(whole, f"$['{k}']", "string")
     filled = lambda v: F.when(~v.isin("", "[]"), v)
     values = [F.coalesce(filled(at(k)), *[at(a) for a in aliases.get(k, ())]) for k in preferred]
     return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, preferred)), F.array(*values)), lambda _, v: v.isNotNull())
 
 
 def first_of(json: Column, *path: str) -> Column:
-    """A field under the first element of nested arrays: first_of(c, "cases", "samples", "type")."""
+    """A field under the first element of nested arrays: first_of(c, "cases", "samples", "type").
+
+    Fields of one text in one projection share its parse to a VARIANT; a text that is no JSON has none.
+    """
     inner = "".join(f".{p}[0]" for p in path[:-1])
-    return F.get_json_object(json, f"${inner}.{path[-1]}")
+    return F.try_variant_get(F.try_parse_json(json), f"${inner}.{path[-1]}", "string")
 
 
 def base64url_json(text: Column) -> Column:
@@ -215,3 +222,21 @@ def merged_json(target: Column, source: Column) -> Column:
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
     return merge(target, source)
+
+
+def deep_merged(target: Column, source: Column, depth: int = 16) -> Column:
+    """Two VARIANTs merged into each other; the source wins and arrays are replaced (F28). A VARIANT, keys in order.
+
+    Objects are merged down to ``depth``; below it the source's object takes the target's place. JSON's null is a value
+    that wins like others; a null column counts as not given.
+    """
+    def of(a: Column, b: Column, left: int) -> Column:
+        mine = F.coalesce(b, a)
+        if not left:
+            return mine
+        thing = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+        fields = lambda v: v.cast("map<string,variant>")
+        both = F.map_zip_with(fields(a), fields(b), lambda _, x, y: of(x, y, left - 1))
+        return F.when(thing(a) & thing(b), F.to_variant_object(both)).otherwise(mine)
+
+    return of(target, source, depth)

@@ -121,6 +121,18 @@ def json_merge(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.merged_json(mine, other).alias("merged"))
 
 
+@query("""
+select event_id, m->>'$.a' as a, m->>'$.k' as k, m->>'$.n' as n, m->>'$.z' as z from (select event_id, json_merge_patch('{"a": {"b": {"x": 1, "y": 0}, "c": [1, 2]}, "k": ' || (props->>'$.k') || ', "n": 5}',
+  case event_id % 4 when 0 then '{"a": {"b": {"y": ' || event_id || '}, "c": [3]}}' when 1 then '{"a": 7, "z": {"q": "é"}}' when 2 then '{"k": {"deep": true}}' else '{}' end) as m from events)
+""")
+def variant_merge(spark, sf_dir):
+    n = F.col("event_id")
+    mine = F.concat(F.lit('{"a": {"b": {"x": 1, "y": 0}, "c": [1, 2]}, "k": '), F.get_json_object("props", "$.k"), F.lit(', "n": 5}'))
+    other = F.when(n % 4 == 0, F.concat(F.lit('{"a": {"b": {"y": '), n.cast("string"), F.lit('}, "c": [3]}}'))).when(n % 4 == 1, '{"a": 7, "z": {"q": "é"}}').when(n % 4 == 2, '{"k": {"deep": true}}').otherwise("{}")
+    merged = table(spark, sf_dir, "events").select("event_id", text.deep_merged(F.parse_json(mine), F.parse_json(other)).alias("m"))
+    return merged.select("event_id", *[F.variant_get("m", f"$.{c}", "string").alias(c) for c in "aknz"])
+
+
 @query("""
 select event_id, case event_id % 3 when 0 then 'progress' when 1 then 'created' else 'error' end as kind, case when event_id % 3 = 0 then user_id end as steps,
        case when event_id % 3 = 0 then -event_id end as total, case when event_id % 3 = 1 then props end as json from events
