@@ -175,3 +175,18 @@ def test_the_state_store_setting_is_put_back(spark):
     with sessions.keyed_state(spark):
         assert "RocksDB" in spark.conf.get(name)
     assert spark.conf.get(name) == before
+
+
+def test_metrics_are_kept_once_for_each_batch(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from tilewright.streaming import metrics
+
+    counters = {"n": F.count("*")} | metrics.histogram("ms", F.col("ms"), (1, 10))
+    path = str(tmp_path / "m")
+    seen = Observation("batch")
+    metrics.observed(spark.createDataFrame([(1.0,), (5.0,), (None,), (50.0,)], "ms double"), seen, counters).write.format("noop").mode("overwrite").save()
+    for _ in range(2):
+        metrics.kept(path, "batch", "r", 0, seen.get)
+    metrics.kept(path, "batch", "r", 1, {"n": 2, "ms_le_1": None, "ms_le_10": 2, "ms_count": 2, "ms_sum": 4.5})
+    assert {r.metric: r.value for r in metrics.totals(spark, path).collect()} == {"n": 6.0, "ms_le_1": 1.0, "ms_le_10": 4.0, "ms_count": 5.0, "ms_sum": 60.5}

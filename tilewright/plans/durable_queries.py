@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import text
 from tilewright.plans.registry import query
-from tilewright.plans.session_queries import replayed
 from tilewright.session import shared_dir, stage, table
 from tilewright.sources import journal, ledger, objects, raw_slide
+from tilewright.streaming.replay import replayed
 
 
 @query("select user_id || ':' || event_type as message_id, 'user.' || user_id as subject, 1::bigint as seen from events where user_id % 2 = 0 group by all")
