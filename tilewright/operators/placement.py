@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.operators import ranks
 from tilewright.operators.catalog import latest
 
 SLOTS, BATCH, BACKLOG = 16_384, 128, 4096
@@ -54,8 +55,7 @@ def routed(tiles: DataFrame, table: Column, local: Column) -> DataFrame:
 
 def misplaced(tiles: DataFrame) -> DataFrame:
     """Tiles held by another shard than their slot's (R9), oldest first in ``turn`` for migration."""
-    w = Window.partitionBy("held_by").orderBy("stored_at", "slot", "level", "y", "x")
-    return tiles.where("held_by <> shard").withColumn("turn", F.row_number().over(w))
+    return ranks.numbered(tiles.where("held_by <> shard"), ["held_by"], ["stored_at", "slot", "level", "y", "x"], "turn")
 
 
 def migration_wait(failures: Column) -> Column:
@@ -88,7 +88,7 @@ def sync_plan(replicas: DataFrame) -> DataFrame:
 
 def log_batches(log: DataFrame, shard: str, offset: str) -> DataFrame:
     """Log entries with their batch of 128."""
-    return log.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(shard).orderBy(offset)) - 1) / F.lit(BATCH)))
+    return ranks.numbered(log, [shard], [offset], "_nth").withColumn("batch", F.floor((F.col("_nth") - 1) / F.lit(BATCH))).drop("_nth")
 
 
 def applied(log: DataFrame, key: str, offset: str) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tilewright.operators import ranks
+from tilewright.session import stage
+
 # The reference stains (rows: red, green, blue; columns: nuclear stain, counterstain) and their concentrations.
 REFERENCE = ((0.650, 0.072), (0.704, 0.990), (0.286, 0.105))
 REFERENCE_MOST = (1.9705, 1.0308)
@@ -40,11 +43,9 @@ def is_tissue(r: Column, g: Column, b: Column) -> Column:
 
 def tissue_samples(pixels: DataFrame, tile: str, place: str, fraction: float, most: int = MAX_SAMPLES) -> DataFrame:
     """Densities of a tile's tissue pixels: every 1/fraction-th pixel, then tissue alone, then the first ``most``."""
-    from pyspark.sql import Window
-
     step = max(1, int(1 / fraction))
     kept = pixels.where((F.col(place) % step == 0) & is_tissue(F.col("r"), F.col("g"), F.col("b")))
-    kept = kept.withColumn("_nth", F.row_number().over(Window.partitionBy(tile).orderBy(place))).where(F.col("_nth") <= most).drop("_nth")
+    kept = ranks.numbered(kept, [tile], [place], "_nth", upto=most).drop("_nth")
     return kept.withColumns({f"od_{c}": od(F.col(c)) for c in "rgb"})
 
 
@@ -61,7 +62,8 @@ def floor_percentile(df: DataFrame, key: str, value: str, share: float, name: st
     """Element floor(n * share) of each key's sorted values, the last one at most (A7). Nulls are left out.
 
     Exact, and no group is gathered: approximate percentiles a little below and above bound the element; values below
-    the band are counted, those in it are counted by value, and the element is found among these counts.
+    the band are counted, those in it are counted by value, and the element is found among these counts. Keys whose
+    counts say that it lies outside the band are looked through by ``ranks.numbered``.
     """
     from pyspark.sql import Window
 
@@ -69,11 +71,18 @@ def floor_percentile(df: DataFrame, key: str, value: str, share: float, name: st
     v = df.select(key, F.col(value).alias("_v")).where("_v is not null")
     ends = v.groupBy(key).agg(F.percentile_approx("_v", [at(-3), at(3)], ACCURACY).alias("_e"), F.count("*").alias("_n"))
     ends = ends.select(F.col(key).alias("_k"), F.col("_e")[0].alias("_low"), F.col("_e")[1].alias("_high"), F.least(F.floor(F.col("_n") * F.lit(share)), F.col("_n") - 1).alias("_at"))
+    ends = stage(ends, "percentile-ends")
     near = v.join(ends, v[key].eqNullSafe(ends["_k"])).where("_v <= _high or isnan(_v)")
     counts = near.groupBy(key, F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"), F.first("_at").alias("_at"))
     upto = F.sum("_c").over(Window.partitionBy(key).orderBy(F.col("_v").asc_nulls_first()))
-    found = counts.withColumn("_upto", upto).where("_v is not null and _upto > _at")
-    return found.groupBy(key).agg(F.min("_v").alias(name))
+    # Values below the band stand as one null; if they reach the place, the band is too high.
+    seen = counts.withColumn("_upto", upto).withColumn("_below", F.max(F.when(F.col("_v").isNull(), F.col("_upto"))).over(Window.partitionBy(key)))
+    found = stage(seen.where("_v is not null and _upto > _at and coalesce(_below, 0) <= _at").groupBy(key).agg(F.min("_v").alias(name)), "percentile-found")
+    missed = ends.join(found, ends["_k"].eqNullSafe(found[key]), "left_anti").select("_k", "_at")
+    if missed.isEmpty():
+        return found
+    rest = v.join(missed, v[key].eqNullSafe(missed["_k"])).select(key, "_v", "_at")
+    return found.union(ranks.numbered(rest, [key], ["_v"], "_nth").where("_nth = _at + 1").select(key, F.col("_v").alias(name)))
 
 
 def covariance(df: DataFrame, key: str, columns: Sequence[str] = ("od_r", "od_g", "od_b")) -> DataFrame:
@@ -220,9 +229,7 @@ def estimated(samples: DataFrame, key: str, mode: str = "macenko", least: int =
     ``samples``: key, od_r, od_g, od_b and an order column ``nth``. Each slide's samples are cut to ``most`` first,
     so a group is bounded.
     """
-    from pyspark.sql import Window
-
-    cut = samples.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy("nth"))).where(F.col("_nth") <= most)
+    cut = ranks.numbered(samples, [key], ["nth"], "_nth", upto=most)
     kind = dict(samples.dtypes)[key]
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:

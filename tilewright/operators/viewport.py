@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.operators import pyramid
+from tilewright.operators import pyramid, ranks
 
 #: Tiles of one update; soft and hard limit of what a view remembers; entries dropped softly; zoom limits.
 MOST_TILES, SOFT, HARD, BATCH = 64, 500, 1000, 256
@@ -178,29 +178,30 @@ def source_part(level: Column, x: Column, y: Column, up: Column, width: Column,
 def prune(entries: DataFrame, view: str, at: str, hard: bool) -> DataFrame:
     """Entries that stay when a view holds too many (O8): those from the k-th smallest time on, ties too.
 
-    Soft: over SOFT, k = BATCH; hard: over HARD, k = entries - SOFT.
+    Soft: over SOFT, k = BATCH; hard: over HARD, k = entries - SOFT. Views that hold few are left alone; the others' cut is
+    found by ``ranks.numbered``, so a view of any size is spread.
     """
     limit = HARD if hard else SOFT
+    sizes = entries.groupBy(view).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
     k = F.least(F.col("_n") - SOFT if hard else F.lit(BATCH), F.col("_n") - 1)
-    w = Window.partitionBy(view)
-    counted = entries.withColumn("_n", F.count("*").over(w)).withColumn("_nth", F.row_number().over(w.orderBy(at)))
-    cut = counted.withColumn("_cut", F.max(F.when(F.col("_nth") == k + 1, F.col(at))).over(w))
-    return cut.where((F.col("_n") <= limit) | (F.col(at) >= F.col("_cut"))).drop("_n", "_nth", "_cut")
+    cuts = sizes.select(F.col(view).alias("_view"), (k + 1).alias("_k"))
+    times = entries.join(cuts, entries[view].eqNullSafe(cuts["_view"])).select("_view", "_k", F.col(at).alias("_at"))
+    cut = ranks.numbered(times, ["_view"], ["_at"], "_nth").where("_nth = _k").select("_view", F.col("_at").alias("_cut"))
+    both = entries.join(cut, entries[view].eqNullSafe(cut["_view"]), "left")
+    return both.where(F.col("_cut").isNull() | (F.col(at) >= F.col("_cut"))).select(*[entries[c] for c in entries.columns])
 
 
 def evict_least_recent(entries: DataFrame, cache: str, at: str, size: str, id_column: str, most_tiles: int, most_bytes: int, protected: DataFrame | None = None) -> DataFrame:
     """Entries to evict from each cache (O9, J6): if tiles or bytes are over their limit, the least recently used that
-    are not protected, until both are at 80 %. ``protected``: (cache, id) of tiles in view.
+    are not protected, until both are at 80 %. ``protected``: (cache, id) of tiles in view. Times and ids are numbers.
     """
-    w = Window.partitionBy(cache)
-    e = entries.withColumns({"_tiles": F.count("*").over(w), "_bytes": F.sum(size).over(w)})
+    held = entries.groupBy(cache).agg(F.count("*").alias("_tiles"), F.sum(size).alias("_bytes")).where((F.col("_tiles") > most_tiles) | (F.col("_bytes") > most_bytes)).withColumnRenamed(cache, "_cache")
+    e = entries.join(held, entries[cache].eqNullSafe(held["_cache"])).drop("_cache")
     if protected is not None:
         e = e.join(protected.select(cache, id_column), [cache, id_column], "left_anti")
-    before = w.orderBy(at, id_column).rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumns({"_gone": F.coalesce(F.count("*").over(before), F.lit(0)), "_freed": F.coalesce(F.sum(size).over(before), F.lit(0))})
-    over = (F.col("_tiles") > most_tiles) | (F.col("_bytes") > most_bytes)
-    still = (F.col("_tiles") - F.col("_gone") > int(most_tiles * 0.8)) | (F.col("_bytes") - F.col("_freed") > int(most_bytes * 0.8))
-    return e.where(over & still).drop("_tiles", "_bytes", "_gone", "_freed")
+    e = ranks.numbered(e, [cache], [at, id_column], "_nth", running=(size, "_freed"))
+    still = (F.col("_tiles") - F.col("_nth") + 1 > int(most_tiles * 0.8)) | (F.col("_bytes") - F.col("_freed") > int(most_bytes * 0.8))
+    return e.where(still).select(*entries.columns)
 
 
 def cache_use(entries: DataFrame, cache: str, size: str, decoded: str) -> DataFrame:
