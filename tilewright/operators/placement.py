@@ -33,9 +33,38 @@ def little_endian(value: Column) -> Column:
     return F.unhex(F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2)))
 
 
+def _crc_at(after: int) -> Column:
+    """What each value of a byte adds to a CRC-16 from 0, with ``after`` bytes behind it."""
+    out = []
+    for byte in range(256):
+        crc = 0
+        for digit in (byte >> 4, byte & 15, *[0] * (2 * after)):
+            crc = _crc_step(crc >> 12 ^ digit) ^ (crc << 4 & 0xFFFF)
+        out.append(crc)
+    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<int>")  # one constant, not 256
+
+
 def slot(image_id: Column, x: Column, y: Column, level: Column) -> Column:
-    """Slot of a tile: CRC-16 of its id and place."""
-    return F.pmod(crc16(F.concat(image_id, little_endian(x), little_endian(y), little_endian(level))), F.lit(SLOTS))
+    """Slot of a tile: CRC-16 of its id (16 bytes) and its place, 4 bytes each, lowest first.
+
+    From 0 a CRC is the exclusive or of what each byte adds at its place, so 28 lookups stand side by side, and all of it
+    is compiled; see ``crc16`` for bytes of any number.
+    """
+    h = F.hex(image_id)
+    size = 28
+    found, place = [], 0
+    for start, n in ((0, 7), (7, 7), (14, 2)):  # as many bytes as a long holds, highest first
+        part = F.conv(F.substring(h, 2 * start + 1, 2 * n), 16, 10).cast("long")
+        found += [(F.shiftrightunsigned(part, 8 * (n - 1 - k)), place + k) for k in range(n)]
+        place += n
+    for value in (x, y, level):
+        found += [(F.shiftrightunsigned(value.cast("long"), 8 * k), place + k) for k in range(4)]
+        place += 4
+    adds = [F.get(_crc_at(size - 1 - at), v.bitwiseAND(F.lit(255)).cast("int")) for v, at in found]
+    crc = adds[0]
+    for a in adds[1:]:
+        crc = crc.bitwiseXOR(a)
+    return F.pmod(crc, F.lit(SLOTS))
 
 
 def slot_owner(slot_: Column, shards: int | Column, slots: int = SLOTS) -> Column:

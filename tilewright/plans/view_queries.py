@@ -208,6 +208,31 @@ def swapped_tiles(spark, sf_dir):
     return whole.join(s, "p_partkey").where(F.hex(F.substring("pixels", 1, 4)) == F.col("kept")).select("p_partkey", F.hex(F.substring("pixels", 1, 4)).alias("pixel"), F.octet_length("pixels").alias("bytes"), "small")
 
 
+def _lobes(n: int, m: int) -> str:
+    """Weights (to, "from", w) of a Lanczos window of three lobes that takes n values to m."""
+    x = f"(i - ((k + 0.5::double) * {n} / {m} - 0.5::double)) / greatest(1.0::double, {n}::double / {m})"
+    sinc = lambda v: f"(case when {v} = 0 then 1 else sin(pi() * {v}) / (pi() * {v}) end)"
+    return f"select k as \"to\", i as \"from\", w / sum(w) over (partition by k) as w from (select k, i, case when abs(x) < 3 then {sinc('x')} * {sinc('x / 3')} else 0 end as w from (select k, i, {x} as x from (select unnest(range({m})) as k), (select unnest(range({n})) as i)))"
+
+
+@query(f"""
+with r as ({_lobes(6, 4)}), c as ({_lobes(8, 11)}), p as (
+  select p_partkey, y, x, ((x * 29 + y * 53 + p_partkey * 7) % 256)::double as v from part, (select unnest(range(6)) as y), (select unnest(range(8)) as x)
+), d as (
+  select p_partkey, r."to" as y, x, sum(r.w * v) as v from p join r on r."from" = y group by all
+), o as (
+  select p_partkey, y, c."to" as x, sum(c.w * v) as v from d join c on c."from" = x group by all
+)
+select p_partkey, string_agg(greatest(0, least(255, round_even(v, 0)))::int::varchar, ',' order by y, x) as red from o group by p_partkey
+""")
+def resized_tiles(spark, sf_dir):
+    """Slopes of 8 by 6 pixels, made wider and lower."""
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: F.concat(F.lpad(F.hex((i % 8 * 29 + F.floor(i / 8) * 53 + F.col("p_partkey") * 7) % 256), 2, "0"), F.lit("0000FF")))
+    t = table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.array_join(pixel, "")).alias("pixels"))
+    red = F.transform(F.sequence(F.lit(0), F.lit(43)), lambda i: F.conv(F.hex(F.substring("pixels", i * 4 + 1, F.lit(1))), 16, 10))
+    return stain.processed(t, 8, 6, to=(11, 4)).select("p_partkey", F.array_join(red, ",").alias("red"))
+
+
 @query(f"""
 with {OD}, t as (select *, l_orderkey * 10 + l_linenumber as place from o), k as (
   select *, row_number() over (partition by l_suppkey % 7 order by place) as n from t where place % 4 = 0 and not (r > 240 and g > 240 and b > 240) and sqrt(od_r ** 2 + od_g ** 2 + od_b ** 2) >= 0.15)
