@@ -12,8 +12,8 @@ A document's set holds 64-bit hashes of its distinct word shingles. Steps, each
 4. Token-group matrix: for each shingle, group and size step, the union of its members' postings with the range of
    sizes and the most that remains. What remains of a query set from a shingle on also limits how large a partner can
    be, so a set meets only groups of the size steps that it can reach: of thousands of unlike documents on one shingle
-   few meet. What remains bounds their overlap. Only groups whose bound reaches the need are opened, and their members
-   compared.
+   few meet. For groups that this leaves, the query's shingles found in the union of all shingles of the group are
+   summed: no member can share more. Only groups whose sum reaches the need are opened, and their members compared.
 
 Hash ranges count the 32 bits after the range's own, within the upper 48 bits of a shingle's hash: a clash makes a
 shingle look shared, which costs work, not links. Shingles are compared by 64-bit hashes, sets named by 63-bit ones and
@@ -264,6 +264,15 @@ def _postings(percent: int):
     return make
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, n, other, shingles) to a row for each shingle."""
+    for batch in batches:
+        blobs = batch.column(3).to_pylist()
+        at = pa.array(np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs]))
+        token = pa.array(np.frombuffer(b"".join(blobs), np.int64))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in range(3)], token], ["sig", "n", "other", "token"])
+
+
 def _verify(percent: int):
     """Pairs (a, b, their shingles) to the links among them."""
 
@@ -348,6 +357,16 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     reach = (100 * F.col("n") >= percent * F.col("least_n")) & (100 * F.col("most_n") >= percent * F.col("n")) & (F.least("remains", "most_remains") >= need(F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / F.lit(100)))))
     asks = shared.where(high >= low).drop("step").withColumn("step", F.explode(F.sequence(step(low), step(high))))
     opened = asks.join(matrix, ["token", "step"]).where((F.col("group") != F.col("other")) & reach).select("token", "step", "sig", "n", "remains", "other")
+    opened = stage(opened, "jaccard-opened")
+    # Overlap of a query with a group: its shingles in the union of the group's, one row for each.
+    asking = stage(opened.select("sig", "n", "other").distinct(), "jaccard-asking")
+    of_query = asking.join(sets.select("sig", "shingles"), "sig").select("sig", "n", "other", "shingles").mapInArrow(_tokens, "sig long, n long, other long, token long")
+    grouped = sets.join(group, sets["sig"] == group["node"], "left").select(F.coalesce("label", "sig").alias("other"), "shingles")
+    asked = grouped.join(asking.select("other").distinct(), "other", "left_semi")
+    of_group = asked.select("other", "other", "other", "shingles").toDF("sig", "n", "other", "shingles").mapInArrow(_tokens, "sig long, n long, other long, token long").select("other", "token").distinct()
+    overlap = of_query.join(of_group, ["other", "token"]).groupBy("sig", "n", "other").count()
+    reached = stage(overlap.where(100 * F.col("count") >= percent * F.col("n")).select("sig", "other"), "jaccard-reached")
+    opened = opened.join(reached, ["sig", "other"], "left_semi")
     inside = shared.select("token", "step", F.col("sig").alias("m"), F.col("n").alias("m_n"), F.col("remains").alias("m_remains"), F.col("group").alias("other"))
     pairs = opened.join(inside, ["token", "step", "other"]).where((F.col("sig") < F.col("m")) & fits(F.col("n"), F.col("m_n")) & (F.least("remains", "m_remains") >= need(F.col("n"), F.col("m_n"))))
     second = links(pairs.select(F.col("sig").alias("a"), F.col("m").alias("b")))
