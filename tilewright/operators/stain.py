@@ -223,23 +223,36 @@ def parameters(x, mode: str):
 PARAMETERS = "stain array<array<double>>, most array<double>, samples long"
 
 
+def _per_slide(samples: DataFrame, key: str, least: int, most: int, columns: str, fit) -> DataFrame:
+    """``fit`` of each slide's first ``most`` densities (n by 3) as one row; none under ``least``. So a group is bounded."""
+    cut = ranks.numbered(samples, [key], ["nth"], "_nth", upto=most)
+    kind = dict(samples.dtypes)[key]
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values("_nth")[["od_r", "od_g", "od_b"]].to_numpy(float)
+        found = [[v] for v in fit(x)] if len(x) >= least else [[]] * len(names)
+        return pd.DataFrame({key: [rows[key].iloc[0]] * len(found[0])} | dict(zip(names, found, strict=True)))
+
+    return cut.select(key, "_nth", "od_r", "od_g", "od_b").groupBy(key).applyInPandas(one, f"{key} {kind}, {columns}")
+
+
 def estimated(samples: DataFrame, key: str, mode: str = "macenko", least: int = MIN_SAMPLES, most: int = MAX_SAMPLES) -> DataFrame:
     """Stain parameters of each slide (X5, X7, X9): none under ``least`` samples.
 
-    ``samples``: key, od_r, od_g, od_b and an order column ``nth``. Each slide's samples are cut to ``most`` first,
-    so a group is bounded.
+    ``samples``: key, od_r, od_g, od_b and an order column ``nth``, a number. Each slide's samples are cut to ``most`` first.
     """
-    cut = ranks.numbered(samples, [key], ["nth"], "_nth", upto=most)
-    kind = dict(samples.dtypes)[key]
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("_nth")[["od_r", "od_g", "od_b"]].to_numpy(float)
-        if len(x) < least:
-            return pd.DataFrame({key: [], "stain": [], "most": [], "samples": []})
+    def fit(x):
         m, c = parameters(x, mode)
-        return pd.DataFrame({key: [rows[key].iloc[0]], "stain": [m.tolist()], "most": [c.tolist()], "samples": [len(x)]})
+        return m.tolist(), c.tolist(), len(x)
+
+    return _per_slide(samples, key, least, most, PARAMETERS, fit)
+
 
-    return cut.select(key, "_nth", "od_r", "od_g", "od_b").groupBy(key).applyInPandas(fit, f"{key} {kind}, {PARAMETERS}")
+def extreme_stains(samples: DataFrame, key: str, least: int = MIN_SAMPLES, most: int = MAX_SAMPLES) -> DataFrame:
+    """The two stains at the extreme angles of each slide's densities, before they are checked (X3, X5): stain, samples."""
+    return _per_slide(samples, key, least, most, "stain array<array<double>>, samples long", lambda x: (macenko(x).tolist(), len(x)))
 
 
 def is_stable(a: str, b: str) -> Column:

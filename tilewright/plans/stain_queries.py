@@ -10,14 +10,14 @@ RGB = "p as (select l_orderkey, l_linenumber, l_suppkey, (l_partkey * 7 + l_line
 OD = f"{RGB}, o as (select *, least(2.5, -log10(greatest(1e-6, r / 255.0::double))) as od_r, least(2.5, -log10(greatest(1e-6, g / 255.0::double))) as od_g, least(2.5, -log10(greatest(1e-6, b / 255.0::double))) as od_b from p)"
 
 
-def pixels(spark, sf_dir):
+def pixels(spark, sf_dir, *more):
     c = F.col
     rgb = {"r": (c("l_partkey") * 7 + c("l_linenumber") * 31) % 256, "g": (c("l_suppkey") * 11 + c("l_linenumber") * 17) % 256, "b": (c("l_orderkey") * 13) % 256}
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", *[v.alias(k) for k, v in rgb.items()])
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", *more, *[v.alias(k) for k, v in rgb.items()])
 
 
-def densities(spark, sf_dir):
-    return pixels(spark, sf_dir).withColumns({f"od_{c}": stain.od(F.col(c)) for c in "rgb"})
+def densities(spark, sf_dir, *more):
+    return pixels(spark, sf_dir, *more).withColumns({f"od_{c}": stain.od(F.col(c)) for c in "rgb"})
 
 
 @query(f"with {OD} select l_suppkey, round(avg(od_r), 6) as mean_r, round(greatest(1e-6, stddev_pop(od_r)), 6) as std_r, round(avg(od_g), 6) as mean_g, round(greatest(1e-6, stddev_pop(od_g)), 6) as std_g from o group by 1")
@@ -128,6 +128,50 @@ def _samples(spark, sf_dir):
     return densities(spark, sf_dir).withColumns({"slide": slide, "nth": F.col("l_orderkey") * 10 + F.col("l_linenumber")})
 
 
+def _iterated(name: str, cov: str) -> str:
+    """Fifty steps of power iteration over a table of covariances: (slide, x, y, z)."""
+    w = "xx * x + xy * y + xz * z as wx, xy * x + yy * y + yz * z as wy, xz * x + yz * y + zz * z as wz"
+    return f"""{name}_steps as (
+  select slide, 0 as k, 0.577::double as x, 0.577::double as y, 0.577::double as z from {cov}
+  union all
+  select slide, k + 1, wx / n, wy / n, wz / n from (select *, sqrt(wx * wx + wy * wy + wz * wz) as n from (select slide, k, {w} from {name}_steps join {cov} using (slide) where k < 50))
+), {name} as (select slide, x, y, z from {name}_steps where k = 50)"""
+
+
+def _stain_sql() -> str:
+    h, e = zip(*stain.REFERENCE, strict=True)
+    like = lambda v, r: f"abs({v}x * {r[0]}::double + {v}y * {r[1]}::double + {v}z * {r[2]}::double)"
+    unit = lambda t, v: ", ".join(f"(cos({t}) * p.{c} + sin({t}) * q.{c}) / sqrt((cos({t}) * p.x + sin({t}) * q.x) ** 2 + (cos({t}) * p.y + sin({t}) * q.y) ** 2 + (cos({t}) * p.z + sin({t}) * q.z) ** 2) as {v}{c}" for c in "xyz")
+    pick = lambda c: f"round(abs(case when straight then pa{c} else pb{c} end), 5) as hue_{c}, round(abs(case when straight then pb{c} else pa{c} end), 5) as other_{c}"
+    return f"""
+with recursive {OD.replace("l_suppkey, (l_partkey", "l_suppkey, l_partkey, (l_partkey", 1)}, s as (
+  select * from (select l_suppkey % 3 as slide, od_r as x, od_g as y, od_b as z, row_number() over (partition by l_suppkey % 3 order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as n from o) where n <= 15000
+), c as (
+  select slide, count(*) as n, covar_pop(x, x) as xx, covar_pop(x, y) as xy, covar_pop(x, z) as xz, covar_pop(y, y) as yy, covar_pop(y, z) as yz, covar_pop(z, z) as zz from s group by slide having count(*) >= 1000
+), {_iterated("first", "c")}, d as (
+  select slide, xx - l * x * x as xx, xy - l * x * y as xy, xz - l * x * z as xz, yy - l * y * y as yy, yz - l * y * z as yz, zz - l * z * z as zz
+  from (select *, x * (xx * x + xy * y + xz * z) + y * (xy * x + yy * y + yz * z) + z * (xz * x + yz * y + zz * z) as l from c join first using (slide))
+), {_iterated("second", "d")}, g as (
+  select slide, list_sort(list(atan2(s.x * q.x + s.y * q.y + s.z * q.z, s.x * p.x + s.y * p.y + s.z * p.z))) as t from s join first p using (slide) join second q using (slide) group by slide
+), v as (
+  select slide, {unit("t[floor(len(t) * 0.01::double)::int + 1]", "pa")}, {unit("t[floor(len(t) * 0.99::double)::int + 1]", "pb")} from g join first p using (slide) join second q using (slide)
+), k as (
+  select *, {like("pa", h)} + {like("pb", e)} > {like("pa", e)} + {like("pb", h)} as straight from v
+)
+select slide, n as samples, {", ".join(pick(c) for c in "xyz")} from k join c using (slide)
+"""
+
+
+@query(_stain_sql())
+def extreme_stains(spark, sf_dir):
+    """Both stains of each slide, by channel: power iteration, the plane of most variance, extreme angles."""
+    c = F.col
+    # A line item's two keys repeat; with those of its part and supplier they do not.
+    nth = ((c("l_orderkey") * 10 + c("l_linenumber")) * 1_000_000 + c("l_partkey")) * 100_000 + c("l_suppkey")
+    s = stain.extreme_stains(densities(spark, sf_dir, "l_partkey").select((c("l_suppkey") % 3).alias("slide"), nth.alias("nth"), "od_r", "od_g", "od_b"), "slide", least=1000)
+    return s.select("slide", "samples", *[F.round(F.col("stain")[i][k], 5).alias(f"{n}_{c}") for i, c in enumerate("xyz") for k, n in enumerate(("hue", "other"))])
+
+
 @query()
 def macenko_params(spark, sf_dir):
     return stain.estimated(_samples(spark, sf_dir), "slide", "macenko", least=1000)
