@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tilewright.session import stage
 
 #: Rows of a cell at most. Cells to deal out again up to this many are broadcast, more are joined by a shuffle.
-CELL_ROWS, BROADCAST_CELLS = 10_000, 200_000
+CELL_ROWS, BROADCAST_CELLS = 1_000, 200_000
 
 
 def n_words(text: Column) -> Column:
