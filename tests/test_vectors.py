@@ -364,6 +364,20 @@ def test_settled_parameters_stay(spark, tmp_path):
     assert len({str(r.stain) for r in rows}) == 1 and len({str(r.most) for r in rows}) == 1
 
 
+def test_tiles_of_a_trigger_are_taken_in_order(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [("a", n, (rng.random((700, 2)) @ np.array(stain.REFERENCE).T + 0.02 * n).tolist()) for n in range(14)]
+    got = []
+    for name, given in (("in", rows), ("back", rows[::-1])):
+        df = spark.createDataFrame(given, "slide string, nth long, samples array<array<double>>").coalesce(1)
+        (tmp_path / name).mkdir()
+        out = streamed(spark, df, tmp_path / name, lambda t: views.settling_parameters(t, order="nth"))
+        got.append([(r.tiles, str(r.stain), str(r.most), r.stable) for r in out.collect()])
+    assert got[0] == got[1] and len(got[0]) > 1
+
+
 def test_percentile_of_one_large_group(spark):
     df = spark.range(50_001).select(F.lit(1).alias("k"), F.when(F.col("id") % 7 == 0, None).otherwise(F.pmod(F.hash("id"), F.lit(5000))).cast("double").alias("v"))
     values = sorted(r.v for r in df.collect() if r.v is not None)

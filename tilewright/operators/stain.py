@@ -441,6 +441,20 @@ def processed(tiles: DataFrame, width: int, height: int, sharpening: float = 0.0
     return tiles.withColumn("pixels", one_pass("pixels"))
 
 
+def finished_tiles(pixels: DataFrame, tile: str, place: str, matrix: Sequence[Sequence[Column]], most: Sequence[Column], kind: str, width: int, height: int, sharpening: float) -> DataFrame:
+    """Tiles as they are shown: normalised, then a special stain brought out, then sharpened, in this order.
+
+    ``pixels``: tile, place (row by row from 0), r, g, b. Returns tile and pixels, RGBA bytes. A tile's pixels are put
+    together in one group; there are width times height of them.
+    """
+    like = normalised([F.col(c) for c in "rgb"], matrix, most)
+    shown = enhanced(pixels.select(tile, place, *[v.alias(c) for c, v in zip("rgb", like, strict=True)]), "rgb", kind, ("_r", "_g", "_b"))
+    rgba = F.concat(*[F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in ("_r", "_g", "_b")], F.lit("FF"))
+    whole = shown.groupBy(tile).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("at"), rgba.alias("rgba")))).alias("_p"))
+    bytes_ = whole.select(tile, F.unhex(F.array_join(F.transform("_p", lambda p: p["rgba"]), "")).alias("pixels"))
+    return processed(bytes_, width, height, sharpening=sharpening)
+
+
 def normalised_tiles(tiles: DataFrame, parameters_: DataFrame, key: str) -> DataFrame:
     """Tiles of RGBA bytes normalised with their slide's parameters (X12, X18); without parameters they stay."""
     kind = tiles.schema

@@ -123,6 +123,35 @@ def enhance_special_stains(spark, sf_dir):
     return branches[0].union(branches[1]).union(branches[2])
 
 
+@query(f"""
+with p as (select o_orderkey, o_orderkey * 7 % 256 as r, o_custkey * 11 % 256 as g, (o_orderkey * 13 + o_custkey) % 256 as b from orders),
+t as (select o_orderkey as l_orderkey, 0 as l_linenumber, r, g, b from p union all select o_orderkey, 1, g, b, r from p),
+o as (select *, least(2.5, -log10(greatest(1e-6, r / 255.0::double))) as od_r, least(2.5, -log10(greatest(1e-6, g / 255.0::double))) as od_g, least(2.5, -log10(greatest(1e-6, b / 255.0::double))) as od_b from t),
+k as (select 0.65 as a, 0.072 as d, 0.704 as b, 0.99 as e, 0.286 as c, 0.105 as f),
+i as (select *, (a * a + b * b + c * c)::double as p, (a * d + b * e + c * f)::double as q, (d * d + e * e + f * f)::double as s from k),
+n as (
+  select l_orderkey, l_linenumber, r, g, o.b as bl, greatest(0, ((s * a - q * d) * od_r + (s * i.b - q * e) * od_g + (s * c - q * f) * od_b) / (p * s - q * q)) * 1.9705 / 1.5 as c0,
+         greatest(0, ((p * d - q * a) * od_r + (p * e - q * i.b) * od_g + (p * f - q * c) * od_b) / (p * s - q * q)) * 1.0308 / 0.9 as c1, a, i.b, c, d, e, f from o, i),
+x as (
+  select l_orderkey, l_linenumber, case when r > 240 and g > 240 and bl > 240 then r else floor(10 ** (-(a * c0 + d * c1)) * 255 + 0.5) end::int as r,
+         case when r > 240 and g > 240 and bl > 240 then g else floor(10 ** (-(b * c0 + e * c1)) * 255 + 0.5) end::int as g,
+         case when r > 240 and g > 240 and bl > 240 then bl else floor(10 ** (-(c * c0 + f * c1)) * 255 + 0.5) end::int as b from n),
+u as (select l_orderkey, l_linenumber, r / 255.0::double as r, g / 255.0::double as g, b / 255.0::double as b from x), m as (select *, greatest(r, g, b) as hi, least(r, g, b) as lo from u),
+hsl as (select l_orderkey, l_linenumber, (hi + lo) / 2 as l, case when hi = lo then 0 when (hi + lo) / 2 > 0.5 then (hi - lo) / (2 - hi - lo) else (hi - lo) / (hi + lo) end as s,
+  case when hi = lo then 0 when hi = r then (g - b) / (hi - lo) + case when g < b then 6 else 0 end when hi = g then (b - r) / (hi - lo) + 2 else (r - g) / (hi - lo) + 4 end * 60 as h from m),
+e as (select *, r * 0.299::double + g * 0.587::double + b * 0.114::double as y from ({_hsl_sql("afb")})),
+z as (select a.*, least(255, greatest(0, a.y + 0.4::double * (a.y - (4 * a.y + 2 * b.y) / 6))) / greatest(a.y, 0.001) as f from e a join e b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 - b.l_linenumber)
+select l_orderkey as o_orderkey, string_agg(printf('%02X%02X%02XFF', {", ".join(f"round_even(least(255, greatest(0, {c} * f)), 0)::int" for c in "rgb")}), '' order by l_linenumber) as pixels from z group by l_orderkey
+""")
+def tile_steps(spark, sf_dir):
+    """Tiles of two pixels, normalised, enhanced and sharpened."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    p = table(spark, sf_dir, "orders").select("o_orderkey", (k * 7 % 256).alias("r"), (c * 11 % 256).alias("g"), ((k * 13 + c) % 256).alias("b"))
+    two = p.select("o_orderkey", F.lit(0).alias("place"), "r", "g", "b").union(p.select("o_orderkey", F.lit(1), "g", "b", "r"))
+    t = stain.finished_tiles(two, "o_orderkey", "place", stain._lit(stain.REFERENCE), [F.lit(1.5), F.lit(0.9)], "afb", 2, 1, 50.0)
+    return t.select("o_orderkey", F.hex("pixels").alias("pixels"))
+
+
 def _samples(spark, sf_dir):
     slide = F.col("l_suppkey") % 3
     return densities(spark, sf_dir).withColumns({"slide": slide, "nth": F.col("l_orderkey") * 10 + F.col("l_linenumber")})
