@@ -35,10 +35,10 @@ def kept(path: str, name: str, run: str, batch: int, row: Row | Mapping) -> None
 
 
 class MetricsTable(StreamingQueryListener):
-    """A listener that keeps the observed metrics of every batch of every query; ``ended`` is set once one has ended."""
+    """A listener that keeps the observed metrics of every batch of every query."""
 
     def __init__(self, path: str):
-        self.path, self.ended = path, threading.Event()
+        self.path, self.ended, self.news = path, set(), threading.Condition()
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -52,7 +52,15 @@ class MetricsTable(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        self.ended.set()
+        with self.news:
+            self.ended.add(str(event.runId))
+            self.news.notify_all()
+
+    def wait_for(self, run: str, seconds: float = 60) -> None:
+        """Wait until all that a run has reported is kept: its end is heard of last."""
+        with self.news:
+            if not self.news.wait_for(lambda: run in self.ended, seconds):
+                raise TimeoutError(f"nothing was heard of the end of {run}")
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
