@@ -54,7 +54,10 @@ def credit_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.credit_links(t).alias("links"))
 
 
-@query()
+@query("""
+with l as (select page_id, url || '),' as whole, regexp_replace(url || '),', '[\\].,;:!?)+]+$', '') as link from pages)
+select page_id, to_json([{'kind': 'text', 'value': 'see '}, {'kind': 'url', 'value': link}, {'kind': 'text', 'value': whole[len(link) + 1:] || ' and '}, {'kind': 'doi', 'value': 'doi: 10.1234/ab' || page_id}, {'kind': 'text', 'value': '.'}])::varchar as parts from l
+""")
 def credit_parts(spark, sf_dir):
     t = F.concat(F.lit("see "), "url", F.lit("), and doi: 10.1234/ab"), F.col("page_id").cast("string"), F.lit("."))
     return table(spark, sf_dir, "pages").select("page_id", F.to_json(text.credit_parts(t)).alias("parts"))
