@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import text
 from tilewright.plans.registry import query
-from tilewright.session import shared_dir, stage, table
+from tilewright.session import shared_dir, spread, stage, table
 from tilewright.sources import journal, ledger, objects, raw_slide
 from tilewright.streaming.replay import replayed
 
@@ -57,7 +57,7 @@ def slide_regions(spark, sf_dir):
                 raw_slide.write_raw(f"{root}/s{k}.raw", 60, 32, ((x * 7 + y * 13 + c * 29 + k) % 256).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["id"])
 
-    stage(table(spark, sf_dir, "supplier").select("s_suppkey").mapInArrow(write, "id long"), "slides-written")
+    stage(spread(table(spark, sf_dir, "supplier").select("s_suppkey"), 2_000).mapInArrow(write, "id long"), "slides-written")
     raw_slide.register(spark)
     tiles = spark.read.format("raw_slide").option("path", root).option("tile", "20").load().where("x >= 2 and int(substring(slide, 2)) % 3 = 0")
     return tiles.select("slide", "x", "y", "width", "height", F.md5("pixels").alias("md5"))
