@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tilewright.sources import raw_slide
+from tilewright.streaming import limits
 
 
 def test_many_slides_share_partitions(spark, tmp_path, monkeypatch):
@@ -22,3 +23,9 @@ def test_many_slides_share_partitions(spark, tmp_path, monkeypatch):
     reader = raw_slide._Reader(str(tmp_path), 20)
     reader.span["y"][0] = 1
     assert sorted((r[5], r[0], r[1]) for p in reader.partitions() for r in reader.read(p)) == [e for e in expected if e[2] == 1]
+
+
+def test_frames_that_took_no_time(spark):
+    df = spark.createDataFrame([(1, 1, 0.0), (1, 2, 0.0), (1, 3, 3.0), (2, 1, None)], "k int, t int, ms double")
+    got = {(r.k, r.t): r.fps for r in limits.rolling_rate(df, "k", "t", "ms").collect()}
+    assert got == {(1, 1): float("inf"), (1, 2): float("inf"), (1, 3): 1000.0, (2, 1): None}

@@ -133,9 +133,9 @@ def full_jitter(attempt: Column, base: int, cap: int, uniform: Column) -> Column
 
 
 def rolling_rate(frames: DataFrame, key: str, order: str, took: str, last: int = 30) -> DataFrame:
-    """Mean of the last 30 frame times, and frames a second."""
+    """Mean of the last 30 frame times, and frames a second (A14): infinite where these frames took no time."""
     mean = F.avg(took).over(Window.partitionBy(key).orderBy(order).rowsBetween(-(last - 1), 0))
-    return frames.withColumn("mean_ms", mean).withColumn("fps", F.lit(1000.0) / F.col("mean_ms"))
+    return frames.withColumn("mean_ms", mean).withColumn("fps", F.when(F.col("mean_ms") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1000.0), F.col("mean_ms"))))
 
 
 def latency_histogram(df: DataFrame, key: str, value: str, limits: list[float]) -> DataFrame:
