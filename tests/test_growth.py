@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tilewright.operators import masks
 from tilewright.sources import raw_slide
 from tilewright.streaming import limits
 
@@ -29,3 +30,38 @@ def test_frames_that_took_no_time(spark):
     df = spark.createDataFrame([(1, 1, 0.0), (1, 2, 0.0), (1, 3, 3.0), (2, 1, None)], "k int, t int, ms double")
     got = {(r.k, r.t): r.fps for r in limits.rolling_rate(df, "k", "t", "ms").collect()}
     assert got == {(1, 1): float("inf"), (1, 2): float("inf"), (1, 3): 1000.0, (2, 1): None}
+
+
+def test_masks_are_packed_a_few_at_a_time(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    for step in (1 << 24, 40):
+        monkeypatch.setattr(masks, "STEP_PIXELS", step)
+        for n in (16, 5, 9):
+            rasters = [None, [], *[[[rng.random() < 0.5 for _ in range(n)] for _ in range(rng.randrange(9))] for _ in range(30)], None]
+            df = spark.createDataFrame([(i, r) for i, r in enumerate(rasters)], "i int, r array<array<boolean>>").coalesce(1)
+            one = df.select("i", masks.packed(F.col("r")).alias("d")).cache()
+            by_hand = {i: None if r is None else b"".join(sum(v << k for k, v in enumerate(row)).to_bytes(-(-n // 8), "little") for row in r) for i, r in enumerate(rasters)}
+            assert {r.i: r.d for r in one.collect()} == by_hand
+            assert {r.i: r.r for r in one.select("i", masks.unpacked(F.col("d"), F.lit(n)).alias("r")).collect()} == dict(enumerate(rasters))
+            assert {r.i: r.r for r in df.select("i", masks.packed(masks.unpacked(masks.packed(F.col("r")), F.lit(n))).alias("r")).collect()} == by_hand
+            one.unpersist()
+
+
+def test_a_mask_costs_no_python_object_for_each_pixel(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    made = []
+    kept, masks.arrow_udf = masks.arrow_udf, lambda kind: lambda f: made.append(f) or (lambda *a: None)
+    try:
+        masks.unpacked(None, None), masks.packed(None)
+    finally:
+        masks.arrow_udf = kept
+    data = pa.array([bytes(range(256)) * 400] * 40)  # 33 million pixels
+    tracemalloc.start()
+    back = made[1](made[0](data, pa.array([16] * 40)))
+    assert back.equals(data) and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
