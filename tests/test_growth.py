@@ -65,3 +65,28 @@ def test_a_mask_costs_no_python_object_for_each_pixel(spark):
     back = made[1](made[0](data, pa.array([16] * 40)))
     assert back.equals(data) and tracemalloc.get_traced_memory()[1] < 300e6
     tracemalloc.stop()
+
+
+def test_brushes_are_painted_by_words(spark):
+    import random
+
+    rng = random.Random(2)
+    strokes = [(rng.randrange(6), rng.randrange(-20, 1100), rng.choice([0, 3, 511, 512, 700]), rng.randrange(0, 40)) for _ in range(60)]
+    expected = {(i, cx + dx, cy + dy) for i, cx, cy, r in strokes for dx in range(-r, r + 1) for dy in range(-r, r + 1) if dx * dx + dy * dy <= r * r and cx + dx >= 0 and cy + dy >= 0}
+    df = spark.createDataFrame(strokes, "id long, cx int, cy int, radius int")
+    pixels = [(r.id, r.patch_x * 512 + r.x, r.patch_y * 512 + r.y) for r in masks.brush(df).collect()]
+    assert len(pixels) == len(set(pixels)) and set(pixels) == expected
+    # A row of pixels is a few words, not as many rows of the table.
+    words = masks.brush_words(df)
+    assert words.agg(F.sum(F.bit_count("word"))).first()[0] == len(expected) and words.count() < len(expected) / 8
+    assert masks.patches(words).select(masks.popcount(F.col("data")).alias("n")).agg(F.sum("n")).first()[0] == len(expected)
+    assert sorted(map(str, masks.patches(words).collect())) == sorted(map(str, masks.painted(masks.brush(df)).collect()))
+
+
+def test_a_small_file_is_spread(spark):
+    from tilewright.session import spread
+
+    df = spark.range(5000).coalesce(1)
+    assert spread(df, 100).rdd.getNumPartitions() == 50 and spread(df).rdd.getNumPartitions() == 4 and spread(df.limit(10)).rdd.getNumPartitions() == 1
+    strokes = df.select("id", F.lit(9).alias("cx"), F.lit(9).alias("cy"), F.lit(2).alias("radius"))
+    assert "RoundRobinPartitioning(4)" in masks.brush_words(strokes)._jdf.queryExecution().toString()

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 
-#: Edge of the patches that brushes paint on.
-PATCH = 512
+from tilewright.session import spread
+
+#: Edge of the patches that brushes paint on, pixels of a word, and patches that a task writes at a time.
+PATCH, WORD, PATCHES = 512, 32, 256
 
 
 def stride(width: Column) -> Column:
@@ -31,9 +33,8 @@ def get_pixel(data: Column, width: Column, height: Column, x: Column, y: Column)
 
 
 def popcount(data: Column) -> Column:
-    """Bits set in a binary column (A5), without Python: its hex digits are mapped to their bits and added."""
-    ones = F.translate(F.hex(data), "0123456789ABCDEF", "0112122312232334")
-    return F.aggregate(F.split(ones, ""), F.lit(0).cast("long"), lambda n, c: n + F.coalesce(c.try_cast("long"), F.lit(0)))
+    """Bits set in a binary column (A5), without Python."""
+    return F.bitmap_count(data)
 
 
 def popcount_inside(data: Column, width: Column) -> Column:
@@ -167,33 +168,55 @@ def decoded(text: Column, width: Column, height: Column) -> Column:
     return F.when(F.octet_length(raw) == expected_size(width, height), raw)
 
 
-def brush(strokes: DataFrame, patch: int = PATCH) -> DataFrame:
-    """Pixels painted by round brushes (id, cx, cy, radius: whole pixels) as (id, patch_x, patch_y, x, y), each once.
+def brush_words(strokes: DataFrame, patch: int = PATCH) -> DataFrame:
+    """Pixels painted by round brushes (id, cx, cy, radius: whole pixels) as words of 32: (id, patch_x, patch_y, at, word).
 
-    x and y count from the patch's corner; dx * dx + dy * dy <= r * r.
+    dx * dx + dy * dy <= r * r. ``at`` numbers the words of a patch row by row, the lowest bit leftmost. A brush is cut into
+    rows, a row into words, and words of one place are joined, so it costs a few rows of the table for each row of pixels.
     """
-    r = F.ceil("radius").cast("int")
-    p = strokes.withColumn("_dy", F.explode(F.sequence(-r, r))).withColumn("_dx", F.explode(F.sequence(-r, r))).where("_dx * _dx + _dy * _dy <= radius * radius")
-    p = p.withColumns({"px": F.col("cx") + F.col("_dx"), "py": F.col("cy") + F.col("_dy")}).where("px >= 0 and py >= 0")
-    cut = lambda c: F.floor(F.col(c) / patch).cast("long")
-    return p.select("id", cut("px").alias("patch_x"), cut("py").alias("patch_y"), F.pmod("px", F.lit(patch)).alias("x"), F.pmod("py", F.lit(patch)).alias("y")).distinct()
+    c, r = F.col, F.floor("radius").cast("long")
+    half = F.floor(F.sqrt(c("radius") * c("radius") - c("_dy") * c("_dy"))).cast("long")
+    p = spread(strokes).where("radius >= 0").withColumn("_dy", F.explode(F.sequence(-r, r))).withColumns({"py": c("cy") + c("_dy"), "_x0": F.greatest(F.lit(0), c("cx") - half), "_x1": c("cx") + half})
+    p = p.where("py >= 0 and _x1 >= _x0").withColumn("_w", F.explode(F.sequence(F.floor(c("_x0") / WORD), F.floor(c("_x1") / WORD))))
+    low, high = F.greatest(c("_x0") - c("_w") * WORD, F.lit(0)), F.least(c("_x1") - c("_w") * WORD, F.lit(WORD - 1))
+    # Ones from bit low to bit high.
+    word = F.call_function("shiftleft", F.lit(1).cast("long"), (high + 1).cast("int")) - F.call_function("shiftleft", F.lit(1).cast("long"), low.cast("int"))
+    cut = lambda v: F.floor(v / patch).cast("long")
+    at = (F.pmod("py", F.lit(patch)) * (patch // WORD) + F.pmod(c("_w"), F.lit(patch // WORD))).cast("int")
+    words = p.select("id", cut(c("_w") * WORD).alias("patch_x"), cut(c("py")).alias("patch_y"), at.alias("at"), word.alias("word"))
+    return words.groupBy("id", "patch_x", "patch_y", "at").agg(F.bit_or("word").alias("word"))
+
+
+def brush(strokes: DataFrame, patch: int = PATCH) -> DataFrame:
+    """Pixels of ``brush_words`` as (id, patch_x, patch_y, x, y), each once; x and y count from the patch's corner."""
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.getbit(F.col("word"), k) == 1)).alias("_bit")
+    wide, at = patch // WORD, F.col("at")
+    return brush_words(strokes, patch).select("id", "patch_x", "patch_y", "at", bit).select("id", "patch_x", "patch_y", (at % wide * WORD + F.col("_bit")).alias("x"), F.floor(at / wide).cast("int").alias("y"))
 
 
 def painted(pixels: DataFrame, patch: int = PATCH) -> DataFrame:
-    """Pixels of ``brush`` as packed patches (id, patch_x, patch_y, data): bytes are put together in Spark, then a patch
-    at a time, which has patch * patch / 8 of them at most."""
-    bit = F.expr("shiftleft(1, cast(pmod(x, 8) as int))")
-    bytes_ = pixels.groupBy("id", "patch_x", "patch_y", (F.col("y") * (patch // 8) + F.floor(F.col("x") / 8)).cast("int").alias("at")).agg(F.bit_or(bit).alias("byte"))
-    kind = dict(pixels.dtypes)["id"]
+    """Pixels of ``brush`` as packed patches (id, patch_x, patch_y, data)."""
+    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("x", F.lit(WORD)).cast("int"))).alias("word")
+    return patches(pixels.groupBy("id", "patch_x", "patch_y", (F.col("y") * (patch // WORD) + F.floor(F.col("x") / WORD)).cast("int").alias("at")).agg(word), patch)
+
+
+def patches(words: DataFrame, patch: int = PATCH) -> DataFrame:
+    """Words of ``brush_words`` as packed patches (id, patch_x, patch_y, data): a patch's words, patch * patch / 32 of them at
+    most, are gathered in Spark, and some patches at a time are written out."""
+    kind = dict(words.dtypes)["id"]
+    held = words.groupBy("id", "patch_x", "patch_y").agg(F.collect_list(F.col("at")).alias("at"), F.collect_list(F.col("word")).alias("word"))
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        out = np.zeros(patch * patch // 8, np.uint8)
-        out[rows["at"].to_numpy()] = rows["byte"].to_numpy()
-        return rows[["id", "patch_x", "patch_y"]].head(1).assign(data=[out.tobytes()])
+        for rows in batches:
+            for a in range(0, len(rows), PATCHES):
+                some = rows.iloc[a : a + PATCHES]
+                out = np.zeros((len(some), patch * patch // WORD), "<u4")
+                out[np.repeat(np.arange(len(some)), some["at"].map(len)), np.concatenate(some["at"].tolist())] = np.concatenate(some["word"].tolist())
+                yield some[["id", "patch_x", "patch_y"]].assign(data=[row.tobytes() for row in out])
 
-    return bytes_.groupBy("id", "patch_x", "patch_y").applyInPandas(fill, f"id {kind}, patch_x long, patch_y long, data binary")
+    return held.mapInPandas(fill, f"id {kind}, patch_x long, patch_y long, data binary")
 
 
 def stroke_points(x0: Column, y0: Column, x1: Column, y1: Column, radius: Column) -> Column:
