@@ -90,3 +90,39 @@ def test_a_small_file_is_spread(spark):
     assert spread(df, 100).rdd.getNumPartitions() == 50 and spread(df).rdd.getNumPartitions() == 4 and spread(df.limit(10)).rdd.getNumPartitions() == 1
     strokes = df.select("id", F.lit(9).alias("cx"), F.lit(9).alias("cy"), F.lit(2).alias("radius"))
     assert "RoundRobinPartitioning(4)" in masks.brush_words(strokes)._jdf.queryExecution().toString()
+
+
+def test_tiles_are_worked_on_together(spark, monkeypatch):
+    import numpy as np
+
+    from tilewright.operators import stain
+
+    rng = np.random.default_rng(3)
+    tiles = [rng.integers(0, 256, (5, 6, 4)).astype(np.uint8) for _ in range(20)]
+    df = spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(tiles)] + [(20, None)], "i int, pixels binary").coalesce(1)
+    amount = 0.3 * 50 / 100
+    by_one = {i: stain.sharpen(stain.resize(t[..., [2, 1, 0, 3]], 4, 7), amount, "clamp", 2.0).tobytes() for i, t in enumerate(tiles)} | {20: None}
+    calls = []
+    monkeypatch.setattr(stain, "STEP_PIXELS", 100)
+    got = stain.processed(df, 6, 5, 50.0, True, (4, 7), True, name="out").select("i", "out").collect()
+    assert {r.i: r.out for r in got} == by_one
+    # One call of resize for many tiles.
+    kept, stain.pandas_udf = stain.pandas_udf, lambda kind: lambda f: calls.append(f) or (lambda c: F.col(c))
+    monkeypatch.setattr(stain, "resize", lambda p, *to: calls.append(p.shape) or p)
+    monkeypatch.setattr(stain, "STEP_PIXELS", 300)
+    try:
+        stain.processed(df, 6, 5, to=(4, 7))
+    finally:
+        stain.pandas_udf = kept
+    import pandas as pd
+
+    calls[0](pd.Series([t.tobytes() for t in tiles]))
+    assert calls[1:] == [(10, 5, 6, 4)] * 2
+
+
+def test_queries_on_parts_are_dealt_over_tasks(spark):
+    from tilewright.plans import view_queries
+
+    for q in (view_queries.stroke_points, view_queries.sharpen_tiles, view_queries.swapped_tiles, view_queries.resized_tiles):
+        plan = q(spark, "/root/testdata/sf0.1")._jdf.queryExecution().toString()
+        assert "RoundRobinPartitioning" in plan and "Join" not in plan

@@ -6,7 +6,7 @@ from tilewright.operators import geometry, masks, placement, pyramid, stain, vie
 from tilewright.plans.pyramid_queries import IMG, VIEWS, images, views
 from tilewright.plans.registry import query
 from tilewright.plans.stain_queries import OD, pixels
-from tilewright.session import table
+from tilewright.session import spread, table
 from tilewright.sources import objects
 from tilewright.streaming import limits
 from tilewright.streaming.views import events_in_view
@@ -140,7 +140,7 @@ select p_partkey, k::int as k, floor(d * 3 * k / n * 1000)::bigint as x, floor(d
 """)
 def stroke_points(spark, sf_dir):
     d, o = F.col("p_size").cast("double"), F.lit(0.0)
-    p = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(masks.stroke_points(o, o, d * 3, d * 5, F.col("p_partkey") % 9)).alias("k", "p"))
+    p = spread(table(spark, sf_dir, "part")).select("p_partkey", F.posexplode(masks.stroke_points(o, o, d * 3, d * 5, F.col("p_partkey") % 9)).alias("k", "p"))
     return p.select("p_partkey", "k", F.floor(F.col("p")[0] * 1000).alias("x"), F.floor(F.col("p")[1] * 1000).alias("y"))
 
 
@@ -193,19 +193,19 @@ m as (select *, s + 0.4::double * (s - (4 * s + 12 * e) / 16) as one, s + 0.15::
 select p_partkey, round_even(least(255, spot * least(255, greatest(0, one)) / greatest(s, 0.001)), 0)::int as first, floor(least(255, case when s > 0.255 then spot * least(2, greatest(0, two / s)) else spot end) + 1e-9)::int as second from m
 """)
 def sharpen_tiles(spark, sf_dir):
-    t = _square(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 100 * 2 + 20).alias("grey"), (F.col("p_size") * 4 % 256).alias("spot")))
-    mid = lambda how: stain.processed(t, 3, 3, 50.0, alternative=how).select("p_partkey", F.conv(F.hex(F.substring("pixels", 17, 1)), 16, 10).cast("int").alias("second" if how else "first"))
-    return mid(False).join(mid(True), "p_partkey")
+    t = _square(spread(table(spark, sf_dir, "part")).select("p_partkey", (F.col("p_partkey") % 100 * 2 + 20).alias("grey"), (F.col("p_size") * 4 % 256).alias("spot")))
+    t = stain.processed(stain.processed(t, 3, 3, 50.0, name="first"), 3, 3, 50.0, alternative=True, name="second")
+    return t.select("p_partkey", *[F.conv(F.hex(F.substring(c, 17, 1)), 16, 10).cast("int").alias(c) for c in ("first", "second")])
 
 
 @query(f"with {SQUARE} select p_partkey, upper(printf('%02x', grey::int)) || '0000FF' as pixel, 36 as bytes, 16 as small from g")
 def swapped_tiles(spark, sf_dir):
     """Blue-first pixels turned round, and one grey resized to a smaller square, which keeps it."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 100 * 2 + 20).alias("grey"))
+    rows = spread(table(spark, sf_dir, "part")).select("p_partkey", (F.col("p_partkey") % 100 * 2 + 20).alias("grey"))
     blue = rows.withColumn("pixels", F.unhex(F.repeat(F.concat(F.lit("0000"), F.lpad(F.hex("grey"), 2, "0"), F.lit("FF")), 9)))
-    whole, small = stain.processed(blue, 3, 3, swap=True), stain.processed(blue, 3, 3, swap=True, to=(2, 2))
-    s = small.select("p_partkey", F.hex(F.substring("pixels", 1, 4)).alias("kept"), F.octet_length("pixels").alias("small"))
-    return whole.join(s, "p_partkey").where(F.hex(F.substring("pixels", 1, 4)) == F.col("kept")).select("p_partkey", F.hex(F.substring("pixels", 1, 4)).alias("pixel"), F.octet_length("pixels").alias("bytes"), "small")
+    both = stain.processed(stain.processed(blue, 3, 3, swap=True, name="whole"), 3, 3, swap=True, to=(2, 2), name="less")
+    first = lambda c: F.hex(F.substring(c, 1, 4))
+    return both.where(first("whole") == first("less")).select("p_partkey", first("whole").alias("pixel"), F.octet_length("whole").alias("bytes"), F.octet_length("less").alias("small"))
 
 
 def _lobes(n: int, m: int) -> str:
@@ -228,7 +228,7 @@ select p_partkey, string_agg(greatest(0, least(255, round_even(v, 0)))::int::var
 def resized_tiles(spark, sf_dir):
     """Slopes of 8 by 6 pixels, made wider and lower."""
     pixel = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: F.concat(F.lpad(F.hex((i % 8 * 29 + F.floor(i / 8) * 53 + F.col("p_partkey") * 7) % 256), 2, "0"), F.lit("0000FF")))
-    t = table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.array_join(pixel, "")).alias("pixels"))
+    t = spread(table(spark, sf_dir, "part")).select("p_partkey", F.unhex(F.array_join(pixel, "")).alias("pixels"))
     red = F.transform(F.sequence(F.lit(0), F.lit(43)), lambda i: F.conv(F.hex(F.substring("pixels", i * 4 + 1, F.lit(1))), 16, 10))
     return stain.processed(t, 8, 6, to=(11, 4)).select("p_partkey", F.array_join(red, ",").alias("red"))
 
