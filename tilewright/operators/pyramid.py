@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tilewright.session import spread
+
 #: Pixels of a tile's edge; bits of x and y in a key.
 TILE, BITS = 512, 20
 
@@ -47,12 +49,12 @@ def total_tiles(images: DataFrame, key: str, width: str = "width", height: str =
 def grid(images: DataFrame, width: str = "width", height: str = "height", skip: int | None = None) -> DataFrame:
     """One row per tile with level, x, y and its row-major number in the level; the first ``skip`` of a level left out (T4).
 
-    Rows are numbered by arithmetic, so a level is spread over tasks by its rows of tiles.
+    Rows are numbered by arithmetic; images are dealt over tasks before they become tiles.
     """
     def upto(n: str) -> Column:
         return F.when(F.col(n) > 0, F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    rows = levels(images, width, height).withColumn("y", F.explode(upto("tiles_y"))).withColumn("x", F.explode(upto("tiles_x")))
+    rows = levels(spread(images, 10_000), width, height).withColumn("y", F.explode(upto("tiles_y"))).withColumn("x", F.explode(upto("tiles_x")))
     rows = rows.withColumn("number", F.col("y") * F.col("tiles_x") + F.col("x"))
     return rows.where(F.col("number") >= skip) if skip else rows
 
@@ -81,11 +83,14 @@ def ancestors(tiles: DataFrame, top: str) -> DataFrame:
 
 
 def without_empty(tiles: DataFrame, empty: DataFrame, key: str, top: str = "max_level") -> DataFrame:
-    """Tiles with no empty tile at or above them (T16, J7): one anti-join on all ancestors, whatever the depth."""
-    e = empty.select(F.col(key).alias("_k"), F.col("level").alias("_l"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    """Tiles with no empty tile at or above them (T16, J7): one anti-join on all ancestors, whatever the depth.
+
+    Tiles made of a small table look as small to Spark, so both joins ask for a merge: no tiles are broadcast.
+    """
+    e = empty.select(F.col(key).alias("_k"), F.col("level").alias("_l"), F.col("x").alias("_x"), F.col("y").alias("_y")).hint("merge")
     up = ancestors(tiles, top)
     lost = up.join(e, (up[key] == e["_k"]) & (up["up"] == e["_l"]) & (up["up_x"] == e["_x"]) & (up["up_y"] == e["_y"]), "left_semi")
-    return tiles.join(lost.select(key, "level", "x", "y").distinct(), [key, "level", "x", "y"], "left_anti")
+    return tiles.join(lost.select(key, "level", "x", "y").hint("merge"), [key, "level", "x", "y"], "left_anti")
 
 
 def descendants(tiles: DataFrame, down: Column) -> DataFrame:
