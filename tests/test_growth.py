@@ -126,3 +126,29 @@ def test_queries_on_parts_are_dealt_over_tasks(spark):
     for q in (view_queries.stroke_points, view_queries.sharpen_tiles, view_queries.swapped_tiles, view_queries.resized_tiles):
         plan = q(spark, "/root/testdata/sf0.1")._jdf.queryExecution().toString()
         assert "RoundRobinPartitioning" in plan and "Join" not in plan
+
+
+def test_no_tiles_are_broadcast(spark):
+    from tilewright.plans import pyramid_queries, view_queries
+
+    # Tables of tiles look as small to Spark as what they are made of.
+    for q in (pyramid_queries.empty_propagation, pyramid_queries.best_ancestor, view_queries.prefetch_tiles, view_queries.ancestor_part, pyramid_queries.viewport_topk, pyramid_queries.viewport_minus_sent):
+        plan = q(spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+        assert "RoundRobinPartitioning" in plan, q
+        # Views meet their images by broadcast at most; every join below a tile's columns is a merge.
+        for line in plan.split("\n"):
+            assert "BroadcastHashJoin" not in line or ("level" not in line and " x#" not in line and "_l#" not in line), (q, line)
+
+
+def test_a_ring_of_tiles_around_the_view(spark):
+    from tilewright.operators import viewport
+
+    view = [(1, 1000.0, 1000.0, 900.0, 600.0, 1.0, 96.0, 9000, 7000, 5), (2, -50.0, 6000.0, 900.0, 600.0, 0.5, 96.0, 9000, 7000, 5)]
+    v = spark.createDataFrame(view, "view_id int, view_x double, view_y double, view_width double, view_height double, zoom double, dpi double, width int, height int, levels int")
+    every = spark.range(18).select(F.col("id").cast("int").alias("x")).crossJoin(spark.range(14).select(F.col("id").cast("int").alias("y"))).crossJoin(v.select("view_id")).withColumn("level", F.lit(0))
+    got = viewport.prefetch_ring(v, F.lit(0), every.union(every).select("view_id", "level", "x", "y"), 2, 99)
+    seen = {1: (range(1, 4), range(1, 4)), 2: (range(0, 4), range(11, 14))}
+    wide = {1: (range(0, 6), range(0, 6)), 2: (range(0, 6), range(9, 14))}
+    expected = {(i, x, y) for i in (1, 2) for x in wide[i][0] for y in wide[i][1] if not (x in seen[i][0] and y in seen[i][1])}
+    rows = [(r.view_id, r.x, r.y) for r in got.collect()]
+    assert set(rows) == expected and len(rows) == len(expected)

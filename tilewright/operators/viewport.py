@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.operators import pyramid, ranks
+from tilewright.session import spread
 
 #: Tiles of one update; soft and hard limit of what a view remembers; entries dropped softly; zoom limits.
 MOST_TILES, SOFT, HARD, BATCH = 64, 500, 1000, 256
@@ -92,11 +93,11 @@ def visible_tiles(views: DataFrame, first: Column | None = None, margin: int = 0
     """One row per visible tile of each view at levels ``first`` to the coarsest.
 
     ``views``: view_x, view_y, view_width, view_height, zoom, dpi, width, height, levels. ``margin`` adds a ring of
-    tiles, within the image (T17).
+    tiles, within the image (T17). Views are dealt over tasks before they become tiles.
     """
     first = min_level(F.col("zoom"), F.col("dpi"), F.col("levels")) if first is None else first
     none = F.array().cast("array<int>")
-    v = views.withColumn("level", F.explode(F.when(F.col("levels") > 0, F.sequence(first, F.col("levels") - 1)).otherwise(none)))
+    v = spread(views, 10_000).withColumn("level", F.explode(F.when(F.col("levels") > 0, F.sequence(first, F.col("levels") - 1)).otherwise(none)))
     v = tile_range(v)
     if margin:
         step = F.pow(F.lit(2.0), F.col("level")) * pyramid.TILE
@@ -111,9 +112,10 @@ def prefetch_ring(views: DataFrame, level: Column, decoded: DataFrame, ring: int
 
     ``decoded``: view_id, level, x, y of the tiles that a view's cache holds decoded.
     """
-    inner, outer = (visible_tiles(views, level, margin).where(F.col("level") == level) for margin in (0, ring))
-    around = outer.join(inner.select("view_id", "level", "x", "y"), ["view_id", "level", "x", "y"], "left_anti")
-    around = around.join(decoded.select("view_id", "level", "x", "y").distinct(), ["view_id", "level", "x", "y"], "left_semi")
+    # A view's own range tells which tiles it sees, so they are not joined; tiles are many, so none are broadcast.
+    outer = tile_range(visible_tiles(views, level, ring).where(F.col("level") == level))
+    around = outer.where(~(F.col("x").between(F.col("tx0"), F.col("tx1") - 1) & F.col("y").between(F.col("ty0"), F.col("ty1") - 1))).drop("tx0", "tx1", "ty0", "ty1")
+    around = around.join(decoded.select("view_id", "level", "x", "y").hint("merge"), ["view_id", "level", "x", "y"], "left_semi")
     w = Window.partitionBy("view_id").orderBy("y", "x")
     return around.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
 
@@ -139,7 +141,7 @@ def to_send(tiles: DataFrame, sent: DataFrame | None = None, most: int = MOST_TI
     Ties of distance go by y, then x.
     """
     tiles = tiles.withColumn("distance", corner_distance())
-    minus = lambda t: t if sent is None else t.join(sent.select("view_id", "level", "x", "y"), ["view_id", "level", "x", "y"], "left_anti")
+    minus = lambda t: t if sent is None else t.join(sent.select("view_id", "level", "x", "y").hint("merge"), ["view_id", "level", "x", "y"], "left_anti")
     nearest = Window.partitionBy("view_id", "level").orderBy("distance", "y", "x")
     cut = lambda t: t.withColumn("in_level", F.row_number().over(nearest)).where(F.col("in_level") <= most)
     chosen = minus(cut(tiles)) if cut_first else cut(minus(tiles))
@@ -148,15 +150,15 @@ def to_send(tiles: DataFrame, sent: DataFrame | None = None, most: int = MOST_TI
 
 
 def best_available(tiles: DataFrame, held: DataFrame, keys: Sequence[str], top: str) -> DataFrame:
-    """For each tile the finest held tile at or above it: an as-of join over levels (J8). Null if none."""
+    """For each tile the finest held tile at or above it: an as-of join over levels (J8). Null if none. No tiles are broadcast."""
     up = pyramid.ancestors(tiles, top)
-    h = held.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("level").alias("_l"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    h = held.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("level").alias("_l"), F.col("x").alias("_x"), F.col("y").alias("_y")).hint("merge")
     same = (up["up"] == h["_l"]) & (up["up_x"] == h["_x"]) & (up["up_y"] == h["_y"])
     for k in keys:
         same = same & (up[k] == h[f"_{k}"])
     own = [*keys, "level", "x", "y"]
     found = up.join(h, same).groupBy(*own).agg(F.min(F.struct(F.col("up").alias("source_level"), F.col("up_x").alias("source_x"), F.col("up_y").alias("source_y"))).alias("s"))
-    return tiles.join(found, own, "left").select(*[tiles[c] for c in tiles.columns], "s.*")
+    return tiles.join(found.hint("merge"), own, "left").select(*[tiles[c] for c in tiles.columns], "s.*")
 
 
 def source_part(level: Column, x: Column, y: Column, up: Column, width: Column, height: Column, bitmap_width: Column, bitmap_height: Column) -> dict[str, Column]:
