@@ -52,6 +52,32 @@ def test_each_shard_wastes_about_one_sequence(spark, monkeypatch, rows):
     assert used <= -(-total // 512) * 1.02 + 2 * -(-len(packed) // rows)
 
 
+def test_memory_of_a_tokenizing_worker():
+    """Some five megabytes of words of which hardly any occurs twice; numpy's arrays and Python's objects count."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+    import public_tokenizers as public
+
+    from tilewright.llm import flat
+
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.randrange(10**9):x}" for _ in range(600)).encode() for _ in range(1000)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    flat._powers.cache_clear()
+    tokenizer = packing.StretchTokenizer(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    tracemalloc.start()
+    try:
+        for _, _, part, off in flat.runs(data, offsets, packing.RUN):
+            ids, at = tokenizer.encode_run(part, off, 0)
+            assert len(at) == len(off) and at[-1] == len(ids)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 150e6, peak
+
+
 @pytest.mark.parametrize("module, column", [(quality, "quality"), (toxicity, "toxic")])
 def test_more_labels_than_are_broadcast(spark, monkeypatch, module, column):
     rows = [(i, f"{'vile bad' if i % 3 == 0 else 'kind good'} words {i}") for i in range(300)]

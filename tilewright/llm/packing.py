@@ -26,8 +26,8 @@ from tilewright.llm.flat import flat, in_small_batches, runs, span_hashes
 from tilewright.session import stage
 
 SHARD_ROWS = 20_000
-#: Bytes tokenized at once, and distinct stretches a worker remembers.
-RUN, REMEMBERED = 1 << 21, 1 << 19
+#: Bytes tokenized at once, and distinct stretches a worker remembers. Both take memory in every worker of an executor.
+RUN, REMEMBERED = 1 << 20, 1 << 18
 
 #: Bytes that, after a space, are surely no white space: visible ASCII, and leads of characters none of which is.
 _VISIBLE = np.isin(np.arange(256), [*range(0x21, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)])
