@@ -141,6 +141,34 @@ def test_events_meet_few_updates_before_times_are_compared(spark):
     assert found == sum(1 + sum(1000 * v <= e[2] for v in range(1, 25)) for e in events)
 
 
+def shuffled_rows(df):
+    """Rows that the exchanges of a frame wrote, once it was collected."""
+    total, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        p = nodes.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            total += p.metrics().apply("shuffleRecordsWritten").value()
+        nodes += [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+    return total
+
+
+def test_viewports_are_not_sent_as_tiles(spark):
+    """Each viewport has some 600 tiles over blocks of several levels; tiles at the edges of blocks and of the image meet."""
+    rng = random.Random(6)
+    looks = [(v, v % 2, BASE + 1000 * k + v, rng.uniform(0, 900), rng.uniform(0, 900), 800.0, 600.0, 0.0625, 96.0, 16_000, 11_000, 6) for v in range(10) for k in range(20)]
+    events = [(i, rng.randrange(2), BASE + rng.randrange(21_000), rng.randrange(5), rng.choice([0, 3, 6, 7, 8, 9, 12]), rng.choice([0, 7, 8, 9, 10])) for i in range(500)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = views.events_in_view(spark.createDataFrame(events, EVENTS), spark.createDataFrame(looks, VIEWS))
+        got = sorted((r.view_id, r.event_id) for r in met.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == plain(events, looks, 10**9) and len(got) > 100
+    assert len(events) < shuffled_rows(met) < len(events) + 20 * len(looks)
+
+
 def test_events_in_view_as_two_streams_with_late_rows(spark, tmp_path):
     """Rows come out of order by up to 3 s, the watermark waits 5 s; one event and one update come after theirs and are left out."""
     hold = 8_000
