@@ -197,6 +197,16 @@ def test_events_in_view_as_two_streams_with_late_rows(spark, tmp_path):
     assert got == expected and len(expected) > 50
 
 
+def test_events_of_a_stream_are_joined_by_buckets_of_time(spark, tmp_path):
+    """Else each update is compared with all events of its tiles that are kept."""
+    for name, schema in (("events", EVENTS), ("views", VIEWS)):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")
+    read = lambda name, schema: timed("5 seconds")(spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}"))
+    plan = views.events_in_view_stream(read("events", EVENTS), read("views", VIEWS), 8_000)._jdf.queryExecution().analyzed().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "_at#" in join and "_bucket#" in join
+
+
 def test_the_state_store_setting_is_put_back(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
