@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import duck_rows, spark_rows
 from tilewright.operators import ranks, stain, viewport
+from tilewright.plans import registry
 
 SCHEMA = "k string, a double, b long, size long"
 
@@ -65,3 +67,12 @@ def test_a_percentile_outside_its_band_is_found(spark, monkeypatch):
         got = {r.k: r.p for r in stain.floor_percentile(df, "k", "v", 0.5, "p").collect()}
         monkeypatch.undo()
         assert got == expected, shift
+
+
+def test_percentiles_of_users_with_many_events_equal_the_sql(spark, tmp_path):
+    """From 101 events on the nearest place is not always the one below; 150 and 250 stand at halves."""
+    counts = (1, 50, 99, 100, 101, 120, 149, 150, 151, 250, 350, 1049)
+    df = spark.createDataFrame([(u, float(i * 7919 % 10_007)) for u, n in enumerate(counts) for i in range(n)], "user_id long, value double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    events = spark.read.parquet(f"{tmp_path}/events.parquet").toPandas()
+    assert spark_rows(registry.QUERIES["pct_floor"](spark, str(tmp_path))) == duck_rows(registry.ORACLE["pct_floor"], events=events)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,9 +58,12 @@ def column_stats(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 ACCURACY = 10_000
 
 
-def floor_percentile(df: DataFrame, key: str, value: str, share: float, name: str) -> DataFrame:
+def floor_percentile(df: DataFrame, key: str, value: str, share: float, name: str, place: Callable[[Column], Column] = F.floor) -> DataFrame:
     """Element floor(n * share) of each key's sorted values, the last one at most (A7). Nulls are left out.
 
+    ``place`` makes n * share a whole number; with ``F.rint`` it is the nearest one, of halves the even one, as where
+    DuckDB casts a double: its ``//`` leaves a double's fraction.
+
     Exact, and no group is gathered: approximate percentiles a little below and above bound the element; values below
     the band are counted, those in it are counted by value, and the element is found among these counts. Keys whose
     counts say that it lies outside the band are looked through by ``ranks.numbered``.
@@ -70,7 +73,7 @@ def floor_percentile(df: DataFrame, key: str, value: str, share: float, name: st
     at = lambda d: min(1.0, max(0.0, share + d / ACCURACY))
     v = df.select(key, F.col(value).alias("_v")).where("_v is not null")
     ends = v.groupBy(key).agg(F.percentile_approx("_v", [at(-3), at(3)], ACCURACY).alias("_e"), F.count("*").alias("_n"))
-    ends = ends.select(F.col(key).alias("_k"), F.col("_e")[0].alias("_low"), F.col("_e")[1].alias("_high"), F.least(F.floor(F.col("_n") * F.lit(share)), F.col("_n") - 1).alias("_at"))
+    ends = ends.select(F.col(key).alias("_k"), F.col("_e")[0].alias("_low"), F.col("_e")[1].alias("_high"), F.least(place(F.col("_n") * F.lit(share)).cast("long"), F.col("_n") - 1).alias("_at"))
     ends = stage(ends, "percentile-ends")
     near = v.join(ends, v[key].eqNullSafe(ends["_k"])).where("_v <= _high or isnan(_v)")
     counts = near.groupBy(key, F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"), F.first("_at").alias("_at"))

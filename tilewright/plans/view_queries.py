@@ -252,7 +252,7 @@ def stable_parameters(spark, sf_dir):
 
 @query("select 0 as one, list_sort(list(l_extendedprice))[least((count(*) * 0.9)::double // 1, count(*) - 1)::bigint + 1] as p90 from lineitem")
 def percentile_large_group(spark, sf_dir):
-    return stain.floor_percentile(table(spark, sf_dir, "lineitem").withColumn("one", F.lit(0)), "one", "l_extendedprice", 0.9, "p90")
+    return stain.floor_percentile(table(spark, sf_dir, "lineitem").withColumn("one", F.lit(0)), "one", "l_extendedprice", 0.9, "p90", F.rint)
 
 
 # --- routing and gates
