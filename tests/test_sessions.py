@@ -207,6 +207,31 @@ def test_events_of_a_stream_are_joined_by_buckets_of_time(spark, tmp_path):
     assert "_at#" in join and "_bucket#" in join
 
 
+def test_events_of_a_stream_are_kept_as_bundles(spark, tmp_path):
+    """Many events of a block and time are a few rows of the join's state; other columns of theirs come back as they were."""
+    rng = random.Random(8)
+    looks = [(v, 0, BASE + 1000 * k + v, 0.0, 0.0, 800.0, 600.0, 1.0, 96.0, 2048, 2048, 4) for v in range(3) for k in range(5)]
+    events = [(i, 0, BASE + rng.randrange(4000), rng.randrange(2), rng.randrange(3), rng.randrange(3)) for i in range(900)]
+    end = 10**7
+    expected = plain(events, looks, 10_000)
+    more = lambda e: (*e, None if e[0] % 3 else 2**60 + e[0], None if e[0] % 2 else float("nan"), [e[0], None])
+    schema = f"{EVENTS}, big long, part double, list array<long>"
+    for name, rows, kind in (("events", [more(e) for e in [*events, (10_000, 77, end, 0, 0, 0)]], schema), ("views", [*looks, (98, 77, end, *looks[0][3:])], VIEWS)):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    read = lambda name, kind: timed("5 seconds")(spark.readStream.schema(kind).parquet(f"{tmp_path}/{name}"))
+    with sessions.keyed_state(spark):
+        out = views.events_in_view_stream(read("events", schema), read("views", VIEWS), 10_000)
+        q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.view_id, r.event_id) for r in got.collect()) == expected and len(expected) > 600
+    given = timed("5 seconds")(spark.read.schema(schema).parquet(f"{tmp_path}/events"))
+    assert got.columns == ["view_id", *given.columns] and [d for d in got.dtypes if d[0] != "view_id"] == given.dtypes
+    assert got.drop("view_id").exceptAll(given.join(got.select("view_id", "event_id"), "event_id").select(given.columns)).count() == 0
+    kept = [o.numRowsTotal for p in q.recentProgress for o in p.stateOperators if o.operatorName == "symmetricHashJoin"]
+    assert 0 < kept[0] < 60
+
+
 def test_the_state_store_setting_is_put_back(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
